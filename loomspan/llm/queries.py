@@ -11,24 +11,32 @@ from loomspan.llm.mixing import mix, mixture_shares
 from loomspan.llm.personal import personal_spans, redact
 from loomspan.llm.quantiles import combine, percentiles, summarise
 from loomspan.llm.splitting import split_items
-from loomspan.runtime import table
+from loomspan.runtime import Stored, table
 
 QS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of len per type and sample, straight from all rows."""
+    """Percentiles of len per type and sample: straight from all rows (scope 'rows'), from the summaries
+    of each day of called_at (scope 'day'), and from those days' summaries combined ('combined')."""
     keys = ["type", "sample"]
-    made = summarise(table(spark, d, "sv_calls"), keys, "len")
-    return percentiles(combine(made, keys), keys, QS)
-
-
-def p2_by_day(spark: SparkSession, d: str) -> DataFrame:
-    """The same from summaries that are made per day of called_at and then combined."""
+    calls = table(spark, d, "sv_calls").select(*keys, "len", F.coalesce(F.to_date("called_at"), F.lit("0001-01-01").cast("date")).alias("day"))
+    rows = percentiles(combine(summarise(calls, keys, "len"), keys), keys, QS)
+    days = Stored(combine(summarise(calls, [*keys, "day"], "len"), [*keys, "day"]), "days").df
+    by_day = percentiles(days, [*keys, "day"], QS)
+    combined = percentiles(combine(days, keys), keys, QS)
+    cols = [*keys, "n", *QS, "rank_error"]
+    return (
+        rows.select(F.lit("rows").alias("scope"), F.lit(None).cast("date").alias("day"), *cols)
+        .unionByName(combined.select(F.lit("combined").alias("scope"), F.lit(None).cast("date").alias("day"), *cols))
+        .unionByName(by_day.select(F.lit("day").alias("scope"), "day", *cols))
+    )
+
+
+def p2_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of len per type and sample, straight from all rows."""
     keys = ["type", "sample"]
-    calls = table(spark, d, "sv_calls").withColumn("day", F.coalesce(F.to_date("called_at"), F.lit("0001-01-01").cast("date")))
-    days = combine(summarise(calls, [*keys, "day"], "len"), [*keys, "day"])
-    return percentiles(combine(days, keys), keys, QS)
+    return percentiles(combine(summarise(table(spark, d, "sv_calls"), keys, "len"), keys), keys, QS)
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -78,13 +86,19 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_percentiles, p2_by_day, p3_found, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_shares, p8_found, p8_redacted)
+    for f in (p2_percentiles, p2_overall, p3_found, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_shares, p8_found, p8_redacted)
 }
 
 # up to the buffer size a group is exact, so at the SQL check's scale the bound is 0
-_P2 = "SELECT type, sample, count(*) AS n, {} , CAST(0 AS DOUBLE) AS rank_error FROM sv_calls WHERE type IS NOT NULL AND sample IS NOT NULL AND len IS NOT NULL GROUP BY type, sample".format(
-    ", ".join(f"CAST(quantile_disc(len, {q}) AS DOUBLE) AS {n}" for n, q in QS.items())
-)
+_P2_COLS = "type, sample, count(*) AS n, " + ", ".join(f"CAST(quantile_disc(len, {q}) AS DOUBLE) AS {n}" for n, q in QS.items()) + ", CAST(0 AS DOUBLE) AS rank_error"
+_P2_FROM = " FROM sv_calls WHERE type IS NOT NULL AND sample IS NOT NULL AND len IS NOT NULL "
+_P2_DAY = "coalesce(CAST(called_at AS DATE), DATE '0001-01-01')"
+_P2_OVERALL = f"SELECT {_P2_COLS}{_P2_FROM}GROUP BY type, sample"
+_P2 = f"""
+SELECT 'rows' AS scope, CAST(NULL AS DATE) AS day, {_P2_COLS}{_P2_FROM}GROUP BY type, sample
+UNION ALL SELECT 'combined', CAST(NULL AS DATE), {_P2_COLS}{_P2_FROM}GROUP BY type, sample
+UNION ALL SELECT 'day', {_P2_DAY}, {_P2_COLS}{_P2_FROM}GROUP BY type, sample, {_P2_DAY}
+"""
 
 _P3 = """
 WITH RECURSIVE o AS (
@@ -106,7 +120,7 @@ m AS (SELECT id, min(g) AS group_id FROM r GROUP BY id)
 
 SQL = {
     "p2_percentiles": _P2,
-    "p2_by_day": _P2,
+    "p2_overall": _P2_OVERALL,
     "p3_found": _P3,
     "p5_found": _P5 + "SELECT group_id, id FROM m",
     "p5_calls": _P5
