@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.runtime import shuffle_partitions
+
 #: Width of the bins in which items meet boundaries.
 BIN = 1_000_000
 
@@ -132,6 +134,7 @@ def split_items(
     grouped = (
         cells.join(marks, ["axis", "bin"], "left")
         .withColumn("marks", F.filter("marks", lambda x: (x > F.col("a")) & (x < F.col("b"))))
+        .repartition(shuffle_partitions(items.sparkSession), "item")  # few bytes, much work: not to be coalesced
         .groupBy("item")
         .agg(F.first("axis", ignorenulls=True).alias("axis"), F.first("a").alias("a"), F.first("b").alias("b"), F.flatten(F.collect_list("marks")).alias("marks"))
     )
