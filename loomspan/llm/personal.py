@@ -132,7 +132,6 @@ _ADDRESS_LAST = re.compile(
     re.X | re.I,
 )
 _NO_STREET = frozenset("at of in and on was from bp to with by or is for".split())
-_STREET_MARKS = tuple(dict.fromkeys([*(f" {w}" for w in (STREET_LAST + " " + STREET_FIRST).split()), "gracht", "straat", "laan", "kade"]))
 _LAST_MARKS = tuple(dict.fromkeys([*(f"{w} " for w in STREET_NUMBER_LAST.split() if len(w) > 3), *(e for e in STREET_ENDING.split()), " am ", "\nam ", " im ", "\"am ", "=am ", ": am "]))
 _NAME_TOKEN = rf"(?:{_L}\.|{_W})"
 _HEAD = re.compile(rf"(?<![\w.@+])(?:{_NAME_TOKEN}(?:{_SP}|(?<=\.))){{1,6}}$")
@@ -322,6 +321,13 @@ def _shape(value: str) -> str:
     return re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value[:24]))
 
 
+def _has(low: str, marks: tuple[str, ...]) -> bool:
+    for mark in marks:
+        if mark in low:
+            return True
+    return False
+
+
 def candidates(text: str | None, names: Names) -> list[tuple[int, int, int, str, str, str]]:
     """(kind, start, end, votes, word before, word after) of each candidate span of a whole text."""
     if not text:
@@ -330,11 +336,10 @@ def candidates(text: str | None, names: Names) -> list[tuple[int, int, int, str,
     spans = [(0, a, b) for a, b in _email(text, low)]
     spans += [(1, *m.span()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 8]
     spans += [(2, *m.span()) for m in _ID.finditer(text)]
-    if any(mark in low for mark in _STREET_MARKS):
-        spans += [(3, *m.span()) for m in _ADDRESS.finditer(text) if not _NO_STREET.intersection(m.group().lower().split())]
-    if any(mark in low for mark in _LAST_MARKS):
+    spans += [(3, *m.span()) for m in _ADDRESS.finditer(text) if not _NO_STREET.intersection(m.group().lower().split())]
+    if _has(low, _LAST_MARKS):
         spans += [(3, *m.span()) for m in _ADDRESS_LAST.finditer(text)]
-    if any(mark in low for mark in names.marks):
+    if _has(low, names.marks):
         spans += [(4, a, b) for a, b in _person(text, names)]
     out = []
     for k, a, b in spans:
