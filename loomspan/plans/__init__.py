@@ -1,11 +1,11 @@
 """Queries over the test tables, each with equivalent SQL where SQL can express it."""
 
-from loomspan.plans import dealt
+from loomspan.plans import dealt, signal_plans
 
-MODULES = [dealt]
+MODULES = [dealt, signal_plans]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark, d):
-    return dealt.p1_found(spark, d)
+    return signal_plans.primary_domain(spark, d)
