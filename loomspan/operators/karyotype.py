@@ -16,7 +16,7 @@ def packed_numbers(cell: Column, sep: str = "_") -> Column:
 def block_orientation(df: DataFrame, block: str, left: str, right: str) -> DataFrame:
     """'+' or '-' by the sign of the correlation of two order arrays; null where it isn't defined."""
     at = df.select(block, F.posexplode(F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r"))).alias("i", "z"))
-    c = F.corr(F.col("z.l").cast("double"), F.col("z.r").cast("double"))
+    c = F.round(F.covar_pop(F.col("z.l").cast("double"), F.col("z.r").cast("double")), 9)  # has the correlation's sign
     return at.groupBy(block).agg(F.when(c > 0, "+").when(c < 0, "-").alias("orientation"))
 
 

@@ -25,17 +25,24 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
     return df.join(ranks, [*keys, value], "left") if not keys else df.join(ranks, [*keys, value])
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson correlation over rows with both values; null where either doesn't vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per keys over rows with both values, ties at their mean rank."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(known, keys, x, "__rx"), keys, y, "__ry")
-    return ranked.groupBy(*keys).agg(F.corr("__rx", "__ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*keys).agg(correlation("__rx", "__ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def pearson_distance(x: str, y: str) -> Column:
     """Aggregate: 1 - correlation; null where either side doesn't vary."""
-    varies = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(varies, 1.0 - F.corr(x, y))
+    return 1.0 - correlation(x, y)
 
 
 def erfc(x: Column) -> Column:
@@ -128,12 +135,14 @@ def genome_size(histo: DataFrame, keys: list[str], depth: str, count: str, least
     return out.select(*keys, "peak", "bases", (F.col("bases") / F.col("peak")).alias("genome_size"))
 
 
-def pairwise_identity(aligned: DataFrame, name: str, seq: str, both: bool = True) -> DataFrame:
+def pairwise_identity(aligned: DataFrame, name: str, seq: str, both: bool = True, most: int = 2000) -> DataFrame:
     """Share of equal columns of every unordered pair of aligned sequences of one alignment.
 
     Columns with a gap in both, or with ``both`` in either, don't count. An alignment is a stated,
-    small set of rows; pairs are made once (a < b) and counted in place.
+    small set of rows (at most ``most``, else an error); pairs are made once (a < b) and counted in place.
     """
+    if aligned.limit(most + 1).count() > most:
+        raise ValueError(f"an alignment of over {most} sequences")
     b = aligned.select(F.col(name).alias("b"), F.col(seq).alias("sb"))
     pairs = aligned.select(F.col(name).alias("a"), F.col(seq).alias("sa")).join(b, F.col("a") < F.col("b"))
     cols = F.zip_with(F.split("sa", ""), F.split("sb", ""), lambda x, y: F.when(((x == "-") | (y == "-")) if both else ((x == "-") & (y == "-")), F.lit(None)).when(x == y, 1).otherwise(0))
