@@ -143,10 +143,13 @@ def greedy_exclusive(blocks: DataFrame, block: str, size: str, members: str, sha
 
 
 def kmers(seq: Column, k: Column | int) -> Column:
-    """Overlapping substrings of length k; an empty array for a shorter sequence."""
+    """Overlapping substrings of length k; an empty array for a shorter sequence.
+
+    One pass of a pattern that looks k characters ahead and moves on by one: substrings by position
+    would cost the square of the length, as positions in a string are counted from its start.
+    """
     k = F.lit(k) if isinstance(k, int) else k
-    n = F.length(seq) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, k))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(seq, F.concat(F.lit("(?s)(?=(.{"), k.cast("string"), F.lit("})).")), F.lit(1))
 
 
 def kmer_similarity(a: Column, b: Column, k: int = 15) -> tuple[Column, Column]:
