@@ -349,26 +349,38 @@ def candidates(text: str | None, names: Names) -> list[tuple[int, int, int, str,
     return out
 
 
+#: Prior of a labeler's votes (-, 0, +) on spans that are none and on spans that are one.
+VOTE_PRIOR = np.array([[0.50, 0.35, 0.15], [0.05, 0.25, 0.70]])
+#: Weight of that prior, as a share of the candidates.
+PRIOR_WEIGHT = 0.1
+
+
 def estimate(counts: dict[str, int], rounds: int = 60) -> tuple[np.ndarray, dict[str, float]]:
     """EM over vote vectors: (reliability of each labeler, probability that a vector's spans are true).
 
-    A labeler that votes is right with its reliability, whichever way it votes; reliabilities stay in
-    [0.55, 0.99], which keeps the two classes from changing places.
+    The model has, for each labeler and class, the shares of its votes -, 0 and +, so a labeler that
+    votes alike on both classes tells nothing, and one that only ever votes one way may tell much.
+    The prior of the shares keeps the classes from changing places where nearly all candidates are of
+    one class. The reliability of a labeler is the share of its votes (without 0) that are right.
     """
     patterns = sorted(counts)
-    votes = np.array([[1 if c == "+" else -1 if c == "-" else 0 for c in p] for p in patterns], dtype=float).reshape(len(patterns), -1)
+    votes = np.array([["-0+".index(c) for c in p] for p in patterns]).reshape(len(patterns), -1)
     n = np.array([counts[p] for p in patterns], dtype=float)
-    r = np.full(votes.shape[1], 0.8)
+    labelers = np.arange(votes.shape[1])
+    onehot = np.eye(3)[votes]  # vector, labeler, vote
+    share = np.repeat(VOTE_PRIOR[:, None, :], len(labelers), axis=1)
     prior = 0.5
     p = np.full(len(patterns), 0.5)
     for _ in range(rounds):
-        odds = np.log(prior / (1 - prior)) + votes @ np.log(r / (1 - r))
+        logs = np.log(share)[:, labelers, votes].sum(-1)
+        odds = np.log(prior / (1 - prior)) + logs[1] - logs[0]
         p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        right = ((votes > 0) * p[:, None] + (votes < 0) * (1 - p)[:, None]) * n[:, None]
-        cast = (votes != 0) * n[:, None]
-        r = np.clip((right.sum(0) + 8) / (cast.sum(0) + 10), 0.55, 0.99)
+        weight = np.stack([(1 - p) * n, p * n])
+        cast = np.einsum("cv,vlk->clk", weight, onehot) + VOTE_PRIOR[:, None, :] * (PRIOR_WEIGHT * n.sum() + 1)
+        share = cast / cast.sum(-1, keepdims=True)
         prior = float(np.clip((n @ p + 1) / (n.sum() + 2), 0.05, 0.95))
-    return r, dict(zip(patterns, p.tolist()))
+    right = n @ (onehot[:, :, 2] * p[:, None] + onehot[:, :, 0] * (1 - p)[:, None])
+    return right / np.maximum(n @ (onehot[:, :, 2] + onehot[:, :, 0]), 1e-9), dict(zip(patterns, p.tolist()))
 
 
 def _features(votes: str, before: str, after: str, value: str) -> list[str]:

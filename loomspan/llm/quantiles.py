@@ -226,7 +226,7 @@ def combine(summaries: DataFrame, keys: list[str], size: int = SIZE) -> DataFram
         return _emit(first, own, [s.rows() for s in ready], [s.err for s in ready])
 
     salted = rows.withColumn("salt", F.spark_partition_id() % F.lit(FAN_IN))
-    first = salted.repartition(*own, "salt").sortWithinPartitions(*own).drop("salt")
+    first = salted.repartition(*own, "salt").sortWithinPartitions(*own, "salt").drop("salt")
     return first.mapInArrow(_merged(own, size, keep), schema).select(*(F.col(o).alias(k) for o, k in zip(own, keys)), "level", "buf", "err")
 
 
