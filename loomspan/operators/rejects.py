@@ -112,7 +112,7 @@ def parse_batch(raw: pa.Array, fields: list[Field], comment: bool = True) -> dic
     # --- field borders of the records with the right structure
     k = len(fields)
     first_comma = np.concatenate(([0], np.cumsum(per_row)))[:-1]
-    inner = commas[first_comma[good][:, None] + np.arange(k - 1)[None, :]] if k > 1 and len(good) else np.zeros((len(good), 0), dtype=np.int64)
+    inner = commas[first_comma[good][:, None] + np.arange(k - 1)[None, :]] if k > 1 and len(good) else np.zeros((len(good), k - 1), dtype=np.int64)
     lo = np.concatenate([start[good][:, None], inner + 1], axis=1)
     hi = np.concatenate([inner, end[good][:, None]], axis=1)
     some = hi > lo

@@ -397,7 +397,8 @@ def tandem_summary(spark: SparkSession, path: str) -> DataFrame:
 def anchor_spans(spark: SparkSession, path: str, genes_a: DataFrame, genes_b: DataFrame) -> DataFrame:
     """Block endpoints resolved by gene (gene, chrom, start, end): the span per chromosome pair."""
     c = F.split("value", "\t")
-    df = lines(spark, path).where(F.size(c) >= 4).select(F.monotonically_increasing_id().alias("i"), F.explode(F.array(F.struct(c[0].alias("a"), c[2].alias("b")), F.struct(c[1].alias("a"), c[3].alias("b")))).alias("p")).select("i", "p.a", "p.b")
+    ends = F.array(F.struct(c[0].alias("a"), c[2].alias("b")), F.struct(c[1].alias("a"), c[3].alias("b")))
+    df = lines(spark, path).where(F.size(c) >= 4).select(F.col("value").alias("i"), F.explode(ends).alias("p")).select("i", "p.a", "p.b")
     ga = genes_a.select(F.col("gene").alias("a"), F.col("chrom").alias("a_chrom"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     gb = genes_b.select(F.col("gene").alias("b"), F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     j = df.join(ga, "a").join(gb, "b")
