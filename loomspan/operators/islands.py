@@ -23,10 +23,43 @@ def island_ids(df: DataFrame, keys: list[str], start: str, end: str, gap: int =
     return df.withColumn("island", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__open")
 
 
+#: Axis units of a shard. Long intervals cost a row per shard they touch.
+SHARD = 1 << 22
+
+
+def shard_cells(df: DataFrame, keys: list[str], start: str, end: str, width: int = SHARD, keep: list[str] = ()) -> DataFrame:
+    """Half-open intervals cut at shard borders: keys, ``keep``, __shard, __lo, __hi and __first (1 on the
+    first part of an interval). A hot key is thereby spread over its shards. Empty intervals get one part."""
+    s, last = F.col(start).cast("bigint"), F.greatest(F.col(end).cast("bigint") - 1, F.col(start).cast("bigint"))
+    w = F.lit(width).cast("bigint")
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, *keep, s.alias("__s"), F.col(end).cast("bigint").alias("__e"), F.explode(F.sequence(F.floor(s / w), F.floor(last / w))).alias("__shard"))
+    return rows.select(*keys, *keep, "__shard", F.greatest("__s", F.col("__shard") * w).alias("__lo"), F.least("__e", (F.col("__shard") + 1) * w).alias("__hi"), F.when(F.col("__s") >= F.col("__shard") * w, 1).otherwise(0).alias("__first"))
+
+
 def merge_islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, rule: str = "max", aggs: list[Column] | None = None, ties: list | None = None) -> DataFrame:
-    """One row per island: keys, island, start, end, n and further aggregates."""
-    rows = island_ids(df.where(F.col(start).isNotNull() & F.col(end).isNotNull()), keys, start, end, gap, rule, ties)
-    return rows.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"), *(aggs or []))
+    """One row per island: keys, start, end, n and further aggregates.
+
+    With the rule 'max' and no further aggregates the axis is cut into shards: islands form within a
+    (key, shard), and only those that touch a shard's border are stitched over the whole key, at most
+    two a shard. Otherwise the rows of a key pass one sorted window.
+    """
+    if rule != "max" or aggs:
+        rows = island_ids(df.where(F.col(start).isNotNull() & F.col(end).isNotNull()), keys, start, end, gap, rule, ties)
+        return rows.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"), *(aggs or [])).drop("island")
+    # intervals that reach gap further right touch exactly where those at most gap apart should join
+    cells = shard_cells(df.withColumn("__end", F.col(end) + gap), keys, start, "__end")
+    w = _axis([*keys, "__shard"], ["__lo", "__hi"])
+    top = F.max("__hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("__open", F.when(top.isNull() | (F.col("__lo") > top), 1).otherwise(0))
+    cells = cells.withColumn("__run", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cells.groupBy(*keys, "__shard", "__run").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__first").alias("n"))
+    border = (F.col("__lo") % SHARD == 0) | (F.col("__hi") % SHARD == 0)
+    over = _axis(keys, ["__lo"])
+    edge = runs.where(border).withColumn("__open", F.when(F.lag("__hi").over(over).eqNullSafe(F.col("__lo")), 0).otherwise(1))
+    edge = edge.withColumn("__run", F.sum("__open").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.groupBy(*keys, "__run").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("n").alias("n"))
+    cols = [*keys, F.col("__lo").alias(start), (F.col("__hi") - gap).alias(end), "n"]
+    return runs.where(~border).select(*cols).unionByName(edge.select(*cols))
 
 
 def union_length(df: DataFrame, keys: list[str], start: str, end: str, closed: bool = False) -> DataFrame:
@@ -36,12 +69,15 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str, closed: b
 
 
 def list_gaps(df: DataFrame, keys: list[str], start: str, end: str, least: int = 1, closed: bool = False) -> DataFrame:
-    """Uncovered stretches between merged intervals, at least ``least`` long: gap_start, gap_end."""
-    merged = merge_islands(df, keys, start, end, 1 if closed else 0)
-    w = _axis(keys, [start])
-    one = 1 if closed else 0
-    out = merged.withColumns({"gap_start": F.lag(end).over(w) + one, "gap_end": F.col(start) - one})
-    return out.where(F.col("gap_start").isNotNull() & (F.col("gap_end") - F.col("gap_start") + one >= least)).select(*keys, "gap_start", "gap_end")
+    """Uncovered stretches between merged intervals, at least ``least`` long: gap_start, gap_end.
+
+    They come from the run bitmaps of the period operator, which needs no window over a whole key.
+    """
+    from loomspan.operators.periods import merge_periods
+
+    one = 0 if closed else 1
+    got = merge_periods(df.where(F.col(start) <= F.col(end) - one), keys, F.col(start), F.col(end) - one).where("kind = 'gap'")
+    return got.where(F.col("to_pos") - F.col("from_pos") + 1 >= least).select(*keys, F.col("from_pos").alias("gap_start"), (F.col("to_pos") + one).alias("gap_end"))
 
 
 def run_merge(df: DataFrame, keys: list[str], order: list, value: str, aggs: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.islands import shard_cells
+
 
 def _events(df: DataFrame, keys: list[str], cls: str, start: str, end: str) -> DataFrame:
     """(keys, pos, cls, delta): +1 where an interval opens, -1 where it closes, summed per position."""
@@ -36,8 +38,9 @@ def priority_segments(df: DataFrame, keys: list[str], cls: str, start: str, end:
 
 
 def priority_bp(df: DataFrame, keys: list[str], cls: str, start: str, end: str, priority: list[str]) -> DataFrame:
-    """Exclusive base pairs per keys and owning class."""
-    return priority_segments(df, keys, cls, start, end, priority).groupBy(*keys, "owner").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("bp"))
+    """Exclusive base pairs per keys and owning class, swept shard by shard, so that a hot key is spread."""
+    cells = shard_cells(df, keys, start, end, keep=[cls]).withColumnsRenamed({"__lo": start, "__hi": end})
+    return priority_segments(cells, [*keys, "__shard"], cls, start, end, priority).groupBy(*keys, "owner").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("bp"))
 
 
 def paint(df: DataFrame, regions: DataFrame, region: str, rstart: str, rend: str, start: str, end: str, cls: str, order: list[str], rest: str = "Others") -> DataFrame:
