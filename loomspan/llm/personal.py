@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,7 +75,7 @@ AFTER_COUNTER = {
 
 _L = r"[^\W\d_]"
 _W = rf"{_L}[\w’'-]*+"
-_SP = r"[   \t]{1,3}"
+_SP = r"[ \t\u00a0\u2009\u202f]{1,3}"
 
 
 def _any(words: str) -> str:
@@ -114,6 +115,20 @@ _ID = re.compile(
     )(?!\w|[-./,]\d)""",
     re.X,
 )
+#: A digit run that an id may hold; searched first, as a pattern that starts with a digit is found fast.
+_ID_DIGITS = re.compile(
+    r"""\d(?<!\d\d)(?:
+      (?<=[A-Za-z]\d)\d{5,8}
+    | (?<=[A-Za-z]\d)\d[A-Za-z]\d{5}
+    | (?<=[A-Za-z][ ]\d|[A-Za-z]{2}\d)\d(?:[ ]?\d{2}){2}[ ]?[A-Za-z]
+    | (?<=[XYZxyz]-\d|.[XYZxyz]\d)\d{6}-?[A-Za-z]
+    | (?<=[XYZxyz]-\d)\d{3}-\d{4}-\d{2}
+    | \d{2}([- ])\d{2}\1\d{4}
+    | \d{5}[-+]\d{4}
+    | \d{7}-?[A-Za-z]
+    )(?!\w)""",
+    re.X,
+)
 _CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w’'-]*+"
 _ADDRESS = re.compile(
     rf"""(?<![\w./,:=#+-])\d{{1,4}}(?:[A-Za-z](?!\w)|-[A-Za-z](?!\w)|\ (?:bis|ter)(?!\w))?,?{_SP}(?:
@@ -132,8 +147,17 @@ _ADDRESS_LAST = re.compile(
     re.X | re.I,
 )
 _NO_STREET = frozenset("at of in and on was from bp to with by or is for".split())
-_LAST_MARKS = tuple(dict.fromkeys([*(f"{w} " for w in STREET_NUMBER_LAST.split() if len(w) > 3), *(e for e in STREET_ENDING.split()), " am ", "\nam ", " im ", "\"am ", "=am ", ": am "]))
+#: Words and endings of which an address with the number last has one; found in one pass. The value is
+#: 0 for an ending, else the length of the word.
+_LAST_MARKS = ahocorasick.Automaton()
+for _mark in STREET_NUMBER_LAST.split():
+    _LAST_MARKS.add_word(f"{_mark} ", len(_mark) + 1)
+    _LAST_MARKS.add_word(f"{_mark}\u00a0", len(_mark) + 1)
+for _mark in STREET_ENDING.split():
+    _LAST_MARKS.add_word(_mark, 0)
+_LAST_MARKS.make_automaton()
 _NAME_TOKEN = rf"(?:{_L}\.|{_W})"
+_FAMILY = re.compile(rf"{_L}+(?:[’'-]{_L}+)*+$")
 _HEAD = re.compile(rf"(?<![\w.@+])(?:{_NAME_TOKEN}(?:{_SP}|(?<=\.))){{1,6}}$")
 _TAIL = re.compile(rf",{_SP}({_W}(?:{_SP}(?:{_L}\.|{_W}(?=$|[\W])))?|{_L}\.)")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+|\S)\W{0,3}$")
@@ -176,11 +200,10 @@ class Names:
         endings = frozenset(stems | {e for e, c in count.items() if c >= least and e[1:] not in stems})
         others = sorted(f.lower() for f in family if not any(f.endswith(e) for e in endings))
         names = Names(given, family, endings, marks=(*sorted(e.lower() for e in endings), *others))
-        looks = "|".join(f"(?<={x})" for e in sorted(endings) for x in dict.fromkeys((re.escape(e), re.escape(e.upper()), re.escape(e.title()))))
-        odd = "|".join(rf"(?i:{re.escape(f)})(?!\w)" for f in sorted(family) if not any(f.endswith(e) for e in endings))
-        if looks or odd:
-            # the end of a family name: a word with a shared ending, or an odd name of the list
-            names.anchor = re.compile(rf"(?<![\w’'-])(?:{_L}++(?:[’'-]{_L}++)*+{f'(?:{looks})' if looks else '(?!)'}{f'|{odd}' if odd else ''})(?![\w’'])")
+        every = dict.fromkeys(x for e in sorted([*endings, *others]) for x in (e, e.upper(), e.title()))
+        if every:
+            # the end of a family name: a shared ending, or an odd name of the list
+            names.anchor = re.compile(rf"(?:{'|'.join(map(re.escape, every))})(?![\w’'])(?!-{_L})")
         return names
 
 
@@ -205,6 +228,28 @@ def _email(text: str, low: str) -> list[tuple[int, int]]:
     return out
 
 
+def _may_end_in_number(low: str) -> bool:
+    for end, length in _LAST_MARKS.iter(low):
+        if length:
+            if end < length or not low[end - length].isalnum():
+                return True
+        elif low[end + 1 : end + 7].lstrip("., \t\u00a0\u2009\u202f")[:1].isdigit():
+            return True
+    return False
+
+
+def _ids(text: str) -> list[tuple[int, int]]:
+    out, done = [], 0
+    for d in _ID_DIGITS.finditer(text):
+        for at in range(max(done, d.start() - 4), d.start() + 1):
+            m = _ID.match(text, at)
+            if m and m.end() >= d.end():
+                out.append(m.span())
+                done = m.end()
+                break
+    return out
+
+
 def _case_of(word: str) -> str:
     return "U" if word.isupper() and len(word) > 1 else "T" if word[:1].isupper() else "l"
 
@@ -224,10 +269,17 @@ def _person(text: str, names: Names) -> list[tuple[int, int]]:
     if names.anchor is None:
         return out
     for m in names.anchor.finditer(text):
-        a, b = m.span()
+        b = m.end()
+        whole = _FAMILY.search(text, max(0, b - 60), b)
+        a = whole.start()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_’'-"):
+            continue
+        family = whole.group()
+        if len(family) == len(m.group()) and family.casefold() not in names.family:
+            continue  # an ending alone is no name
         if b < len(text) and text[b] == "@" or a and text[a - 1] in "@.+_":
             continue
-        family_upper = m.group().isupper()
+        family_upper = family.isupper()
         head = _HEAD.search(text, max(0, a - 60), a)
         start = a
         if head and text[head.end() - 1 : head.end()] != "\n":
@@ -254,7 +306,7 @@ def _person(text: str, names: Names) -> list[tuple[int, int]]:
         if tail:
             words = tail.group(1).split()
             first = words[0]
-            if _given_like(first, family_upper, names) and (first.casefold() in names.given or first.endswith(".") or _case_of(first) == _case_of(m.group())):
+            if _given_like(first, family_upper, names) and (first.casefold() in names.given or first.endswith(".") or _case_of(first) == _case_of(family)):
                 end = tail.end() if len(words) == 1 or (words[1].endswith(".") and len(words[1]) == 2) or words[1].casefold() in names.given else b + tail.group().index(first) + len(first)
                 # particles in front of the family name belong to it
                 p = re.search(rf"(?i)(?:(?:{_any(PARTICLES)}){_SP})+$", text[max(0, a - 16) : a])
@@ -335,9 +387,9 @@ def candidates(text: str | None, names: Names) -> list[tuple[int, int, int, str,
     low = text.lower()  # tells only whether a pattern can match at all
     spans = [(0, a, b) for a, b in _email(text, low)]
     spans += [(1, *m.span()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 8]
-    spans += [(2, *m.span()) for m in _ID.finditer(text)]
+    spans += [(2, a, b) for a, b in _ids(text)]
     spans += [(3, *m.span()) for m in _ADDRESS.finditer(text) if not _NO_STREET.intersection(m.group().lower().split())]
-    if _has(low, _LAST_MARKS):
+    if _may_end_in_number(low):
         spans += [(3, *m.span()) for m in _ADDRESS_LAST.finditer(text)]
     if _has(low, names.marks):
         spans += [(4, a, b) for a, b in _person(text, names)]
