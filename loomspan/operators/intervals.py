@@ -1,9 +1,11 @@
 """Joins on intervals: overlap, containment, nearest feature, lift-over.
 
 Intervals are half-open [start, end) unless ``closed`` is set. Candidates meet by an equality on
-(keys, level, bin). An interval lives on the finest level on which it fits into two bins or so; a
-pair meets on the coarser of its two levels, in the one bin that holds the greater of the two starts.
-An interval therefore costs a few rows, however long it is, and no pair comes out twice.
+(keys, role, level, bin). An interval lives on the finest level on which it fits into two bins or so;
+a pair meets on the coarser of its two levels, in the one bin that holds the greater of the two
+starts. In role 0 the left interval stands on its own level and the right one, if it is shorter, on
+that level too; in role 1 it is the other way round. So two short intervals never meet on a coarse
+level, an interval costs a few rows however long it is, and no pair comes out twice.
 """
 
 from __future__ import annotations
@@ -53,20 +55,22 @@ def flip_to_plus(df: DataFrame, start: str, end: str, strand: str, length: str)
     return df.withColumns({start: F.when(minus, F.col(length) - F.col(end)).otherwise(F.col(start)), end: F.when(minus, F.col(length) - F.col(start)).otherwise(F.col(end))})
 
 
-def _binned(df: DataFrame, keys: list[str], lo: Column, hi: Column, tag: str) -> DataFrame:
+def _binned(df: DataFrame, lo: Column, hi: Column, tag: str, left: bool) -> DataFrame:
     df = df.withColumns({f"__{tag}s": lo, f"__{tag}e": hi}).where(F.col(f"__{tag}s").isNotNull() & F.col(f"__{tag}e").isNotNull())
     s, last = F.col(f"__{tag}s"), F.greatest(F.col(f"__{tag}e") - 1, F.col(f"__{tag}s"))
     own = F.lit(len(LEVELS) - 1)
     for i in reversed(range(len(LEVELS) - 1)):
         own = F.when(last - s < LEVELS[i], F.lit(i)).otherwise(own)
 
-    def at_level(i: int, w: int) -> Column:
-        bins = F.transform(F.sequence(F.floor(s / w), F.floor(last / w)), lambda b: F.struct(F.lit(i).alias("lv"), b.alias("bin")))
-        return F.when(own <= i, bins).otherwise(F.array().cast("array<struct<lv:int,bin:bigint>>"))
+    def at_level(i: int, w: int, role: int, here: Column) -> Column:
+        bins = F.transform(F.sequence(F.floor(s / w), F.floor(last / w)), lambda b: F.struct(F.lit(role).alias("role"), F.lit(i).alias("lv"), b.alias("bin")))
+        return F.when(here, bins).otherwise(F.array().cast("array<struct<role:int,lv:int,bin:bigint>>"))
 
-    cells = F.flatten(F.array(*(at_level(i, w) for i, w in enumerate(LEVELS))))
-    df = df.withColumn(f"__{tag}o", own).withColumn("__c", F.explode(cells))
-    return df.select("*", F.col("__c.lv").alias(f"__{tag}lv"), F.col("__c.bin").alias(f"__{tag}bin")).drop("__c")
+    o = F.col(f"__{tag}o")
+    cells = [at_level(i, w, 0, o == i if left else o <= i) for i, w in enumerate(LEVELS)]
+    cells += [at_level(i, w, 1, o < i if left else o == i) for i, w in enumerate(LEVELS)]
+    df = df.withColumn(f"__{tag}o", own).withColumn("__c", F.explode(F.flatten(F.array(*cells))))
+    return df.select("*", *(F.col(f"__c.{c}").alias(f"__{tag}{c}") for c in ("role", "lv", "bin"))).drop("__c", f"__{tag}o")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], lspan: Span, rspan: Span, slack: int = 0, touching: bool = False) -> DataFrame:
@@ -79,14 +83,14 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     near = slack + (1 if touching else 0)
     ls, le = lspan.bounds()
     rs, re_ = rspan.bounds()
-    a = _binned(left, [k for k, _ in keys], ls - near, le + near, "l")
-    b = _binned(right, [k for _, k in keys], rs, re_, "r")
+    a = _binned(left, ls - near, le + near, "l", True)
+    b = _binned(right, rs, re_, "r", False)
     lo = F.greatest(F.col("__ls"), F.col("__rs"))
     width = F.element_at(F.array(*(F.lit(w).cast("bigint") for w in LEVELS)), F.col("__llv") + 1)
     on = [a[x] == b[y] for x, y in keys] + [
+        a["__lrole"] == b["__rrole"],
         a["__llv"] == b["__rlv"],
         a["__lbin"] == b["__rbin"],
-        (a["__lo"] == a["__llv"]) | (b["__ro"] == b["__rlv"]),
         F.col("__ls") < F.col("__re"),
         F.col("__rs") < F.col("__le"),
         F.floor(lo / width) == a["__lbin"],

@@ -204,7 +204,7 @@ def curve_summary(curves: DataFrame) -> DataFrame:
 
 def list_cell_sizes(cell: Column, sep: str = ",") -> Column:
     """Number of non-empty entries of a list cell."""
-    return F.size(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), sep), F.trim), lambda x: x != ""))
+    return F.size(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def low_copy(counts: DataFrame, family: str, species: str, n: str, species_total: int, most: int = 5) -> DataFrame:

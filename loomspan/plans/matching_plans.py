@@ -13,7 +13,7 @@ from loomspan.operators import matching as M
 from loomspan.operators import pav as P
 from loomspan.operators import relational as R
 from loomspan.plans.signal_plans import CALLS, _calls
-from loomspan.runtime import table
+from loomspan.runtime import Stored, table
 
 A, B = "lrc%", "asm%"
 
@@ -35,16 +35,21 @@ def _cands(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("score", F.round(M.overlap_score(ro, F.lit(0.0), F.abs(a_s - b_s)), 6)).select("a", "b", "reason", "score")
 
 
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates, computed once for the several steps that read them."""
+    return Stored(_cands(spark, d), "candidates").df
+
+
 def match_candidates(spark, d):
     return _cands(spark, d)
 
 
 def reciprocal_best(spark, d):
-    return M.reciprocal_best(_cands(spark, d), "a", "b", "score")
+    return M.reciprocal_best(_kept(spark, d), "a", "b", "score")
 
 
 def unmatched_reasons(spark, d):
-    c = _cands(spark, d)
+    c = _kept(spark, d)
     left, _ = _two_sets(spark, d)
     return M.unmatched_reason(left, c, M.reciprocal_best(c, "a", "b", "score"), "a", "b", "score").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
