@@ -16,6 +16,9 @@ A round is stable when every edge leads to a vertex without lower neighbours, wh
 vertex holds the minimum of its group. Rounds are written to the shared folder, so that a lost
 executor costs at most the current round. The only wide rows are edges; nothing is collected per
 group, and a hot minimum is only ever the probe side of a join that adaptive execution may split.
+
+Ids that are no integers are numbered first, as rounds over 64-bit numbers sort and shuffle faster;
+the numbers' order serves the rounds, and the least id of each group is found at the end.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from loomspan.runtime import Stored
 
 MAX_ROUNDS = 100
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def _tidy(spark) -> None:
@@ -36,26 +40,19 @@ def _tidy(spark) -> None:
     spark._jvm.System.gc()
 
 
-def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(id, group_id) of every id that is linked to another one; ``group_id`` is the group's least id.
+def _links(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (hi, lo) of pairs of two different known ids."""
+    ends = pairs.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
+    return ends.where("ok and hi <> lo").select("hi", "lo").distinct()
 
-    Defined cases: pairs with a null or of an id with itself link nothing; repeated and turned round
-    pairs count once; ids are compared as their type compares (strings by code point); no pairs give
-    no rows; other columns are ignored. Ids may be of any orderable type. The row of the least id of
-    a group has id = group_id.
-    """
-    spark = pairs.sparkSession
-    edges = (
-        pairs.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
-        .where("ok and hi <> lo")
-        .select("hi", "lo")
-        .distinct()
-    )
+
+def _rounds(edges: DataFrame, max_rounds: int) -> Stored:
+    """Stored (hi, lo): every vertex but the minimum of its group, with that minimum."""
     kept = Stored(edges, "links")
     for _ in range(max_rounds):
         e = kept.df
         least = e.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
-        # what a vertex with lower neighbours sends down: m to each of them, and itself to m
+        # what a vertex with lower neighbours sends down: m to each of them
         down = e.join(least, e["hi"] == least["v"]).select("hi", "lo", "m")
         # what it sends up: m to each higher neighbour; edges to a local minimum stay
         up = down.join(least.select(F.col("v").alias("w"), F.col("m").alias("m_lo")), F.col("lo") == F.col("w"), "left")
@@ -72,23 +69,51 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS)
         kept.drop()
         kept = new
         kept.df = new.df.select("hi", "lo")
-        _tidy(spark)
+        _tidy(edges.sparkSession)
         if not open_edges:
-            break
-    else:
-        raise RuntimeError(f"not stable after {max_rounds} rounds")
-    least = kept.df.select(F.col("lo").alias("id")).distinct().withColumn("group_id", F.col("id"))
-    return kept.df.select(F.col("hi").alias("id"), F.col("lo").alias("group_id")).unionByName(least)
+            return kept
+    raise RuntimeError(f"not stable after {max_rounds} rounds")
+
+
+def _labels(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, group_id) of all vertices, in the order of the ids given."""
+    done = _rounds(edges, max_rounds).df
+    least = done.select(F.col("lo").alias("id")).distinct().withColumn("group_id", F.col("id"))
+    return done.select(F.col("hi").alias("id"), F.col("lo").alias("group_id")).unionByName(least)
+
+
+def _numbered(ids: DataFrame) -> Stored:
+    """Stored (id, number) of the distinct values of the one column of ``ids``."""
+    known = ids.toDF("id").where("id is not null").distinct()
+    return Stored(known.withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+
+def _by_number(pairs: DataFrame, a: str, b: str, numbers: Stored, max_rounds: int) -> DataFrame:
+    """Groups of the pairs whose ids both have a number."""
+    left = numbers.df.select(F.col("id").alias("x"), F.col("number").alias("i"))
+    right = numbers.df.select(F.col("id").alias("y"), F.col("number").alias("j"))
+    both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    both = both.join(left, F.col("a") == F.col("x")).select("i", "b").join(right, F.col("b") == F.col("y")).select("i", "j")
+    labels = _labels(_links(both, "i", "j"), max_rounds).toDF("number", "root")
+    named = Stored(labels.join(numbers.df, "number").select("id", "root"), "named").df
+    least = named.groupBy("root").agg(F.min("id").alias("group_id"))
+    return named.join(least, "root").select("id", "group_id")
+
+
+def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(id, group_id) of every id that is linked to another one; ``group_id`` is the group's least id.
+
+    Defined cases: pairs with a null or of an id with itself link nothing; repeated and turned round
+    pairs count once; ids are compared as their type compares (strings by code point); no pairs give
+    no rows; other columns are ignored. Ids may be of any orderable type. The row of the least id of
+    a group has id = group_id.
+    """
+    if dict(pairs.dtypes)[a] in INTEGERS:
+        return _labels(_links(pairs, a, b), max_rounds)
+    ends = pairs.select(F.explode(F.array(a, b)).alias("id"))
+    return _by_number(pairs, a, b, _numbered(ends), max_rounds)
 
 
 def match_groups(matches: DataFrame, calls: DataFrame, a: str, b: str, call_id: str) -> DataFrame:
-    """``hash_to_min`` over the pairs whose two ids both occur in ``calls``."""
-    known = calls.select(F.col(call_id).alias("known")).where("known is not null").distinct()
-    pairs = (
-        matches.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
-        .where("ok and a <> b")
-        .select("a", "b")
-        .distinct()
-    )
-    pairs = pairs.join(known, pairs["a"] == known["known"], "left_semi").join(known, pairs["b"] == known["known"], "left_semi")
-    return hash_to_min(pairs, "a", "b")
+    """The groups over the pairs whose two ids both occur in ``calls``; see ``hash_to_min``."""
+    return _by_number(matches, a, b, _numbered(calls.select(call_id)), MAX_ROUNDS)
