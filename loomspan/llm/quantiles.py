@@ -12,8 +12,8 @@ bound of n values is at most n * log2(n / size) / (2 * size) ranks. Summaries me
 number: partitions, days and reruns combine by the same step. Groups of fewer than ``size`` values
 are exact.
 
-Stored form: one row per buffer (group columns, ``level``, ``buf`` array<double>, ``err``); ``err`` is
-the error gathered by the row's own summary, held on one of its rows.
+Stored form: one row per buffer (group columns, ``summary_level``, ``summary_buf`` array<double>,
+``summary_err``); the last is the error gathered by the row's own summary, held on one of its rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ SIZE = 4096
 BUFFER_ROWS = 1 << 20
 #: Summaries of one group that one task may merge in the first merging step.
 FAN_IN = 64
+INNER, OUTER = ("level", "buf", "err"), ("summary_level", "summary_buf", "summary_err")
 
 
 class Summary:
@@ -202,12 +203,12 @@ def summarise(df: DataFrame, keys: list[str], value: str, size: int = SIZE) -> D
     """Summaries per group ``keys`` of the numeric column ``value``, merged once per partition only.
 
     Rows where a key or the value is null, or the value is NaN, don't count. Key columns keep their
-    names; a key may not be called level, buf or err. An empty input gives no rows.
+    names. An empty input gives no rows.
     """
     own = _names(keys)
     base = df.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.col(value).cast("double").alias("v")).dropna()
     built = base.mapInArrow(_build(own, size), f"{_ddl(base, own)}level int, buf array<double>, err double")
-    return built.select(*(F.col(o).alias(k) for o, k in zip(own, keys)), "level", "buf", "err")
+    return built.select(*(F.col(o).alias(k) for o, k in zip(own, keys)), *(F.col(i).alias(o) for i, o in zip(INNER, OUTER)))
 
 
 def combine(summaries: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
@@ -218,7 +219,7 @@ def combine(summaries: DataFrame, keys: list[str], size: int = SIZE) -> DataFram
     holds one summary of bounded size.
     """
     own = _names(keys)
-    rows = summaries.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), "level", "buf", "err")
+    rows = summaries.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), *(F.col(o).alias(i) for i, o in zip(INNER, OUTER)))
     schema = f"{_ddl(rows, own)}level int, buf array<double>, err double"
 
     def keep(heads: list[pa.Table], ready: list[Summary]) -> pa.RecordBatch:
@@ -227,7 +228,7 @@ def combine(summaries: DataFrame, keys: list[str], size: int = SIZE) -> DataFram
 
     salted = rows.withColumn("salt", F.spark_partition_id() % F.lit(FAN_IN))
     first = salted.repartition(*own, "salt").sortWithinPartitions(*own, "salt").drop("salt")
-    return first.mapInArrow(_merged(own, size, keep), schema).select(*(F.col(o).alias(k) for o, k in zip(own, keys)), "level", "buf", "err")
+    return first.mapInArrow(_merged(own, size, keep), schema).select(*(F.col(o).alias(k) for o, k in zip(own, keys)), *(F.col(i).alias(o) for i, o in zip(INNER, OUTER)))
 
 
 def percentiles(summaries: DataFrame, keys: list[str], qs: dict[str, float], size: int = SIZE) -> DataFrame:
@@ -238,7 +239,7 @@ def percentiles(summaries: DataFrame, keys: list[str], qs: dict[str, float], siz
     """
     own = _names(keys)
     names, fractions = list(qs), list(qs.values())
-    rows = summaries.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), "level", "buf", "err")
+    rows = summaries.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), *(F.col(o).alias(i) for i, o in zip(INNER, OUTER)))
     schema = f"{_ddl(rows, own)}n bigint, {''.join(f'`{q}` double, ' for q in names)}rank_error double"
 
     def finish(heads: list[pa.Table], ready: list[Summary]) -> pa.RecordBatch:

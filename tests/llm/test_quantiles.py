@@ -84,5 +84,7 @@ def test_nulls_empty_and_no_keys(spark):
 
 
 def test_integer_column_and_extra_columns(spark):
-    df = spark.createDataFrame([("a", 5, 1), ("a", 7, 2), ("a", 9, 3)], "k string, v bigint, level int")
+    df = spark.createDataFrame([("a", 5, 1), ("a", 7, 1), ("a", 9, 1)], "k string, v bigint, level int")
     assert percentiles(summarise(df, ["k"], "v"), ["k"], {"m": 0.5}).first()["m"] == 7.0
+    out = percentiles(combine(summarise(df, ["k", "level"], "v"), ["k", "level"]), ["level", "k"], {"m": 0.5}).first()
+    assert out["level"] == 1 and out["k"] == "a" and out["m"] == 7.0
