@@ -139,35 +139,51 @@ def lift_over(points: DataFrame, blocks: DataFrame, row_id: str, keys: list[tupl
     return out.select(row_id, F.when(one, "lifted").when(F.col("n_blocks") > 1, "ambiguous").otherwise("no_block").alias("status"), *(F.when(one, F.col(c)).alias(c) for c in ("t_name", "lifted_start", "lifted_end")))
 
 
-def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str, row_id: str, fspan: Span, fid: str, fstrand: str | None = None) -> DataFrame:
-    """The nearest feature of every point, as two-sided as-of windows over one sort; no range join.
+def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str, row_id: str, fspan: Span, fid: str, fstrand: str | None = None, shard: int = LEVELS[1]) -> DataFrame:
+    """The nearest feature of every point, as a two-sided as-of join; no range join.
 
     Features that contain the point have distance 0. Otherwise the nearest end at or before and the
-    nearest start after it compete; ties go to the left. ``signed`` is negative upstream: to the left
-    of a '+' feature, to the right of a '-' one. Points of a key without features get nulls.
+    nearest start after it compete; ties go to the left, then to the least feature id. ``signed`` is
+    negative upstream: to the left of a '+' feature, to the right of a '-' one. Points of a key without
+    features get nulls.
+
+    Points and feature ends lie on one axis that is cut into shards. Windows run within a (key, shard);
+    what the shards before and after hold is carried in as one row per shard, so a hot key is spread.
     """
     s, e = fspan.bounds()
-    cols = [*keys]
-    none = F.lit(None)
     strand = F.col(fstrand) if fstrand else F.lit("+")
-    f = features.where(s.isNotNull() & e.isNotNull()).select(*cols, F.struct(s.alias("s"), e.alias("e"), F.col(fid).alias("fid"), strand.alias("st")).alias("f"))
-    opens = f.select(*cols, F.col("f.s").alias("at"), F.lit(1).alias("ord"), none.cast(dict(points.dtypes)[row_id]).alias(row_id), F.col("f").alias("opened"), F.lit(None).cast(f.schema["f"].dataType).alias("ended"))
-    ends = f.select(*cols, (F.col("f.e") - 1).alias("at"), F.lit(0).alias("ord"), none.cast(dict(points.dtypes)[row_id]).alias(row_id), F.lit(None).cast(f.schema["f"].dataType).alias("opened"), F.col("f").alias("ended"))
-    p = points.where(F.col(point).isNotNull()).select(*cols, F.col(point).cast("bigint").alias("at"), F.lit(2).alias("ord"), F.col(row_id), F.lit(None).cast(f.schema["f"].dataType).alias("opened"), F.lit(None).cast(f.schema["f"].dataType).alias("ended"))
-    axis = opens.unionByName(ends).unionByName(p)
+    f = features.where(s.isNotNull() & e.isNotNull()).select(*keys, F.struct(s.alias("s"), e.alias("e"), F.col(fid).alias("fid"), strand.alias("st")).alias("f"))
+    kind = f.schema["f"].dataType
+    nothing, nobody = F.lit(None).cast(kind), F.lit(None).cast(dict(points.dtypes)[row_id])
+    opens = f.select(*keys, F.col("f.s").alias("at"), F.lit(1).alias("ord"), nobody.alias(row_id), F.col("f").alias("opened"), nothing.alias("ended"))
+    ends = f.select(*keys, (F.col("f.e") - 1).alias("at"), F.lit(0).alias("ord"), nobody.alias(row_id), nothing.alias("opened"), F.col("f").alias("ended"))
+    p = points.where(F.col(point).isNotNull()).select(*keys, F.col(point).cast("bigint").alias("at"), F.lit(2).alias("ord"), F.col(row_id), nothing.alias("opened"), nothing.alias("ended"))
+    reach_of = F.struct(F.col("opened.e"), F.col("opened.s"), F.col("opened.fid"), F.col("opened.st"))
+    axis = opens.unionByName(ends).unionByName(p).withColumn("__shard", F.floor(F.col("at") / shard))
+
+    # what each shard hands on: its furthest reach, its last end, its first start
+    had, has = F.col("ended").isNotNull(), F.col("opened").isNotNull()
+    facts = axis.groupBy(*keys, "__shard").agg(
+        F.max(F.when(has, reach_of)).alias("r"),
+        F.min(F.when(had, F.struct((-F.col("at")).alias("o"), F.col("ended.fid").alias("t"), F.col("ended").alias("f")))).getField("f").alias("l"),
+        F.min(F.when(has, F.struct(F.col("at").alias("o"), F.col("opened.fid").alias("t"), F.col("opened").alias("f")))).getField("f").alias("n"),
+    )
+    order = Window.partitionBy(*keys).orderBy("__shard")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.desc("__shard")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = facts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__shard").alias("__ks"), F.max("r").over(before).alias("__r"), F.last("l", True).over(before).alias("__l"), F.last("n", True).over(after).alias("__n"))
+
     tie = F.coalesce(F.col("opened.fid"), F.col("ended.fid"))
-    back = Window.partitionBy(*keys).orderBy("at", "ord", F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("ord"), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    # the feature that reaches furthest right among those opened so far tells whether the point is inside one
-    axis = axis.withColumns(
-        {
-            "reach": F.max(F.struct(F.col("opened.e"), F.col("opened.s"), F.col("opened.fid"), F.col("opened.st"))).over(back),
-            "left": F.last("ended", ignorenulls=True).over(back),
-            "right": F.last("opened", ignorenulls=True).over(ahead),
-        }
-    ).where("ord = 2")
+    back = Window.partitionBy(*keys, "__shard").orderBy("at", "ord", F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "__shard").orderBy(F.desc("at"), F.desc("ord"), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    axis = axis.withColumns({"reach": F.max(F.when(has, reach_of)).over(back), "left": F.last("ended", ignorenulls=True).over(back), "right": F.last("opened", ignorenulls=True).over(ahead)}).where("ord = 2")
+    on = F.col("__shard") == F.col("__ks")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    axis = axis.join(carried, on, "left")
+    axis = axis.withColumns({"reach": F.greatest("reach", "__r"), "left": F.coalesce("left", "__l"), "right": F.coalesce("right", "__n")})
     dl, dr = F.col("at") - F.col("left.e") + 1, F.col("right.s") - F.col("at")
-    inside = F.col("reach.e") > F.col("at")
+    # the feature that reaches furthest right among those opened so far tells whether the point is inside one
+    inside = F.coalesce(F.col("reach.e") > F.col("at"), F.lit(False))
     take_left = dl.isNotNull() & (dr.isNull() | (dl <= dr))
     out = axis.withColumns(
         {

@@ -183,7 +183,7 @@ def load_records(df: DataFrame, raw: str, fields: list[Field], keep: list[str] |
     """Parse the records in column ``raw``; one row per record that is no comment.
 
     Result: the columns ``keep`` of the input (by default all but ``raw`` that clash with no field
-    name), one typed column per field, and ``reason``: null for a valid row, else why the record is
+    name nor ``reason``), one typed column per field, and ``reason``: null for a valid row, else why the record is
     rejected, with all fields null. Reasons in order: ``quoting``, ``column_count`` (null and empty
     records too), then ``bad_<field>`` in field order.
 
@@ -193,7 +193,7 @@ def load_records(df: DataFrame, raw: str, fields: list[Field], keep: list[str] |
     matter; text fields keep theirs. Repeated records stay; an empty input gives no rows. The parse
     is a narrow transformation: no shuffle, and a record is only ever held with its Arrow batch.
     """
-    names = {f.name for f in fields}
+    names = {f.name for f in fields} | {"reason"}
     keep = [c for c in df.columns if c != raw and c not in names] if keep is None else keep
     types = dict(df.dtypes)
     ddl = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"`{f.name}` {'bigint' if f.kind in ('int', 'signed') else 'string'}" for f in fields), "reason string"])

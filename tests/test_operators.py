@@ -76,6 +76,23 @@ def test_nearest_tie_sign_and_missing(spark):
     assert got == [(1, "a", 31, "left", 31), (2, "a", 0, "inside", 0), (3, None, None, None, None), (4, "b", 19, "right", 19)]
 
 
+def test_nearest_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    feats = [(rng.choice("ab"), s := rng.randint(0, 900), s + rng.choice([1, 5, 40, 300]), i) for i in range(40)]
+    pts = [(i, rng.choice("abc"), rng.randint(-50, 1300)) for i in range(200)]
+    f = spark.createDataFrame(feats, "k string, s bigint, e bigint, g int")
+    p = spark.createDataFrame(pts, "i int, k string, p bigint")
+    got = {r["i"]: (r["distance"], r["side"]) for r in I.nearest(p, f, ["k"], "p", "i", I.Span("s", "e"), "g", shard=64).collect()}
+    for i, k, x in pts:
+        mine = [(s, e) for fk, s, e, _ in feats if fk == k]
+        inside = any(s <= x < e for s, e in mine)
+        left, right = [x - e + 1 for _, e in mine if e <= x], [s - x for s, _ in mine if s > x]
+        want = (0, "inside") if inside else (None, None) if not mine else (min(left), "left") if left and (not right or min(left) <= min(right)) else (min(right), "right")
+        assert got[i] == want
+
+
 def test_strand_flanks_swap(spark):
     df = spark.createDataFrame([(100, 200, "+"), (100, 200, "-")], "s bigint, e bigint, st string")
     assert rows(I.strand_flanks(df, I.Span("s", "e"), "st", 150))[0] == (100, 200, "+", 0, 100, 200, 350)
