@@ -111,16 +111,16 @@ def protein_profile(proteins: DataFrame, name: str, seq: str, genes: DataFrame,
     """One row: records, repeated ids, ends with and inner stops, invalid residues, lengths, and ids that
     only the proteins or only the annotation have."""
     s = F.upper(F.col(seq))
-    p = proteins.select(F.col(name).alias("__i"), s.alias("__s"))
+    p = proteins.select(F.col(name).alias("__i"), s.alias("__s"), F.length(seq).alias("__n"))
     agg = p.agg(
         F.count(F.lit(1)).alias("records"),
         (F.count(F.lit(1)) - F.count_distinct("__i")).alias("repeated"),
-        F.count_if(F.col("__s").rlike(r"[*.]$")).alias("terminal_stop"),
-        F.count_if(F.col("__s").rlike(r"[*.].")).alias("inner_stop"),
+        F.count_if(F.col("__s").rlike(r"[*.]\z")).alias("terminal_stop"),
+        F.count_if(F.col("__s").rlike(r"(?s)[*.].")).alias("inner_stop"),
         F.count_if(F.col("__s").rlike("[^ACDEFGHIKLMNPQRSTVWYXBZUO*.]")).alias("invalid"),
-        F.min(F.length("__s")).alias("shortest"),
-        F.max(F.length("__s")).alias("longest"),
-        F.percentile(F.length("__s"), F.lit(0.5)).alias("median_length"),
+        F.min("__n").alias("shortest"),
+        F.max("__n").alias("longest"),
+        F.percentile("__n", F.lit(0.5)).alias("median_length"),
     )
     g = genes.select(F.col(gene).alias("__g")).distinct()
     ids = p.select("__i").distinct()

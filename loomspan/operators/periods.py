@@ -88,20 +88,30 @@ def _encode(keys: list[str], width: int):
     return run
 
 
+def _joined(tab: pa.Table, by: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Union of the bitmaps of each key: (a table row of each key, then key number, first, last of each run)."""
+    seg = _segments(tab, by)
+    maps = tab["runs"].combine_chunks()
+    offs = np.frombuffer(maps.buffers()[1], dtype=np.int32)[maps.offset : maps.offset + len(maps) + 1]
+    flat = np.frombuffer(maps.buffers()[2], dtype="<i4")[offs[0] // 4 : offs[-1] // 4].astype(np.int64)
+    seg_of = np.repeat(seg, np.diff(offs) // 8)
+    lo, hi = flat[0::2], flat[1::2]
+    order = np.lexsort((lo, seg_of))
+    return np.flatnonzero(np.diff(seg, prepend=-1)), *_union(seg_of[order], lo[order], hi[order], width)
+
+
 def _extract(keys: list[str], width: int):
     """Union the bitmaps of each (entity, shard); rows arrive sorted by it."""
     by = [*keys, "shard"]
 
+    def compact(tab: pa.Table) -> pa.Table:
+        """One bitmap for a key whose further bitmaps may follow: what is held stays as small as a shard."""
+        head, seg, lo, hi = _joined(tab, by, width)
+        _, maps = _bitmaps(seg, lo, hi)
+        return pa.Table.from_arrays([*(tab[k].take(head) for k in by), maps], names=tab.column_names)
+
     def rows_of(tab: pa.Table) -> pa.RecordBatch:
-        seg = _segments(tab, by)
-        maps = tab["runs"].combine_chunks()
-        offs = np.frombuffer(maps.buffers()[1], dtype=np.int32)[maps.offset : maps.offset + len(maps) + 1]
-        flat = np.frombuffer(maps.buffers()[2], dtype="<i4")[offs[0] // 4 : offs[-1] // 4].astype(np.int64)
-        seg_of = np.repeat(seg, np.diff(offs) // 8)
-        lo, hi = flat[0::2], flat[1::2]
-        order = np.lexsort((lo, seg_of))
-        seg_r, lo, hi = _union(seg_of[order], lo[order], hi[order], width)
-        head = np.flatnonzero(np.diff(seg, prepend=-1))  # a table row of each segment
+        head, seg_r, lo, hi = _joined(tab, by, width)
         start = np.append(True, seg_r[1:] != seg_r[:-1])
         end = np.append(start[1:], True)
         shard = tab["shard"].to_numpy()[head][seg_r] * width
@@ -128,7 +138,7 @@ def _extract(keys: list[str], width: int):
             whole = int(np.searchsorted(seg, seg[-1]))  # the last key may go on in the next batch
             if whole:
                 yield rows_of(tab.slice(0, whole))
-            held = tab.slice(whole)
+            held = compact(tab.slice(whole))
         if held is not None and len(held):
             yield rows_of(held)
 

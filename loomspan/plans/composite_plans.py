@@ -130,6 +130,9 @@ SQL = {
       SELECT chrom, ws, round(coalesce((SELECT sum(least(e, ws + 10000000) - greatest(s, ws)) FROM xu WHERE xu.chrom = w.chrom AND s < ws + 10000000 AND ws < e), 0) / 10000000, 9) AS exons,
       round(coalesce((SELECT sum(least(e, ws + 10000000) - greatest(s, ws)) FROM gu WHERE gu.chrom = w.chrom AND s < ws + 10000000 AND ws < e), 0) / 10000000, 9) AS gaps,
       round((SELECT sum(v * (least(e, ws + 10000000) - greatest(s, ws))) / sum(least(e, ws + 10000000) - greatest(s, ws)) FROM gg WHERE v IS NOT NULL AND gg.chrom = w.chrom AND s < ws + 10000000 AND ws < e), 6) AS gap_score FROM w""",
+    "protein_profile": r"""WITH p AS (SELECT doc_id, upper(text) AS s, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id FROM documents WHERE module IS NOT NULL)
+      SELECT count(*) AS records, count(*) - count(DISTINCT doc_id) AS repeated, count(*) FILTER (regexp_matches(s, '[*.]\z')) AS terminal_stop, count(*) FILTER (regexp_matches(s, '(?s)[*.].')) AS inner_stop, count(*) FILTER (regexp_matches(s, '[^ACDEFGHIKLMNPQRSTVWYXBZUO*.]')) AS invalid,
+      min(n) AS shortest, max(n) AS longest, quantile_cont(n, 0.5) AS median_length, (SELECT count(*) FROM p ANTI JOIN g USING (doc_id)) AS only_proteins, (SELECT count(*) FROM g ANTI JOIN p USING (doc_id)) AS only_genes FROM p""",
     "repeat_decay": f"WITH {CALLS}, t AS (SELECT * FROM calls WHERE type IS NOT NULL AND c_end - c_start < 1000000)," + _isl("t", "chrom", "c_start", "c_end", 20, "c_start, c_end") + """, u AS (SELECT chrom, isl, max(c_end) - min(c_start) AS bp FROM m GROUP BY chrom, isl), v AS (SELECT chrom, CAST(sum(bp) AS BIGINT) AS merged_bp FROM u GROUP BY chrom),
       b AS (SELECT chrom, count(*) AS fragments, count(DISTINCT type) AS families, round(sum(qual * (c_end - c_start)) / sum(CASE WHEN qual IS NOT NULL THEN c_end - c_start END), 6) AS identity, max(c_end - c_start) AS longest FROM t GROUP BY chrom) SELECT b.*, merged_bp, round(merged_bp / 100000000, 9) AS coverage FROM b JOIN v USING (chrom)""",
     "inside_weights": f"WITH {_feat('start_codon', 's')}, {_feat('CDS', 'c')} SELECT s.seq_id || ':' || s.strand || ':' || s.lo || ':' || s.hi AS pid, count(c.lo) AS weight FROM s LEFT JOIN c ON s.seq_id = c.seq_id AND c.lo < s.lo AND s.lo < c.hi GROUP BY s.seq_id, s.strand, s.lo, s.hi",

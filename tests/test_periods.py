@@ -82,3 +82,18 @@ def test_several_keys_and_batches(spark, monkeypatch):
     df = spark.createDataFrame(rows, "g string, s string, l bigint, r bigint").repartition(3)
     got = {(r["g"] + r["s"], r["kind"], r["from_pos"], r["to_pos"]) for r in merge_periods(df, ["g", "s"], "l", "r", shard_units=32).collect()}
     assert got == brute([(g + s, a, b) for g, s, a, b in rows])
+
+
+def test_one_key_over_many_arrow_batches(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [("hot", p := rng.randint(0, 500), p + rng.randint(0, 2)) for _ in range(600)] + [("a", 1, 2), ("z", 5, 6)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame(rows, "k string, a bigint, b bigint").repartition(40)
+        got = [tuple(r) for r in merge_periods(df, ["k"], "a", "b", shard_units=200).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == brute(rows) and len(got) == len(set(got))
