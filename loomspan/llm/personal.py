@@ -8,7 +8,7 @@
    expectation-maximisation estimates each labeler's reliability and the probability of each vector.
 4. Span classifier: a logistic regression per kind learns those probabilities from the votes, the
    neighbouring words and the shape of the span. It is fitted on a bounded sample of candidates
-   (``sample`` per kind, taken by hash); steps 1 to 3 and the classification cover all texts.
+   (about ``sample`` per kind, taken by hash); steps 1 to 3 and the classification cover all texts.
 5. Spans with probability 0.5 or more are kept, the longer one where two overlap.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from loomspan.runtime import Stored
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: Candidates per kind on which the span classifier is fitted.
-SAMPLE = 20_000
+#: Candidates per kind on which the span classifier is fitted: about so many, chosen by hash.
+SAMPLE = 5_000
 THRESHOLD = 0.5
 
 # --- fixed values: word lists of the labelers
@@ -514,21 +514,34 @@ def find_candidates(df: DataFrame, doc_id: str, text: str, names: Names) -> Data
 
 
 def train(found: DataFrame, names: Names, sample: int = SAMPLE) -> Model:
-    """Estimate reliabilities over all candidates and fit the span classifiers on a bounded sample."""
+    """Estimate reliabilities over all candidates and fit the span classifiers on a bounded sample.
+
+    A candidate is in the sample if its hash, as a number in [0, 1), is below sample / candidates of its
+    kind; so about ``sample`` rows a kind reach the driver, from however many partitions.
+    """
     spans = found.select("doc_id", F.inline("found"))
     counts = spans.groupBy("k", "v").count().collect()  # at most 3^labelers rows a kind
+    votes: list[dict[str, int]] = [{} for _ in KINDS]
+    for r in counts:
+        votes[r["k"]][r["v"]] = r["count"]
+    share = F.shiftrightunsigned(F.xxhash64("doc_id", "s", "x", "v"), 11) / F.lit(float(1 << 53))
+    below = F.lit(0.0)
+    for k, v in enumerate(votes):
+        below = F.when(F.col("k") == k, sample / max(1, sum(v.values()))).otherwise(below)
+    rows: list[list[tuple[str, str, str, str]]] = [[] for _ in KINDS]
+    for r in spans.where(share < below).select("k", "v", "b", "a", "x").collect():
+        rows[r["k"]].append((r["v"], r["b"], r["a"], r["x"]))
     bias, weights, reliability = [], [], []
     for k in range(len(KINDS)):
-        votes = {r["v"]: r["count"] for r in counts if r["k"] == k}
-        if not votes:
+        if not rows[k]:
             bias.append(-1.0)
             weights.append({})
             reliability.append([])
             continue
-        r, p = estimate(votes)
+        r, p = estimate(votes[k])
         reliability.append(r.tolist())
-        rows = spans.where(F.col("k") == k).orderBy(F.xxhash64("doc_id", "s"), "doc_id", "s").limit(sample).select("v", "b", "a", "x").collect()
-        b, w = _fit([(x["v"], x["b"], x["a"], x["x"]) for x in rows], np.array([p[x["v"]] for x in rows]))
+        rows[k].sort()
+        b, w = _fit(rows[k], np.array([p[x[0]] for x in rows[k]]))
         bias.append(b)
         weights.append(w)
     return Model(names, bias, weights, reliability)
