@@ -12,6 +12,7 @@ from loomspan.operators import karyotype as K
 from loomspan.operators import matching as M
 from loomspan.operators import pav as P
 from loomspan.operators import relational as R
+from loomspan.operators.islands import island_ids
 from loomspan.plans.signal_plans import CALLS, _calls
 from loomspan.runtime import Stored, table
 
@@ -98,10 +99,11 @@ def kmer_similarity(spark, d):
 
 
 def greedy_exclusive(spark, d):
-    """Calls as blocks of the 50 kb bins they cover, one component per chromosome."""
-    c = _calls(spark, d).where("type = 'INV' and c_end - c_start < 2000000")
-    b = c.select("id", "chrom", (F.col("c_end") - F.col("c_start")).alias("n"), F.sequence(F.floor(F.col("c_start") / 50_000), F.floor((F.col("c_end") - 1) / 50_000)).alias("bins"))
-    return M.greedy_exclusive(b, "id", "n", "bins", 0.5, "chrom")
+    """Calls as blocks of the 50 kb bins they cover; a component is a chain of calls that share bins."""
+    c = _calls(spark, d).where("type = 'INV' and c_end - c_start < 2000000").withColumns({"b0": F.floor(F.col("c_start") / 50_000), "b1": F.floor((F.col("c_end") - 1) / 50_000) + 1})
+    c = island_ids(c, ["chrom"], "b0", "b1", gap=-1, ties=["id"])
+    b = c.select("id", F.concat_ws(":", "chrom", F.col("island").cast("string")).alias("component"), (F.col("c_end") - F.col("c_start")).alias("n"), F.sequence("b0", F.col("b1") - 1).alias("bins"))
+    return M.greedy_exclusive(b, "id", "n", "bins", 0.5, "component")
 
 
 def pair_combinations(spark, d):
