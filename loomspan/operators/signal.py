@@ -81,13 +81,16 @@ def share_in_regions(points: DataFrame, regions: DataFrame, key: tuple[str, str]
 
 
 def overlap_fractions(regions: DataFrame, features: DataFrame, key: tuple[str, str], rspan: Span, fspan: Span, region: str, cls: str) -> DataFrame:
-    """Per region and class the fraction covered by the union of the class's features."""
-    pairs = overlap_join(regions, features, [key], rspan, fspan).where("overlap > 0")
-    rs, re_ = rspan.bounds()
+    """Per region (one row each) and class the fraction covered by the union of the class's features.
+
+    The features of a class are merged before they meet the regions. Then they are disjoint, so that
+    overlaps add up before the shuffle, and no pair is sorted.
+    """
     fs, fe = fspan.bounds()
-    clip = pairs.withColumns({"__s": F.greatest(rs, fs), "__e": F.least(re_, fe), "__w": re_ - rs})
-    merged = merge_islands(clip, [region, cls], "__s", "__e", aggs=[F.first("__w").alias("__w")])
-    return merged.groupBy(region, cls).agg((F.sum(F.col("__e") - F.col("__s")) / F.first("__w")).alias("fraction"))
+    rs, re_ = rspan.bounds()
+    union = merge_islands(features.select(key[1], cls, fs.alias("__fs"), fe.alias("__fe")).where("__fs < __fe"), [key[1], cls], "__fs", "__fe")
+    pairs = overlap_join(regions, union, [key], rspan, Span("__fs", "__fe")).where("overlap > 0")
+    return pairs.groupBy(region, cls).agg((F.sum("overlap") / F.first(re_ - rs)).alias("fraction"))
 
 
 def consensus_interval(raw: tuple[Column, Column], relaxed: tuple[Column, Column], strict: tuple[Column, Column], share: float = 0.5, strict_share: float = 0.25) -> Column:

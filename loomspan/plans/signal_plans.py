@@ -140,7 +140,7 @@ def nearest_ordinal(spark, d):
 
 
 def priority_sweep(spark, d):
-    return W.priority_bp(_calls(spark, d).where("c_end - c_start < 1000000"), ["chrom"], "type", "c_start", "c_end", ["INV", "DUP", "DEL", "CNV"])
+    return W.priority_bp(_calls(spark, d), ["chrom"], "type", "c_start", "c_end", ["INV", "DUP", "DEL", "CNV"])
 
 
 def coverage_depth(spark, d):
@@ -156,7 +156,7 @@ def painting(spark, d):
 
 
 def dominant_class(spark, d):
-    bp = W.priority_bp(_calls(spark, d).where("c_end - c_start < 1000000"), ["chrom"], "type", "c_start", "c_end", ["INV", "DUP", "DEL", "CNV"])
+    bp = W.priority_bp(_calls(spark, d), ["chrom"], "type", "c_start", "c_end", ["INV", "DUP", "DEL", "CNV"])
     return W.dominant_class(bp, ["chrom"], "owner", "bp", ["INV", "DUP", "DEL", "CNV"]).select("chrom", "owner", "bp")
 
 
@@ -202,7 +202,7 @@ def share_in_regions(spark, d):
 
 def overlap_fractions(spark, d):
     regions = table(spark, d, "chunks").where("chrom is not null and start < end").groupBy("chunk_id").agg(F.min("chrom").alias("chrom"), F.min("start").alias("rs"), F.max("end").alias("re"))
-    f = _calls(spark, d).where("c_end - c_start < 1000000").select(F.col("chrom").alias("f_chrom"), "type", "c_start", "c_end")
+    f = _calls(spark, d).select(F.col("chrom").alias("f_chrom"), "type", "c_start", "c_end")
     return G.overlap_fractions(regions, f, ("chrom", "f_chrom"), I.Span("rs", "re"), CS, "chunk_id", "type").select("chunk_id", "type", F.round("fraction", 9).alias("fraction"))
 
 
