@@ -125,10 +125,15 @@ def greedy_exclusive(blocks: DataFrame, block: str, size: str, members: str, sha
     block claims all its members. Result: block ids.
 
     The choice depends on its own history, so it runs once per ``component`` (a set of blocks that
-    share members with no other; see the grouping of matches), or over all rows if none is given.
+    share members with no other; see the grouping of matches), or over all rows if none is given. Of
+    blocks with the same members only the first can be kept: kept, it claims all of theirs, and
+    dropped, it leaves them no more than it found. So a task gets one block per distinct set.
     """
     rows = blocks.select(F.col(block).alias("b"), F.col(size).alias("n"), F.col(members).alias("m"), F.col(component).alias("c") if component else F.lit(0).alias("c"))
 
+    first = F.min(F.struct(F.col("n").isNull(), -F.col("n"), "b"))
+    rows = rows.groupBy("c", F.array_sort("m").alias("m")).agg(first.alias("f")).select(F.col("f.b").alias("b"), (-F.col("f.col2")).alias("n"), "m", "c")
+
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         claimed: set = set()
         kept = []

@@ -99,8 +99,13 @@ def kmer_similarity(spark, d):
 
 
 def greedy_exclusive(spark, d):
-    """Calls as blocks of the 50 kb bins they cover; a component is a chain of calls that share bins."""
-    c = _calls(spark, d).where("type = 'INV' and c_end - c_start < 2000000").withColumns({"b0": F.floor(F.col("c_start") / 50_000), "b1": F.floor((F.col("c_end") - 1) / 50_000) + 1})
+    """Calls as blocks of the 50 kb bins they cover; a component is a chain of calls that share bins.
+
+    Of calls over the same bins only the longest can be kept, so the chains are built of those: their
+    number is bounded by the axis, however many calls there are.
+    """
+    c = _calls(spark, d).withColumns({"b0": F.floor(F.col("c_start") / 50_000), "b1": F.floor((F.col("c_end") - 1) / 50_000) + 1})
+    c = c.groupBy("chrom", "b0", "b1").agg(F.min_by(F.struct("id", "c_start", "c_end"), F.struct(F.col("c_start") - F.col("c_end"), "id")).alias("x")).select("chrom", "b0", "b1", "x.*")
     c = island_ids(c, ["chrom"], "b0", "b1", gap=-1, ties=["id"])
     b = c.select("id", F.concat_ws(":", "chrom", F.col("island").cast("string")).alias("component"), (F.col("c_end") - F.col("c_start")).alias("n"), F.sequence("b0", F.col("b1") - 1).alias("bins"))
     return M.greedy_exclusive(b, "id", "n", "bins", 0.5, "component")

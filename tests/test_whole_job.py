@@ -23,3 +23,24 @@ def whole(spark, name, *cuts, d=DATA):
 def test_calls_of_all_lengths(spark, name):
     got, want = whole(spark, name, LENGTH, (" AND c_end - c_start < 1000000", ""), d=DATA.replace("sf0.001", "sf0.01"))
     assert got == want
+
+
+def test_greedy_over_all_calls(spark):
+    """All calls, plainly from the longest down."""
+    from loomspan.plans.signal_plans import _calls
+
+    claimed, want = set(), []
+    for c in sorted(_calls(spark, DATA).collect(), key=lambda c: (c.c_start - c.c_end, c.id)):
+        bins = {(c.chrom, b) for b in range(c.c_start // 50_000, (c.c_end - 1) // 50_000 + 1)}
+        if bins and len(bins - claimed) >= 0.5 * len(bins):
+            want.append(c.id)
+            claimed |= bins
+    assert sorted(r[0] for r in QUERIES["greedy_exclusive"](spark, DATA).collect()) == sorted(want)
+
+
+def test_greedy_takes_one_of_equal_blocks(spark):
+    from loomspan.operators.matching import greedy_exclusive
+
+    rows = [("a", 5, [1, 2]), ("b", 5, [2, 1]), ("c", 9, [2, 3]), ("d", 9, [3, 2]), ("e", 1, [4])]
+    got = greedy_exclusive(spark.createDataFrame(rows, "b string, n int, m array<int>"), "b", "n", "m").collect()
+    assert sorted(r[0] for r in got) == ["a", "c", "e"]
