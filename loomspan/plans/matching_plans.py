@@ -123,7 +123,7 @@ def pair_combinations(spark, d):
 
 def _present(spark: SparkSession, d: str) -> DataFrame:
     """(item, nation): the part was bought by the nation at least once."""
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("l_partkey").alias("item"), F.col("c_nationkey").alias("nation")).distinct()
@@ -148,7 +148,7 @@ def category_matrix(spark, d):
     """Items by nation and category of the item."""
     p = _present(spark, d)
     f = P.frequencies(p, "item", "nation").withColumn("cat", P.category(F.col("n_samples"), 25, 8))
-    return p.join(f, "item").groupBy("nation").pivot("cat", ["Softcore", "Dispensable", "Private"]).agg(F.count(F.lit(1))).na.fill(0).select("nation", F.col("Softcore").alias("softcore"), F.col("Dispensable").alias("dispensable"), F.col("Private").alias("private"))
+    return p.join(f, "item").groupBy("nation").pivot("cat", ["Core", "Softcore", "Dispensable", "Private"]).agg(F.count(F.lit(1))).na.fill(0).select("nation", F.col("Core").alias("core"), F.col("Softcore").alias("softcore"), F.col("Dispensable").alias("dispensable"), F.col("Private").alias("private"))
 
 
 def pan_core_exact(spark, d):

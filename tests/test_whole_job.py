@@ -44,3 +44,26 @@ def test_greedy_takes_one_of_equal_blocks(spark):
     rows = [("a", 5, [1, 2]), ("b", 5, [2, 1]), ("c", 9, [2, 3]), ("d", 9, [3, 2]), ("e", 1, [4])]
     got = greedy_exclusive(spark.createDataFrame(rows, "b string, n int, m array<int>"), "b", "n", "m").collect()
     assert sorted(r[0] for r in got) == ["a", "c", "e"]
+
+
+PRESENCE = "shared_specific presence_spectrum family_categories category_matrix pan_core_exact pan_core_exhaustive pan_core_subsets pan_core_summary mask_jaccard orthology_classes low_copy_families"
+
+
+@pytest.mark.parametrize("name", PRESENCE.split())
+def test_presence_from_all_purchases(spark, name):
+    core = (" SELECT nation, count(*) FILTER (n_samples >= 8", " SELECT nation, count(*) FILTER (n_samples = 25) AS core, count(*) FILTER (n_samples >= 8")
+    got, want = whole(spark, name, (" WHERE l_returnflag = 'R'", ""), core)
+    assert got == want
+
+
+def test_core_items_are_counted(spark, tmp_path):
+    """One part that all nations bought, under any flag, and one that a single nation bought."""
+    tables = {
+        "lineitem": ([(i, 7, "ANR"[i % 3]) for i in range(25)] + [(3, 8, "N")], "l_orderkey long, l_partkey long, l_returnflag string"),
+        "orders": ([(i, i) for i in range(25)], "o_orderkey long, o_custkey long"),
+        "customer": ([(i, i) for i in range(25)], "c_custkey long, c_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["nation"]: (r["core"], r["softcore"], r["dispensable"], r["private"]) for r in QUERIES["category_matrix"](spark, str(tmp_path)).collect()}
+    assert got == {i: (1, 0, 0, int(i == 3)) for i in range(25)}
