@@ -65,7 +65,7 @@ def two_hop(spark, d):
 
 
 def merged_hits(spark, d):
-    return C.merge_hits(_calls(spark, d).where("type is not null"), ["chrom", "sample"], "c_start", "c_end", "type").where("n > 1").select("chrom", "sample", F.col("c_start").alias("s"), F.col("c_end").alias("e"), "n", "type")
+    return C.merge_hits(_calls(spark, d).where("type is not null"), ["chrom", "sample"], "c_start", "c_end", "type").select("chrom", "sample", F.col("c_start").alias("s"), F.col("c_end").alias("e"), "n", "type")
 
 
 def track_matrix(spark, d):

@@ -67,3 +67,8 @@ def test_core_items_are_counted(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r["nation"]: (r["core"], r["softcore"], r["dispensable"], r["private"]) for r in QUERIES["category_matrix"](spark, str(tmp_path)).collect()}
     assert got == {i: (1, 0, 0, int(i == 3)) for i in range(25)}
+
+
+def test_elements_of_one_hit(spark):
+    got, want = whole(spark, "merged_hits", (" WHERE n > 1", ""))
+    assert got == want
