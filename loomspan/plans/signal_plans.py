@@ -120,7 +120,7 @@ def nearest_feature(spark, d):
 
 
 def flank_neighbours(spark, d):
-    pts = _calls(spark, d).where("type = 'INV'").select("id", "chrom", "c_start", "c_end")
+    pts = _calls(spark, d).select("id", "chrom", "c_start", "c_end")
     f = _gaps(spark, d).select(F.col("g_chrom").alias("chrom"), F.col("g_start").alias("s"), F.col("g_end").alias("e"), F.concat_ws(":", F.col("g_start").cast("string"), F.col("g_end").cast("string")).alias("gap"))
     return I.flank_neighbours(pts, f, ["chrom"], CS, "id", I.Span("s", "e"), "gap", 200_000, 2)
 

@@ -72,3 +72,8 @@ def test_core_items_are_counted(spark, tmp_path):
 def test_elements_of_one_hit(spark):
     got, want = whole(spark, "merged_hits", (" WHERE n > 1", ""))
     assert got == want
+
+
+def test_flanks_of_all_calls(spark):
+    got, want = whole(spark, "flank_neighbours", (" AND type = 'INV'", ""))
+    assert got == want
