@@ -86,6 +86,7 @@ _LABEL = r"[\w-]+"
 _AFTER_AT = re.compile(rf"{_LABEL}(?:\.{_LABEL})*")
 _BEFORE_AT = re.compile(r"[\w.+%-]+$")
 _AT_WORD = re.compile(r"(?i)(?<=[\w])(?: ?[\[({] ?at ?[\])}] ?| at )(?=\w)")
+_BRACKET_AT = re.compile(r"[\[({] ?at")
 _DOT_DOMAIN = re.compile(rf"(?i){_LABEL}(?:(?:\.| ?[\[({{] ?dot ?[\])}}] ?| dot ){_LABEL})*")
 _DOT = re.compile(r"(?i)\.|dot")
 _SPELT_DOT = re.compile(r"(?i) dot |[\[({] ?dot ?[\])}]")
@@ -121,7 +122,7 @@ _ID_DIGITS = re.compile(
       (?<=[A-Za-z]\d)\d{5,8}
     | (?<=[A-Za-z]\d)\d[A-Za-z]\d{5}
     | (?<=[A-Za-z][ ]\d|[A-Za-z]{2}\d)\d(?:[ ]?\d{2}){2}[ ]?[A-Za-z]
-    | (?<=[XYZxyz]-\d|.[XYZxyz]\d)\d{6}-?[A-Za-z]
+    | (?:(?<=[XYZxyz]-\d)|(?<=[XYZxyz]\d))\d{6}-?[A-Za-z]
     | (?<=[XYZxyz]-\d)\d{3}-\d{4}-\d{2}
     | \d{2}([- ])\d{2}\1\d{4}
     | \d{5}[-+]\d{4}
@@ -151,8 +152,8 @@ _NO_STREET = frozenset("at of in and on was from bp to with by or is for".split(
 #: 0 for an ending, else the length of the word.
 _LAST_MARKS = ahocorasick.Automaton()
 for _mark in STREET_NUMBER_LAST.split():
-    _LAST_MARKS.add_word(f"{_mark} ", len(_mark) + 1)
-    _LAST_MARKS.add_word(f"{_mark}\u00a0", len(_mark) + 1)
+    for _space in " \t\u00a0\u2009\u202f":
+        _LAST_MARKS.add_word(f"{_mark}{_space}", len(_mark) + 1)
 for _mark in STREET_ENDING.split():
     _LAST_MARKS.add_word(_mark, 0)
 _LAST_MARKS.make_automaton()
@@ -220,7 +221,7 @@ def _email(text: str, low: str) -> list[tuple[int, int]]:
             if a < at and ("." in right.group() or "dot" in text[right.end() : right.end() + 6].lower()):
                 out.append((a, right.end()))
         at = text.find("@", at + 1)
-    for m in _AT_WORD.finditer(text) if "dot" in low or "(at" in low or "[at" in low or "{at" in low else ():
+    for m in _AT_WORD.finditer(text) if "dot" in low or _BRACKET_AT.search(low) else ():
         left = _BEFORE_AT.search(text, max(0, m.start() - 80), m.start())
         right = _DOT_DOMAIN.match(text, m.end())
         if left and right and ((m.group().strip().lower() != "at" and _DOT.search(right.group())) or _SPELT_DOT.search(right.group())):
