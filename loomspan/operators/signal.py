@@ -114,11 +114,15 @@ def flank_depth_gate(depth: DataFrame, record: str, value: str, least_min: float
     return g.withColumn("reason", reason)
 
 
-def per_class_bins(df: DataFrame, keys: list[str], lo: float, hi: float, bins: int, value: str) -> DataFrame:
-    """Histogram with equal bins on [lo, hi]; the last bin is closed, values outside are left out."""
+def per_class_bins(df: DataFrame, keys: list[str], lo: float, hi: float, bins: int, value: str, outside: bool = False) -> DataFrame:
+    """Histogram with equal bins on [lo, hi]; the last bin is closed. Values outside are left out or,
+    with ``outside``, counted in further bins of the same width, numbered on."""
     width = (hi - lo) / bins
     idx = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
-    return df.where((F.col(value) >= lo) & (F.col(value) <= hi)).groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    kept = (F.col(value) >= lo) & (F.col(value) <= hi)
+    if outside:
+        kept, idx = F.abs(F.col(value)) < float("inf"), F.when(F.col(value) == hi, bins - 1).otherwise(F.floor((F.col(value) - lo) / width)).cast("int")
+    return df.where(kept).groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def dominant_source(df: DataFrame, keys: list[str], source: str, bp: str) -> DataFrame:

@@ -93,7 +93,7 @@ def kmer_similarity(spark, d):
     docs = table(spark, d, "documents").where("text is not null and source is not null").select("doc_id", "source", F.col("text").alias("t"))
     from pyspark.sql import Window
 
-    nxt = docs.withColumn("u", F.lead("t").over(Window.partitionBy("source").orderBy("doc_id"))).where("u is not null and length(t) >= 60 and length(u) >= 60")
+    nxt = docs.withColumn("u", F.lead("t").over(Window.partitionBy("source").orderBy("doc_id"))).where("u is not null")
     j, c = M.kmer_similarity(F.col("t"), F.col("u"), 5)
     return nxt.select("doc_id", F.round(j, 9).alias("jaccard"), F.round(c, 9).alias("containment"))
 

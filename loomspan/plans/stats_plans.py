@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def empirical_p(spark, d):
 
 
 def histogram(spark, d):
-    return G.per_class_bins(table(spark, d, "lineitem"), ["l_returnflag"], 0.0, 100000.0, 20, "l_extendedprice")
+    return G.per_class_bins(table(spark, d, "lineitem"), ["l_returnflag"], 0.0, 100000.0, 20, "l_extendedprice", outside=True)
 
 
 def kde(spark, d):
@@ -74,9 +76,9 @@ def kde(spark, d):
 
 
 def histogram_peaks(spark, d):
-    h = G.per_class_bins(table(spark, d, "lineitem"), ["l_returnflag"], 0.0, 100000.0, 20, "l_extendedprice")
+    h = G.per_class_bins(table(spark, d, "lineitem"), ["l_returnflag"], 0.0, 100000.0, 20, "l_extendedprice", outside=True)
     a = T.peak(h, ["l_returnflag"], "bin", "n", 0, 9).select("l_returnflag", F.col("bin").alias("peak_bin"), F.col("n").alias("peak_n"))
-    b = T.peak(h, ["l_returnflag"], "bin", "n", 0, 19, trough=True).select("l_returnflag", F.col("bin").alias("trough_bin"), F.col("n").alias("trough_n"))
+    b = T.peak(h, ["l_returnflag"], "bin", "n", -math.inf, math.inf, trough=True).select("l_returnflag", F.col("bin").alias("trough_bin"), F.col("n").alias("trough_n"))
     return a.join(b, "l_returnflag")
 
 
@@ -89,12 +91,12 @@ def genome_size(spark, d):
 
 def consensus(spark, d):
     """Majority base per column of the bases named in the texts of each source."""
-    docs = table(spark, d, "documents").where("source is not null and text is not null").withColumn("seq", F.regexp_extract("text", "([ACGTN]{60,})", 1)).where("length(seq) > 0")
+    docs = table(spark, d, "documents").where("source is not null and text is not null").withColumn("seq", F.explode(F.regexp_extract_all("text", F.lit("([ACGTN]{60,})"), F.lit(1))))
     return T.consensus(docs, ["source"], "seq")
 
 
 def nucleotide_diversity(spark, d):
-    docs = table(spark, d, "documents").where("source is not null and text is not null").withColumn("seq", F.regexp_extract("text", "([ACGTN]{60,})", 1)).where("length(seq) > 0")
+    docs = table(spark, d, "documents").where("source is not null and text is not null").withColumn("seq", F.explode(F.regexp_extract_all("text", F.lit("([ACGTN]{60,})"), F.lit(1))))
     return T.nucleotide_diversity(docs, ["source"], "seq").select("source", r("pi", 8).alias("pi"), "sites")
 
 

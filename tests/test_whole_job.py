@@ -77,3 +77,23 @@ def test_elements_of_one_hit(spark):
 def test_flanks_of_all_calls(spark):
     got, want = whole(spark, "flank_neighbours", (" AND type = 'INV'", ""))
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["histogram", "histogram_peaks"])
+def test_bins_of_all_prices(spark, name):
+    got, want = whole(spark, name, ("least(floor(l_extendedprice / 5000), 19)", "CASE WHEN l_extendedprice = 100000 THEN 19 ELSE floor(l_extendedprice / 5000) END"), (" WHERE l_extendedprice BETWEEN 0 AND 100000", ""))
+    assert got == want
+
+
+def test_similarity_of_short_texts(spark, tmp_path):
+    rows = [(1, "a", "abcdefgh"), (2, "a", "abcdefxy"), (3, "a", "z")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["jaccard"], r["containment"]) for r in QUERIES["kmer_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {1: (round(2 / 6, 9), 0.5), 2: (0.0, None)}
+
+
+def test_all_sequences_of_a_text(spark, tmp_path):
+    rows = [(1, "a", "A" * 60 + " and " + "C" * 60 + " and " + "C" * 60)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["consensus"](spark, str(tmp_path)).collect()] == [("a", "C" * 60)]
+    assert [tuple(r) for r in QUERIES["nucleotide_diversity"](spark, str(tmp_path)).collect()] == [("a", round(2 / 3, 8), 60)]
