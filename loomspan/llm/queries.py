@@ -48,6 +48,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return kinds.select("chunk_id", F.when(F.col("forced") == 0, "natural").otherwise("forced").alias("cut"))
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Forced cuts of every chunk: the fewest that any division needs."""
+    return _pieces(spark, d).groupBy("chunk_id").agg(F.count(F.when(F.col("cut") == "forced", 1)).alias("forced_cuts"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
@@ -86,7 +91,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_percentiles, p2_overall, p3_found, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_shares, p8_found, p8_redacted)
+    for f in (p2_percentiles, p2_overall, p3_found, p3_counts, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_shares, p8_found, p8_redacted)
 }
 
 # up to the buffer size a group is exact, so at the SQL check's scale the bound is 0
@@ -110,6 +115,17 @@ r AS (SELECT chunk_id, c, e FROM b WHERE c - s <= 1000000
 SELECT chunk_id, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.chunk_id = o.chunk_id AND r.e - r.c <= 980000) THEN 'natural' ELSE 'forced' END AS cut FROM o
 """
 
+# with every boundary used, no division has fewer forced cuts
+_P3_COUNTS = """
+WITH o AS (
+  SELECT chunk_id, min(chrom) AS chrom, min(least("start", "end")) AS s, min(greatest("start", "end")) AS e FROM chunks
+  WHERE chunk_id IS NOT NULL AND "start" IS NOT NULL AND "end" IS NOT NULL AND abs("end" - "start") > 1000000 GROUP BY chunk_id),
+b AS (SELECT chunk_id, s + 20000 AS c FROM o UNION SELECT chunk_id, e FROM o
+  UNION SELECT o.chunk_id, g."start" FROM o JOIN gap_bed g ON g.chrom = o.chrom AND g."start" > s + 20000 AND g."start" < e),
+d AS (SELECT chunk_id, c - lag(c) OVER (PARTITION BY chunk_id ORDER BY c) AS gap FROM b)
+SELECT chunk_id, CAST(sum((gap + 979999) // 980000 - 1) AS BIGINT) AS forced_cuts FROM d WHERE gap IS NOT NULL GROUP BY chunk_id
+"""
+
 _P5 = """
 WITH RECURSIVE l AS (
   SELECT DISTINCT id_a AS a, id_b AS b FROM sv_matches WHERE id_a <> id_b AND id_a IN (SELECT id FROM sv_calls) AND id_b IN (SELECT id FROM sv_calls)),
@@ -122,6 +138,7 @@ SQL = {
     "p2_percentiles": _P2,
     "p2_overall": _P2_OVERALL,
     "p3_found": _P3,
+    "p3_counts": _P3_COUNTS,
     "p5_found": _P5 + "SELECT group_id, id FROM m",
     "p5_calls": _P5
     + """, c AS (SELECT id, min(row(chrom, pos, type)) AS c FROM sv_calls WHERE id IS NOT NULL GROUP BY id)

@@ -2,12 +2,18 @@
 
 An item covers the half-open stretch [start, end). Pieces are at most ``max_len`` long and each later
 piece starts ``overlap`` before the end of the one in front of it; the end of a piece that isn't the
-last is a cut. A dynamic programme over candidate cuts, in order of position, finds for every
-candidate the cheapest way to have a piece end there. The cost of a division is, first, the number
-of forced cuts (cuts at no natural boundary), then the sum of squared deviations of piece lengths
-from the even length. Natural boundaries alone are tried first; only where they allow no division,
-forced candidates join them: the furthest cuts from the start, from the end and from each natural
-boundary, and an even grid.
+last is a cut. A dynamic programme over the natural boundaries, in order of position, finds the
+division with the least cost: first the number of forced cuts (cuts at no natural boundary), then the
+sum of squared deviations of piece lengths from the even length.
+
+Forced cuts need no candidates of their own. With step = max_len - overlap, and the item's start
+taken as a cut at start + overlap, a stretch of length d between two neighbouring chosen boundaries
+needs ceil(d / step) - 1 forced cuts, and spacing them evenly is best. Using one more natural boundary
+inside a stretch never needs more forced cuts, as ceil(x) + ceil(y) - 2 <= ceil(x + y) - 1; so the
+least number K of forced cuts up to a boundary is the sum over all boundaries in front of it, and two
+boundaries a < b may follow each other in a cheapest division exactly if b - a is at most
+(K(b) - K(a) + 1) * step. With g(x) = x - K(x) * step, which never falls, that is g(a) >= g(b) - step:
+a sliding window over the boundaries, the same for natural and forced stretches.
 """
 
 from __future__ import annotations
@@ -25,68 +31,47 @@ from loomspan.runtime import shuffle_partitions
 BIN = 1_000_000
 
 
-def _best(start: int, end: int, cuts: np.ndarray, cost: np.ndarray, max_len: int, overlap: int) -> list[int] | None:
-    """Indices of the cheapest cuts among the sorted candidates ``cuts``; None if they allow no division."""
-    step = max_len - overlap
-    least = -(-(end - start - overlap) // step)
-    even = (end - start + overlap * (least - 1)) / least
-    n = len(cuts)
-    total = np.full(n, np.inf)
-    prev = np.full(n, -1)
-    first = cuts - start <= max_len
-    total[first] = cost[first] + ((cuts[first] - start - even) / max_len) ** 2
-    low = np.searchsorted(cuts, cuts - step)  # the earliest candidate a piece ending here may follow
-    for j in np.flatnonzero(~first) if n else ():
-        a = low[j]
-        if a >= j:
-            continue
-        t = total[a:j] + ((cuts[j] - cuts[a:j] + overlap - even) / max_len) ** 2
-        k = int(t.argmin())
-        if t[k] < np.inf:
-            total[j], prev[j] = t[k] + cost[j], a + k
-    tail = np.flatnonzero(end - cuts + overlap <= max_len)
-    if not len(tail):
-        return None
-    t = total[tail] + ((end - cuts[tail] + overlap - even) / max_len) ** 2
-    if not np.isfinite(t.min()):
-        return None
-    at, path = int(tail[t.argmin()]), []
-    while at >= 0:
-        path.append(at)
-        at = int(prev[at])
-    return path[::-1]
-
-
 def divide(start: int, end: int, natural: np.ndarray, max_len: int, overlap: int) -> tuple[list[int], list[bool]]:
     """Cuts of [start, end) and, for each, whether it is natural. Needs 0 <= overlap < max_len."""
     if end - start <= max_len:
         return [], []
-    natural = np.unique(natural)
-    natural = natural[(natural >= start + max(overlap, 1)) & (natural < end)].astype(np.int64)
-    path = _best(start, end, natural, np.zeros(len(natural)), max_len, overlap)
-    if path is not None:
-        return [int(natural[i]) for i in path], [True] * len(path)
-    step = max_len - overlap
-    anchors = np.concatenate([[start + overlap], natural])
-    forced = np.concatenate(
-        [
-            [start + max_len],
-            (anchors[:, None] + step * np.arange(1, 3)[None, :]).ravel(),
-            (natural[:, None] - step * np.arange(1, 3)[None, :]).ravel(),
-            np.arange(start + max_len, end, step),
-            np.arange(end - step, start, -step),
-            np.linspace(start, end, 4 * (-(-(end - start) // step)) + 1).astype(np.int64),
-        ]
-    )
-    forced = np.setdiff1d(forced[(forced >= start + max(overlap, 1)) & (forced < end)].astype(np.int64), natural)
-    cuts = np.concatenate([natural, forced])
-    is_natural = np.arange(len(cuts)) < len(natural)
-    order = np.argsort(cuts)
-    cuts, is_natural = cuts[order], is_natural[order]
-    # one forced cut costs more than any unevenness
-    path = _best(start, end, cuts, np.where(is_natural, 0.0, 4.0 * (len(cuts) + 2)), max_len, overlap)
-    assert path is not None  # the chain of furthest cuts is among the candidates
-    return [int(cuts[i]) for i in path], [bool(is_natural[i]) for i in path]
+    step, first = max_len - overlap, start + overlap
+    natural = np.unique(np.asarray(natural, dtype=np.int64))
+    # a cut at start + overlap or before lets nothing begin later than the item itself
+    at = np.concatenate([[first], natural[(natural > first) & (natural < end)], [end]]).astype(np.int64)
+    forced = np.concatenate([[0], np.cumsum(-(-np.diff(at) // step) - 1)])
+    reach = at - forced * step
+    low = np.searchsorted(reach, reach - step)
+    total_len = end - first
+    even = total_len / -(-total_len // step)  # of a piece less its overlap
+    cost = np.full(len(at), np.inf)
+    cost[0] = 0.0
+    prev = np.full(len(at), -1)
+    for j in range(1, len(at)):
+        a = slice(low[j], j)
+        parts = forced[j] - forced[a] + 1
+        each, more = np.divmod(at[j] - at[a], parts)
+        uneven = (parts - more) * ((each - even) / max_len) ** 2 + more * ((each + 1 - even) / max_len) ** 2
+        t = cost[a] + uneven
+        k = int(t.argmin())
+        cost[j], prev[j] = t[k], low[j] + k
+    path, j = [], len(at) - 1
+    while j >= 0:
+        path.append(j)
+        j = int(prev[j])
+    path.reverse()
+    cuts: list[int] = []
+    kinds: list[bool] = []
+    for a, b in zip(path, path[1:]):
+        parts = int(forced[b] - forced[a]) + 1
+        each, more = divmod(int(at[b] - at[a]), parts)
+        inside = [int(at[a]) + i * each + min(i, more) for i in range(1, parts)]
+        cuts += inside
+        kinds += [False] * len(inside)
+        if b < len(at) - 1:
+            cuts.append(int(at[b]))
+            kinds.append(True)
+    return cuts, kinds
 
 
 def split_items(

@@ -34,6 +34,46 @@ def check(start, end, marks, max_len, overlap):
     assert all(natural) == natural_possible(start, end, marks, max_len, overlap)
 
 
+def least_forced(start, end, marks, max_len, overlap):
+    """(forced cuts, sum of squared deviations) of the best division, over cuts at every position."""
+    step, marks = max_len - overlap, set(marks)
+    pieces = -(-(end - start - overlap) // step)
+    even = (end - start - overlap) / pieces + overlap
+    best = {}
+    for c in range(start + max(overlap, 1), end):
+        own = 0 if c in marks else 1
+        options = [(0, (c - start - even) ** 2)] if c - start <= max_len else []
+        options += [(f, q + (c - b + overlap - even) ** 2) for b in range(max(c - step, start), c) if b in best for f, q in [best[b]]]
+        if options:
+            f, q = min(options)
+            best[c] = f + own, q
+    return min((f, q + (end - c + overlap - even) ** 2) for c, (f, q) in best.items() if end - c <= step)
+
+
+def test_least_forced_cuts_and_unevenness():
+    rng = random.Random(7)
+    for i in range(4000):
+        max_len = rng.choice([6, 14, 30])
+        overlap = rng.choice([0, 1, 3, max_len // 4])
+        start = rng.randint(-20, 50)
+        end = start + rng.randint(max_len + 1, max_len * 12)
+        marks = [rng.randint(start - 5, end + 5) for _ in range(rng.choice([0, 2, 4, 10, 25]))]
+        cuts, natural = divide(start, end, np.array(marks, dtype=np.int64), max_len, overlap)
+        check(start, end, marks, max_len, overlap)
+        pieces = -(-(end - start - overlap) // (max_len - overlap))
+        even = (end - start - overlap) / pieces + overlap
+        begins, ends = [start, *(c - overlap for c in cuts)], [*cuts, end]
+        forced, uneven = least_forced(start, end, marks, max_len, overlap)
+        assert sum(c not in set(marks) for c in cuts) == forced, (start, end, marks, max_len, overlap)
+        assert abs(sum((e - b - even) ** 2 for b, e in zip(begins, ends)) - uneven) < 1e-6
+
+
+def test_long_forced_stretch():
+    marks = np.array([36, 37, 38, 142])
+    cuts, natural = divide(0, 160, marks, 14, 1)
+    assert natural.count(False) == 10 and len(cuts) == len(natural)
+
+
 def test_random_items():
     rng = random.Random(4)
     for _ in range(1500):
