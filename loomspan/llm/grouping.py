@@ -14,8 +14,10 @@ to m, every such link leads down to the same local minimum, so no connection is
 
 A round is stable when every edge leads to a vertex without lower neighbours, which means that every
 vertex holds the minimum of its group. Rounds are written to the shared folder, so that a lost
-executor costs at most the current round. The only wide rows are edges; nothing is collected per
-group, and a hot minimum is only ever the probe side of a join that adaptive execution may split.
+executor costs at most the current round. Nothing is collected per group. The ids that hold many
+edges, as the minimum of a large group does in every round, are found by a counting pass with a fixed
+number of counters; what they look up is broadcast, and their edges stay spread over all tasks
+(``spread_lookup``). Adaptive execution could not split them, as one side of the join is an aggregate.
 
 Ids that are no integers are numbered first, as rounds over 64-bit numbers sort and shuffle faster;
 the numbers' order serves the rounds, and the least id of each group is found at the end.
@@ -28,6 +30,7 @@ import gc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators.skew import heavy_values, spread_lookup
 from loomspan.runtime import Stored
 
 MAX_ROUNDS = 100
@@ -42,7 +45,8 @@ def _tidy(spark) -> None:
 
 def _links(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct (hi, lo) of pairs of two different known ids."""
-    ends = pairs.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
+    x, y = (F.col(c).cast("bigint") for c in (a, b))
+    ends = pairs.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"), (x.isNotNull() & y.isNotNull()).alias("ok"))
     return ends.where("ok and hi <> lo").select("hi", "lo").distinct()
 
 
@@ -52,10 +56,11 @@ def _rounds(edges: DataFrame, max_rounds: int) -> Stored:
     for _ in range(max_rounds):
         e = kept.df
         least = e.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
+        heavy = heavy_values(e, "hi", "lo")
         # what a vertex with lower neighbours sends down: m to each of them
-        down = e.join(least, e["hi"] == least["v"]).select("hi", "lo", "m")
+        down = spread_lookup(e, "hi", least, "v", "m", "m", heavy["hi"], F.xxhash64("lo"))
         # what it sends up: m to each higher neighbour; edges to a local minimum stay
-        up = down.join(least.select(F.col("v").alias("w"), F.col("m").alias("m_lo")), F.col("lo") == F.col("w"), "left")
+        up = spread_lookup(down, "lo", least, "v", "m", "m_lo", heavy["lo"], F.xxhash64("hi"))
         sent = up.select(
             F.inline(
                 F.array(
@@ -90,14 +95,15 @@ def _numbered(ids: DataFrame) -> Stored:
 
 def _by_number(pairs: DataFrame, a: str, b: str, numbers: Stored, max_rounds: int) -> DataFrame:
     """Groups of the pairs whose ids both have a number."""
-    left = numbers.df.select(F.col("id").alias("x"), F.col("number").alias("i"))
-    right = numbers.df.select(F.col("id").alias("y"), F.col("number").alias("j"))
     both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    both = both.join(left, F.col("a") == F.col("x")).select("i", "b").join(right, F.col("b") == F.col("y")).select("i", "j")
+    heavy = heavy_values(both, "a", "b")
+    both = spread_lookup(both, "a", numbers.df, "id", "number", "i", heavy["a"], F.xxhash64("b")).where("i is not null").select("i", "b")
+    both = spread_lookup(both, "b", numbers.df, "id", "number", "j", heavy["b"], F.xxhash64("i")).where("j is not null").select("i", "j")
     labels = _labels(_links(both, "i", "j"), max_rounds).toDF("number", "root")
     named = Stored(labels.join(numbers.df, "number").select("id", "root"), "named").df
     least = named.groupBy("root").agg(F.min("id").alias("group_id"))
-    return named.join(least, "root").select("id", "group_id")
+    groups = spread_lookup(named, "root", least, "root", "group_id", "group_id", heavy_values(named, "root")["root"], F.xxhash64("id"))
+    return groups.select("id", "group_id")
 
 
 def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -108,8 +114,9 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS)
     no rows; other columns are ignored. Ids may be of any orderable type. The row of the least id of
     a group has id = group_id.
     """
-    if dict(pairs.dtypes)[a] in INTEGERS:
-        return _labels(_links(pairs, a, b), max_rounds)
+    kind = dict(pairs.dtypes)[a]
+    if kind in INTEGERS:
+        return _labels(_links(pairs, a, b), max_rounds).select(*(F.col(c).cast(kind).alias(c) for c in ("id", "group_id")))
     ends = pairs.select(F.explode(F.array(a, b)).alias("id"))
     return _by_number(pairs, a, b, _numbered(ends), max_rounds)
 

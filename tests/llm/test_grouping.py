@@ -4,7 +4,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomspan.llm.grouping import hash_to_min, match_groups
+from loomspan.operators.skew import heavy_values, spread_lookup
+from loomspan.runtime import Stored
 
 
 def brute(pairs):
@@ -68,3 +72,27 @@ def test_rounds_are_bounded(spark):
     with pytest.raises(RuntimeError):
         hash_to_min(df, "a", "b", max_rounds=1)
     assert {r["group_id"] for r in hash_to_min(df, "a", "b", max_rounds=12).collect()} == {0}
+
+
+@pytest.mark.parametrize("hub", ["low", "high"])
+def test_a_hub_is_no_hot_task(spark, hub):
+    """A star of 20,000 edges: the largest reduce task of any join reads a small share of them."""
+    n, parts = 20_000, 16
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ends = (F.lit(-1), F.col("id")) if hub == "low" else (F.col("id"), F.lit(n))
+        star = Stored(spark.range(n).select(ends[0].cast("bigint").alias("lo"), ends[1].cast("bigint").alias("hi"))).df
+        heavy = heavy_values(star, "lo", "hi")
+        key = "lo" if hub == "low" else "hi"
+        assert heavy[key] == [-1 if hub == "low" else n]
+        least = star.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
+        met = spread_lookup(star, key, least, "v", "m", "m", heavy[key], F.xxhash64("hi" if hub == "low" else "lo"))
+        most = met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.max("m")).agg(F.max("n"), F.max("max(m)")).first()[0]
+        assert most < 2 * n / parts
+        assert {r["group_id"] for r in hash_to_min(star, "lo", "hi").collect()} == {-1 if hub == "low" else 0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
