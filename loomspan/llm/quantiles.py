@@ -9,8 +9,9 @@ to level l in one go, by keeping the middle one of every 2**l sorted values.
 A collapse into weight w moves the rank of any value by at most w / 2. Every summary carries the sum
 of these errors, so each result states its own bound. Collapses form a binary tree by level, so the
 bound of n values is at most n * log2(n / size) / (2 * size) ranks. Summaries merge in any order and
-number: partitions, days and reruns combine by the same step. Groups of fewer than ``size`` values
-are exact.
+number: partitions, days and reruns combine by the same step. A task takes the buffers of a group in
+the order of their levels and values, so the same summaries give the same result in every run.
+Groups of fewer than ``size`` values are exact.
 
 Stored form: one row per buffer (group columns, ``summary_level``, ``summary_buf`` array<double>,
 ``summary_err``); the last is the error gathered by the row's own summary, held on one of its rows.
@@ -199,14 +200,16 @@ def _ddl(df: DataFrame, own: list[str]) -> str:
     return "".join(f"{o} {types[o]}, " for o in own)
 
 
-def summarise(df: DataFrame, keys: list[str], value: str, size: int = SIZE) -> DataFrame:
+def summarise(df: DataFrame, keys: list[str], value: str, size: int = SIZE, null_keys: tuple[str, ...] = ()) -> DataFrame:
     """Summaries per group ``keys`` of the numeric column ``value``, merged once per partition only.
 
-    Rows where a key or the value is null, or the value is NaN, don't count. Key columns keep their
-    names. An empty input gives no rows.
+    Rows where a key or the value is null, or the value is NaN, don't count; but a null in a key that
+    is one of ``null_keys`` is a group of its own. Key columns keep their names. An empty input gives
+    no rows.
     """
     own = _names(keys)
-    base = df.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.col(value).cast("double").alias("v")).dropna()
+    base = df.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.col(value).cast("double").alias("v"))
+    base = base.dropna(subset=[*(o for k, o in zip(keys, own) if k not in null_keys), "v"])
     built = base.mapInArrow(_build(own, size), f"{_ddl(base, own)}level int, buf array<double>, err double")
     return built.select(*(F.col(o).alias(k) for o, k in zip(own, keys)), *(F.col(i).alias(o) for i, o in zip(INNER, OUTER)))
 
@@ -227,7 +230,7 @@ def combine(summaries: DataFrame, keys: list[str], size: int = SIZE) -> DataFram
         return _emit(first, own, [s.rows() for s in ready], [s.err for s in ready])
 
     salted = rows.withColumn("salt", F.spark_partition_id() % F.lit(FAN_IN))
-    first = salted.repartition(*own, "salt").sortWithinPartitions(*own, "salt").drop("salt")
+    first = salted.repartition(*own, "salt").sortWithinPartitions(*own, "salt", "level", "buf").drop("salt")
     return first.mapInArrow(_merged(own, size, keep), schema).select(*(F.col(o).alias(k) for o, k in zip(own, keys)), *(F.col(i).alias(o) for i, o in zip(INNER, OUTER)))
 
 
@@ -252,5 +255,5 @@ def percentiles(summaries: DataFrame, keys: list[str], qs: dict[str, float], siz
         return pa.RecordBatch.from_arrays(cols, names=[*own, "n", *names, "rank_error"])
 
     near = rows.repartition(*own) if own else rows.coalesce(1)
-    done = near.sortWithinPartitions(*own) if own else near
+    done = near.sortWithinPartitions(*own, "level", "buf")
     return done.mapInArrow(_merged(own, size, finish), schema).select(*(F.col(o).alias(k) for o, k in zip(own, keys)), "n", *names, "rank_error")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.encoding import encode_texts
@@ -18,11 +18,12 @@ QS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of len per type and sample: straight from all rows (scope 'rows'), from the summaries
-    of each day of called_at (scope 'day'), and from those days' summaries combined ('combined')."""
+    of each day of called_at (scope 'day', unknown days as null), and from those days' summaries
+    combined ('combined')."""
     keys = ["type", "sample"]
-    calls = table(spark, d, "sv_calls").select(*keys, "len", F.coalesce(F.to_date("called_at"), F.lit("0001-01-01").cast("date")).alias("day"))
+    calls = table(spark, d, "sv_calls").select(*keys, "len", F.to_date("called_at").alias("day"))
     rows = percentiles(combine(summarise(calls, keys, "len"), keys), keys, QS)
-    days = Stored(combine(summarise(calls, [*keys, "day"], "len"), [*keys, "day"]), "days").df
+    days = Stored(combine(summarise(calls, [*keys, "day"], "len", null_keys=("day",)), [*keys, "day"]), "days").df
     by_day = percentiles(days, [*keys, "day"], QS)
     combined = percentiles(combine(days, keys), keys, QS)
     cols = [*keys, "n", *QS, "rank_error"]
@@ -39,6 +40,20 @@ def p2_overall(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(combine(summarise(table(spark, d, "sv_calls"), keys, "len"), keys), keys, QS)
 
 
+def p2_bound_held(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every percentile of summaries in buffers of 64 values keeps the bound stated with it, by
+    the true ranks; with buffers this small most groups collapse at any scale."""
+    keys, size = ["type", "sample"], 64
+    calls = table(spark, d, "sv_calls").select(*keys, "len").dropna()
+    found = percentiles(combine(summarise(calls, keys, "len", size), keys, size), keys, QS, size)
+    long = found.select(*keys, "n", "rank_error", F.inline(F.array(*(F.struct(F.lit(q).alias("q"), F.col(c).alias("value")) for c, q in QS.items()))))
+    ranked = calls.groupBy(*keys, "len").count().withColumn("upto", F.sum("count").over(Window.partitionBy(*keys).orderBy("len")))
+    met = long.join(ranked.withColumn("value", F.col("len").cast("double")), [*keys, "value"])
+    want = F.ceil(F.round(F.col("q") * F.col("n"), 9))
+    off = F.greatest(want - F.col("upto"), F.col("upto") - F.col("count") + 1 - want, F.lit(0))
+    return met.groupBy(*keys).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("percentiles"), F.bool_and(off <= F.col("rank_error")).alias("held"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(table(spark, d, "chunks"), table(spark, d, "gap_bed"), "chunk_id", "chrom", "start", "end", "chrom", "start")
 
@@ -91,13 +106,13 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_percentiles, p2_overall, p3_found, p3_counts, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_shares, p8_found, p8_redacted)
+    for f in (p2_percentiles, p2_overall, p2_bound_held, p3_found, p3_counts, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_shares, p8_found, p8_redacted)
 }
 
 # up to the buffer size a group is exact, so at the SQL check's scale the bound is 0
 _P2_COLS = "type, sample, count(*) AS n, " + ", ".join(f"CAST(quantile_disc(len, {q}) AS DOUBLE) AS {n}" for n, q in QS.items()) + ", CAST(0 AS DOUBLE) AS rank_error"
 _P2_FROM = " FROM sv_calls WHERE type IS NOT NULL AND sample IS NOT NULL AND len IS NOT NULL "
-_P2_DAY = "coalesce(CAST(called_at AS DATE), DATE '0001-01-01')"
+_P2_DAY = "CAST(called_at AS DATE)"
 _P2_OVERALL = f"SELECT {_P2_COLS}{_P2_FROM}GROUP BY type, sample"
 _P2 = f"""
 SELECT 'rows' AS scope, CAST(NULL AS DATE) AS day, {_P2_COLS}{_P2_FROM}GROUP BY type, sample
@@ -137,6 +152,7 @@ m AS (SELECT id, min(g) AS group_id FROM r GROUP BY id)
 SQL = {
     "p2_percentiles": _P2,
     "p2_overall": _P2_OVERALL,
+    "p2_bound_held": f"SELECT type, sample, count(*) AS n, {len(QS)} AS percentiles, true AS held{_P2_FROM}GROUP BY type, sample",
     "p3_found": _P3,
     "p3_counts": _P3_COUNTS,
     "p5_found": _P5 + "SELECT group_id, id FROM m",

@@ -88,3 +88,22 @@ def test_integer_column_and_extra_columns(spark):
     assert percentiles(summarise(df, ["k"], "v"), ["k"], {"m": 0.5}).first()["m"] == 7.0
     out = percentiles(combine(summarise(df, ["k", "level"], "v"), ["k", "level"]), ["level", "k"], {"m": 0.5}).first()
     assert out["level"] == 1 and out["k"] == "a" and out["m"] == 7.0
+
+
+def test_null_key_is_a_group_where_asked(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("a", "x", 2.0), (None, "x", 3.0)], "k string, day string, v double")
+    rows = percentiles(combine(summarise(df, ["k", "day"], "v", null_keys=("day",)), ["k", "day"]), ["k", "day"], QS).collect()
+    assert sorted(((r["k"], r["day"], r["p50"]) for r in rows), key=repr) == [("a", "x", 2.0), ("a", None, 1.0)]
+    assert percentiles(combine(summarise(df, ["k", "day"], "v"), ["k"]), ["k"], QS).first()["n"] == 1
+
+
+def test_same_summaries_same_result_in_any_order(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("a", float(v)) for v in rng.exponential(size=6000)], "k string, v double").repartition(12)
+    rows = summarise(df, ["k"], "v", 32).collect()
+    got = set()
+    for seed in range(4):
+        order = np.random.default_rng(seed).permutation(len(rows))
+        again = spark.createDataFrame([rows[i] for i in order], "k string, summary_level int, summary_buf array<double>, summary_err double").coalesce(1)
+        got.add(tuple(percentiles(combine(again, ["k"], 32), ["k"], QS, 32).first()))
+    assert len(got) == 1 and next(iter(got))[-1] > 0
