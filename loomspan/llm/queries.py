@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.encoding import encode_texts
 from loomspan.llm.grouping import match_groups
-from loomspan.llm.mixing import mix, mixture_shares
+from loomspan.llm.mixing import mix, mixed_documents, mixture_shares, token_sizes
 from loomspan.llm.personal import personal_spans, redact
 from loomspan.llm.quantiles import combine, percentiles, summarise
 from loomspan.llm.splitting import split_items
@@ -88,12 +88,21 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "text", ["doc_id"])
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return token_sizes(table(spark, d, "documents"), table(spark, d, "mix_targets")).df
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture with the documents' texts and all other columns."""
+    return mixed_documents(table(spark, d, "documents"), _sizes(spark, d), table(spark, d, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture_shares(_sizes(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +115,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_percentiles, p2_overall, p2_bound_held, p3_found, p3_counts, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_shares, p8_found, p8_redacted)
+    for f in (p2_percentiles, p2_overall, p2_bound_held, p3_found, p3_counts, p3_pieces, p5_found, p5_calls, p6_ids, p7_mixture, p7_documents, p7_shares, p8_found, p8_redacted)
 }
 
 # up to the buffer size a group is exact, so at the SQL check's scale the bound is 0

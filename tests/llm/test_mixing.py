@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomspan.llm.mixing import mix, mixture_shares, source_rates
+from loomspan.llm.mixing import mix, mixed_documents, mixture_shares, source_rates, token_sizes
 
 
 @pytest.fixture
@@ -18,7 +18,8 @@ def targets(spark, *rows):
 
 def test_shares_and_limits(spark, docs):
     t = targets(spark, ("big", 0.6, 2), ("small", 0.3, 3), ("absent", 0.1, 5))
-    rows = mix(docs, t).collect()
+    sizes = token_sizes(docs, t).df
+    rows = mix(sizes, t).collect()
     copies = {}
     for r in rows:
         copies.setdefault((r["source"], r["doc_id"]), []).append(r["copy"])
@@ -27,17 +28,18 @@ def test_shares_and_limits(spark, docs):
     assert {s for s, _ in copies} == {"big", "small"}
     size = {s: sum(r["tokens"] for r in rows if r["source"] == s) for s in ("big", "small")}
     assert abs(size["big"] / sum(size.values()) - 2 / 3) < 0.02
-    shares = {r["source"]: r for r in mixture_shares(docs, t).collect()}
+    shares = {r["source"]: r for r in mixture_shares(sizes, t).collect()}
     assert shares["absent"]["rate"] == 0 and shares["absent"]["actual_share"] == 0 and shares["small"]["rate"] == 3
+    assert abs(shares["big"]["wanted_share"] - 2 / 3) < 1e-9 and shares["absent"]["wanted_share"] == 0
     for s, n in size.items():
         assert shares[s]["tokens_out"] == n and abs(shares[s]["actual_share"] - n / sum(size.values())) < 1e-12
 
 
 def test_same_choice_in_any_partitioning(spark, docs):
     t = targets(spark, ("big", 0.5, 1), ("small", 0.5, 2))
-    a, b = (sorted((r["doc_id"], r["copy"]) for r in mix(d, t).collect()) for d in (docs.repartition(7), docs.coalesce(1)))
+    a, b = (sorted((r["doc_id"], r["copy"]) for r in mix(token_sizes(d, t).df, t).collect()) for d in (docs.repartition(7), docs.coalesce(1)))
     assert a == b
-    assert a != sorted((r["doc_id"], r["copy"]) for r in mix(docs, t, seed=1).collect())
+    assert a != sorted((r["doc_id"], r["copy"]) for r in mix(token_sizes(docs, t).df, t, seed=1).collect())
 
 
 def test_rates(spark):
@@ -46,7 +48,25 @@ def test_rates(spark):
     assert r["a"]["rate"] == r["b"]["rate"] == 2.0 and r["zero"]["rate"] == 0 and r["none"]["rate"] == 0 and None not in r
 
 
+def test_documents_of_the_mixture(spark, docs):
+    t = targets(spark, ("big", 0.6, 2), ("small", 0.3, 3))
+    sizes = token_sizes(docs, t).df
+    wide = docs.selectExpr("*", "'x' as copy", "1.5 as rate", "text as tokens", "3 as copies")
+    out = mixed_documents(wide, sizes, t)
+    assert sorted(out.columns) == sorted(wide.columns)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = out.collect()
+    assert sorted((r["doc_id"], r["copy"]) for r in rows) == sorted((r["doc_id"], r["copy"]) for r in mix(sizes, t).collect())
+    assert all(r["text"] == r["tokens"] == texts[r["doc_id"]] for r in rows)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nothing_to_mix(spark, docs):
-    assert mix(docs.limit(0), targets(spark, ("big", 1.0, 1))).count() == 0
-    assert mix(docs, targets(spark, ("absent", 1.0, 1))).count() == 0
-    assert mixture_shares(docs.limit(0), targets(spark, ("big", 1.0, 1))).first()["actual_share"] == 0
+    def sizes(d, t):
+        return token_sizes(d, t).df
+
+    t, gone = targets(spark, ("big", 1.0, 1)), targets(spark, ("absent", 1.0, 1))
+    none = docs.limit(0)
+    assert mix(sizes(none, t), t).count() == 0 and mixed_documents(none, sizes(none, t), t).count() == 0
+    assert mix(sizes(docs, gone), gone).count() == 0 and mixed_documents(docs, sizes(docs, gone), gone).count() == 0
+    assert mixture_shares(sizes(none, t), t).first()["actual_share"] == 0
