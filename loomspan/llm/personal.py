@@ -1,6 +1,10 @@
 """Personal information in free text: weak supervision and a span classifier.
 
-1. Candidates: patterns of generous shape propose spans of five kinds.
+1. Candidates: patterns of generous shape propose spans of five kinds. A person is proposed by a
+   family name (listed, or with an ending that listed ones share), by a listed given name in front of
+   a capitalised word, or by a title or phrase that introduces names; a bare number as an id by a
+   label in front of it. A name has at most ``MOST_GIVEN`` given names and initials; nothing else
+   limits how far a span may reach.
 2. Labelers: shape, gazetteer and context labelers vote on every candidate (+1, -1, or 0 for no
    opinion).
 3. Aggregation: the votes of all candidates of the whole corpus are counted by kind and vote vector.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +36,13 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 #: Candidates per kind on which the span classifier is fitted: about so many, chosen by hash.
 SAMPLE = 5_000
 THRESHOLD = 0.5
+#: Given names and initials of one person.
+MOST_GIVEN = 3
+#: Words of a name that a title or phrase introduces, particles included.
+MOST_WORDS = 6
 
 # --- fixed values: word lists of the labelers
-STREET_LAST = "street st road rd avenue ave lane ln court ct close row drive dr boulevard blvd way terrace crescent hill gardens grove mews parade square highway gracht straat laan kade plein"
+STREET_LAST = "street st road rd avenue ave lane ln court ct close row drive dr boulevard blvd way terrace crescent hill gardens grove mews parade square highway circle cir trail parkway pkwy alley crossing walk gracht straat laan kade plein"
 STREET_FIRST = "rue avenue chemin boulevard impasse allée place quai route via piazza viale corso largo rua praça"
 STREET_NUMBER_LAST = "calle avenida plaza paseo camino carrera ronda ulica ul. via piazza am im zum zur alte neue obere untere große kleine"
 STREET_ENDING = "straße strasse str. weg platz gasse allee gracht graben ufer ring damm laan straat gatan vägen vej gate steig hof"
@@ -44,33 +53,38 @@ STOP = (
     "asked thanks thank according regards kind dear hello hi signed collected checked re-checked contact operator curator collector sammler collecteur colector please send call ring phone whether values carry note that dr prof "
     "der die das den dem des ein eine und oder von mit bei für im am zum zur el la los las un una y de en con por le les une et du au aux chez pour par"
 )
+INTRODUCES = (
+    "dear", "hello", "hi", "thanks to", "thank you", "regards", "sincerely", "signed", "according to", "author", "reviewer", "contact", "operator", "curator", "collector", "sammler", "collecteur", "colector",
+    "written by", "signed by", "reviewed by", "collected by", "checked by", "reported by", "approved by", "on behalf of", "dr", "prof", "professor", "mr", "mrs", "ms", "herr", "frau", "mme", "sr", "sra", "doña",
+)
+ID_LABELS = "ssn|social security(?: number| no)?|passport(?: number| no)?|identity(?: card)?(?: number| no)?|national id(?: number| no)?|national insurance(?: number| no)?|insurance number|tax id|personal id|personnummer|dni|nie|nino|cpf|aadhaar|ausweis(?:nummer|-nr)?"
 CUES = {
-    "email": r"(?:mail(?:to)?|contact|kontakt|send|table|under|user|cc|to|from|write|reach|questions|reply|owner|address)\W*(?:to\W*)?$",
+    "email": r"(?:mail(?:to)?|contact|kontakt|send|user|cc|bcc|to|from|write|reach|questions|reply|owner|address)\W*(?:to\W*)?$",
     "phone": r"(?:tel|phone|telefon|téléphone|teléfono|call|ring|mobile|mobil|fax|voice|handy|reached|dial|whatsapp|cell|☎)\W*(?:at|on|under|no|number)?\W*$",
-    "id_number": r"(?:passport|security|insurance|identity|identité|national_id|dni|nie|ssn|nino|ausweis|card|payroll|form|helper|\bid\b|pass|personnummer|number|lists)\b[^\d]*$",
-    "address": r"(?:address|adresse|anschrift|dirección|addr|lives|living|kept|went|ship|leaves|resides|wohnt|habite|home|parcel|indirizzo)\b[^\d]{0,30}$",
-    "person": r"(?:\bdr|\bprof|\bmr|\bms|\bmrs|operator|curator|collect\w*|sammler|colector|regards|asked|thanks to|according to|\bby|dear|author|reviewer|contact|name|nom|signed)\b\W*(?:/\W*\w+\W*)*$",
+    "id_number": r"(?:passport|security|insurance|identity|identité|national_id|dni|nie|ssn|nino|cpf|aadhaar|ausweis|card|\bid\b|pass|personnummer|number)\b[^\d]*$",
+    "address": r"(?:address|adresse|anschrift|dirección|addr|lives|living|resides|wohnt|habite|vive|home|parcel|deliver\w*|ship\w*|indirizzo)\b[^\d]{0,30}$",
+    "person": r"(?:\bdr|\bprof|\bmr|\bmrs|\bms|operator|curator|collect\w*|sammler|colector|regards|asked|thanks to|according to|\bby|dear|author|reviewer|contact|name|nom|signed)\b\W*(?:/\W*\w+\W*)*$",
 }
 COUNTER_CUES = {
     "email": r"(?:such as|and|ticket|version|release|earlier|run)\W*$",
     "phone": r"(?:lot|job|ticket|doi|gene|accession|chunk|file|run|md5|start|end|interval|n50|primer|version|release|rss|node)\W*[\w.,#:/=-]{0,6}$",
     "id_number": r"(?:lot|job|ticket|doi|gene|accession|chunk|file|run|md5|start|end|interval|primer|version|release|node|tel\W*|phone|call|ring)\W*[\w.,#:/=-]{0,6}$",
-    "address": r"(?:plot|centromere|exon|chunk|version|release|at least|over|sampled at|grown at)\W*$",
+    "address": r"(?:plot|field|centromere|exon|chunk|version|release|at least|over|(?:sampled|grown|planted|found) (?:at|in|near))\W*$",
     "person": r"(?:cultivar|index|the|accession|species|gene|family)\W*$",
 }
 AFTER_CUES = {
-    "email": r"\W*(?:asked|before|renew|action|list owner)",
-    "phone": r"\W*(?:ext|when|about|mornings|site|$)",
-    "id_number": r"\W*(?:\(field|was|belongs|and a photo|on file|$)",
-    "address": r"\W*(?:second floor|floor|and collects|by mistake|not at|\d\. og|$)",
-    "person": r"\W*(?:signed|for the|whether|on \d|group|wet lab|re-checked|floods|status|\d{1,2}\.\d|\d{4}-|\((?:wet|[a-z]{2}-\d)|$)",
+    "email": r"\W*(?:asked|wrote|said|sent|before|or|if|for)\b",
+    "phone": r"\W*(?:ext|extension|durchwahl|x\d|\((?:home|office|work|mobile|cell)|or|when|if|$)",
+    "id_number": r"\W*(?:issued|expires|valid|was|belongs|on file|$)",
+    "address": r"\W*(?:\w+ floor|floor|flat|apartment|apt|suite|unit|\d{4,5}\b|\d\. og|$)",
+    "person": r"\W*(?:signed|wrote|said|asked|reported|checked|for the|whether|on \d|group|department|\d{1,2}\.\d|\d{4}-|\((?:[a-z]{2}-\d)|$)",
 }
 AFTER_COUNTER = {
     "email": r"[@\d]",
     "phone": r"\s*(?:bp|kb|mb|gb|%|records|reads|\.\.)",
     "id_number": r"\s*(?:bp|kb|mb|gb|%|records|reads|\.\.|lines)",
-    "address": r"\s*(?:was sampled|seedlings|and re-sequenced|moved)",
-    "person": r"\s*(?:index|correction|family|cultivar|test|method|score|transform|was grown)",
+    "address": r"\s*(?:bp|kb|mb|%|plants|seedlings|samples|rows|reads)",
+    "person": r"\s*(?:index|correction|family|cultivar|test|method|score|transform|algorithm|distance)",
 }
 
 _L = r"[^\W\d_]"
@@ -84,12 +98,12 @@ def _any(words: str) -> str:
 
 _LABEL = r"[\w-]+"
 _AFTER_AT = re.compile(rf"{_LABEL}(?:\.{_LABEL})*")
-_BEFORE_AT = re.compile(r"[\w.+%-]+$")
 _AT_WORD = re.compile(r"(?i)(?<=[\w])(?: ?[\[({] ?at ?[\])}] ?| at )(?=\w)")
 _BRACKET_AT = re.compile(r"[\[({] ?at")
 _DOT_DOMAIN = re.compile(rf"(?i){_LABEL}(?:(?:\.| ?[\[({{] ?dot ?[\])}}] ?| dot ){_LABEL})*")
 _DOT = re.compile(r"(?i)\.|dot")
 _SPELT_DOT = re.compile(r"(?i) dot |[\[({] ?dot ?[\])}]")
+_DOT_LEFT = re.compile(r"(?i)(?: dot | ?[\[({] ?dot ?[\])}] ?)$")
 _PHONE = re.compile(
     r"""(?<![\w+./,@#-])(?:
       \+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?)(?:[ .-]?\d{2,5}){1,5}
@@ -98,7 +112,7 @@ _PHONE = re.compile(
     | 0\d{1,5}[/ ]\d{3,8}(?:[ -]\d{2,6}){0,4}
     | 0\d{1,4}-\d{3,8}-\d{2,6}
     | 0\d(?:[ .-]\d\d){4}
-    | \d{3}[-.]\d{3}[-.]\d{4}
+    | (?:1[-. ])?\d{3}([-. ])\d{3}\1\d{4}
     | \d{2}-\d{2,4}-\d{3,7}
     )(?!\w|[-./,]?\d)""",
     re.X,
@@ -113,7 +127,9 @@ _ID = re.compile(
     | [A-Za-z]\d{2}[A-Za-z]\d{5}
     | [XYZxyz]-(?:\d{4}-){2}\d{2}
     | [XYZxyz]-?\d{7}-?[A-Za-z]
-    )(?!\w|[-./,]\d)""",
+    | \d{4}[ ]\d{4}[ ]\d{4}
+    | \d{3}\.\d{3}\.\d{3}-\d{2}
+    )(?!\w|[-./,]\d|[ ]\d{4}\b)""",
     re.X,
 )
 #: A digit run that an id may hold; searched first, as a pattern that starts with a digit is found fast.
@@ -127,12 +143,16 @@ _ID_DIGITS = re.compile(
     | \d{2}([- ])\d{2}\1\d{4}
     | \d{5}[-+]\d{4}
     | \d{7}-?[A-Za-z]
+    | \d{3}[ ]\d{4}[ ]\d{4}
+    | \d{2}\.\d{3}\.\d{3}-\d{2}
     )(?!\w)""",
     re.X,
 )
+#: A number without shape is an id only if a label stands in front of it.
+_ID_LABELLED = re.compile(rf"(?i)(?<!\w)(?:{ID_LABELS})(?:\W{{0,3}}(?:number|no|nr|is|was))?[\W_]{{1,4}}([A-Z]{{0,3}}\d(?:[ .-]?\d){{5,13}}[A-Z]?)(?!\w|[-./,]\d)")
 _CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w’'-]*+"
 _ADDRESS = re.compile(
-    rf"""(?<![\w./,:=#+-])\d{{1,4}}(?:[A-Za-z](?!\w)|-[A-Za-z](?!\w)|\ (?:bis|ter)(?!\w))?,?{_SP}(?:
+    rf"""(?<![\w./,:=#+-])\d{{1,5}}(?:[A-Za-z](?!\w)|-[A-Za-z](?!\w)|\ (?:bis|ter)(?!\w))?,?{_SP}(?:
       (?:{_CAP}\.?{_SP}){{1,3}}(?i:{_any(STREET_LAST)})(?!\w)
     | {_CAP}(?i:(?<=gracht)|(?<=straat)|(?<=laan)|(?<=kade))
     | (?i:(?:{_any(STREET_FIRST)}){_SP}(?:(?:de|des|du|la|le|les|della|delle|dello|dei|di|del|da|dos){_SP}|[dl]['’]){{0,2}}){_W}(?:{_SP}{_CAP}){{0,2}}
@@ -158,8 +178,9 @@ for _mark in STREET_ENDING.split():
     _LAST_MARKS.add_word(_mark, 0)
 _LAST_MARKS.make_automaton()
 _NAME_TOKEN = rf"(?:{_L}\.|{_W})"
-_FAMILY = re.compile(rf"{_L}+(?:[’'-]{_L}+)*+$")
-_HEAD = re.compile(rf"(?<![\w.@+])(?:{_NAME_TOKEN}(?:{_SP}|(?<=\.))){{1,6}}$")
+_CAP_WORD = re.compile(_CAP)
+_GAP = re.compile(_SP)
+_INTRODUCED = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(re.escape(w) for w in sorted(INTRODUCES, key=len, reverse=True))})(?!\w)[.,:]{{0,2}}(?:{_SP}|\n{{1,2}})")
 _TAIL = re.compile(rf",{_SP}({_W}(?:{_SP}(?:{_L}\.|{_W}(?=$|[\W])))?|{_L}\.)")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+|\S)\W{0,3}$")
 _WORD_AFTER = re.compile(r"\W{0,3}?([^\W\d_]+|[^\s\w])")
@@ -179,8 +200,8 @@ class Names:
     given: frozenset[str]
     family: frozenset[str]
     endings: frozenset[str] = field(default_factory=frozenset)
-    anchor: re.Pattern | None = None
-    marks: tuple[str, ...] = ()
+    #: Finds given names (value: their length), odd family names and shared endings (value: minus their length).
+    marks: ahocorasick.Automaton | None = None
 
     @staticmethod
     def of(rows: list[tuple[str | None, str | None]], ending: int = 4, least: int = 3) -> Names:
@@ -199,33 +220,53 @@ class Names:
                     short.setdefault(part[1 - ending :], []).append(part[-ending])
         stems = {e for e, c in short.items() if len(c) >= 2 * least and len(set(c)) > least}
         endings = frozenset(stems | {e for e, c in count.items() if c >= least and e[1:] not in stems})
-        others = sorted(f.lower() for f in family if not any(f.endswith(e) for e in endings))
-        names = Names(given, family, endings, marks=(*sorted(e.lower() for e in endings), *others))
-        every = dict.fromkeys(x for e in sorted([*endings, *others]) for x in (e, e.upper(), e.title()))
-        if every:
-            # the end of a family name: a shared ending, or an odd name of the list
-            names.anchor = re.compile(rf"(?:{'|'.join(map(re.escape, every))})(?![\w’'])(?!-{_L})")
-        return names
+        odd = (f for f in family if f[-ending:] not in endings and f[1 - ending :] not in endings)
+        marks = ahocorasick.Automaton()
+        for n, k in rows:
+            if n and k == "given":
+                marks.add_word(n.lower(), len(n.lower()))
+        for n in (*endings, *odd):  # a name that is both counts as a family name, which may take what is in front
+            marks.add_word(n.lower(), -len(n.lower()))
+        if len(marks):
+            marks.make_automaton()
+        return Names(given, family, endings, marks if len(marks) else None)
+
+    def family_like(self, word: str) -> bool:
+        low = word.casefold()
+        return low in self.family or any(low.endswith(e) and len(low) > len(e) for e in self.endings)
+
+
+def _lower(text: str) -> str:
+    """Lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) > 1 else x for c in text)
+
+
+def _local_part(text: str, at: int) -> int:
+    """Start of the run of address characters that ends at ``at``."""
+    a = at
+    while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
+        a -= 1
+    return a
 
 
 def _email(text: str, low: str) -> list[tuple[int, int]]:
     out = []
     at = text.find("@")
     while at >= 0:
-        left = _BEFORE_AT.search(text, max(0, at - 80), at)
-        right = _AFTER_AT.match(text, at + 1)
-        if left and right:
-            a = left.start()
-            while text[a] in ".+%-" and a < at:
+        a, right = _local_part(text, at), _AFTER_AT.match(text, at + 1)
+        if right:
+            while a < at and text[a] in ".+%-":
                 a += 1
             if a < at and ("." in right.group() or "dot" in text[right.end() : right.end() + 6].lower()):
                 out.append((a, right.end()))
         at = text.find("@", at + 1)
     for m in _AT_WORD.finditer(text) if "dot" in low or _BRACKET_AT.search(low) else ():
-        left = _BEFORE_AT.search(text, max(0, m.start() - 80), m.start())
-        right = _DOT_DOMAIN.match(text, m.end())
-        if left and right and ((m.group().strip().lower() != "at" and _DOT.search(right.group())) or _SPELT_DOT.search(right.group())):
-            out.append((left.start(), right.end()))
+        a, right = _local_part(text, m.start()), _DOT_DOMAIN.match(text, m.end())
+        while a and (dot := _DOT_LEFT.search(text, max(0, a - 8), a)) and (more := _local_part(text, dot.start())) < dot.start():
+            a = more  # a spelt-out dot in front of it
+        if a < m.start() and right and ((m.group().strip().lower() != "at" and _DOT.search(right.group())) or _SPELT_DOT.search(right.group())):
+            out.append((a, right.end()))
     return out
 
 
@@ -248,7 +289,8 @@ def _ids(text: str) -> list[tuple[int, int]]:
                 out.append(m.span())
                 done = m.end()
                 break
-    return out
+    out += [m.span(1) for m in _ID_LABELLED.finditer(text)]
+    return list(dict.fromkeys(out))
 
 
 def _case_of(word: str) -> str:
@@ -265,55 +307,113 @@ def _given_like(token: str, upper: bool, names: Names) -> bool:
     return token[0].isupper() and low not in _STOP and low not in _TITLE and (upper or not token.isupper() or len(token) == 1) and len(token) > 1
 
 
-def _person(text: str, names: Names) -> list[tuple[int, int]]:
-    out = []
-    if names.anchor is None:
-        return out
-    for m in names.anchor.finditer(text):
-        b = m.end()
-        whole = _FAMILY.search(text, max(0, b - 60), b)
-        a = whole.start()
-        if a and (text[a - 1].isalnum() or text[a - 1] in "_’'-"):
-            continue
-        family = whole.group()
-        if len(family) == len(m.group()) and family.casefold() not in names.family:
-            continue  # an ending alone is no name
-        if b < len(text) and text[b] == "@" or a and text[a - 1] in "@.+_":
-            continue
-        family_upper = family.isupper()
-        head = _HEAD.search(text, max(0, a - 60), a)
-        start = a
-        if head and text[head.end() - 1 : head.end()] != "\n":
-            # keep the tokens from the right: particles, then given names
-            tokens = list(re.finditer(_NAME_TOKEN, head.group()))
-            seen_given = 0
-            for t in reversed(tokens):
-                word = t.group()
-                if not seen_given and word.casefold() in _PARTICLE:
-                    start_p = head.start() + t.start()
-                    start = start_p
-                    continue
-                if seen_given < 3 and _given_like(word, family_upper, names):
-                    seen_given += 1
-                    start = head.start() + t.start()
-                    continue
+def _word_left(text: str, at: int) -> int:
+    """Start of the name word or initial that ends, but for spaces, at ``at``; -1 if there is none."""
+    e = at
+    while e and at - e < 3 and text[e - 1] in " \t\u00a0\u2009\u202f":
+        e -= 1
+    if e > 1 and text[e - 1] == ".":
+        s = e - 2
+        return s if text[s].isalpha() and not (s and (text[s - 1].isalnum() or text[s - 1] in "_@+")) else -1
+    if e == at:
+        return -1
+    s = e
+    while s and (text[s - 1].isalnum() or text[s - 1] in "_’'-"):
+        s -= 1
+    while s < e and not text[s].isalpha():
+        s += 1
+    if s == e or s and text[s - 1] in "@+" or s > 1 and text[s - 1] == "." and not (text[s - 2].isalpha() and (s == 2 or not text[s - 3].isalnum())):
+        return -1
+    return s
+
+
+def _by_family(text: str, b: int, ending: int, names: Names) -> tuple[int, int] | None:
+    """The name whose family name, or the family name in front of whose given names, ends at ``b``."""
+    a = b
+    while a and (text[a - 1].isalpha() or text[a - 1] in "’'-" and a < b and text[a].isalpha()):
+        a -= 1
+    while a < b and not text[a].isalpha():
+        a += 1
+    if a and (text[a - 1].isalnum() or text[a - 1] in "_’'-@.+"):
+        return None
+    family = text[a:b]
+    if len(family) == ending and family.casefold() not in names.family:
+        return None  # an ending alone is no name
+    if b < len(text) and text[b] == "@":
+        return None
+    upper = family.isupper()
+    start, at, given = a, a, 0
+    while (s := _word_left(text, at)) >= 0:
+        word = text[s:at].rstrip()
+        if not given and word.casefold() in _PARTICLE:
+            pass
+        elif given < MOST_GIVEN and _given_like(word, upper, names):
+            given += 1
+            start = s
+        else:
+            break
+        at = s
+    if given:
+        return start, b
+    tail = _TAIL.match(text, b)
+    if tail:
+        words = tail.group(1).split()
+        first = words[0]
+        if _given_like(first, upper, names) and (first.casefold() in names.given or first.endswith(".") or _case_of(first) == _case_of(family)):
+            end = tail.end() if len(words) == 1 or (words[1].endswith(".") and len(words[1]) == 2) or words[1].casefold() in names.given else b + tail.group().index(first) + len(first)
+            return at, end  # particles in front of the family name belong to it
+    return None
+
+
+def _forward(text: str, at: int, names: Names, least: int) -> tuple[int, int] | None:
+    """A name of capitalised words, initials and particles from ``at`` on, with a whole word at its end."""
+    end, pos, whole, count = at, at, 0, 0
+    while count < MOST_WORDS:
+        if text[pos + 1 : pos + 2] == "." and text[pos].isupper():
+            pos += 2
+        elif m := _CAP_WORD.match(text, pos):
+            low = m.group().casefold()
+            if low in _STOP or low in _TITLE or any(c.isdigit() or c == "_" for c in m.group()):
                 break
-            if not seen_given:
-                start = a
-        if start < a:
-            out.append((start, b))
+            pos = m.end()
+            if m.end() - m.start() > 1:
+                whole += 1
+                end = pos
+        elif count and (m := re.compile(_W).match(text, pos)) and m.group() in _PARTICLE:
+            pos = m.end()
+        else:
+            break
+        count += 1
+        gap = _GAP.match(text, pos)
+        if not gap and text[pos - 1] != ".":
+            break
+        pos = gap.end() if gap else pos
+    if count < 2 or whole < least or end == at or text[end : end + 1] in ("@", "_"):
+        return None
+    return at, end
+
+
+def _person(text: str, low: str, names: Names) -> list[tuple[int, int]]:
+    if names.marks is None:
+        return []
+    found: dict[tuple[int, int], None] = {}
+    for last, length in names.marks.iter(low):
+        b = last + 1
+        after = text[b : b + 2]
+        if after[:1].isalnum() or after[:1] in ("_", "’", "'") or after[:1] == "-" and after[1:].isalpha():
             continue
-        tail = _TAIL.match(text, b)
-        if tail:
-            words = tail.group(1).split()
-            first = words[0]
-            if _given_like(first, family_upper, names) and (first.casefold() in names.given or first.endswith(".") or _case_of(first) == _case_of(family)):
-                end = tail.end() if len(words) == 1 or (words[1].endswith(".") and len(words[1]) == 2) or words[1].casefold() in names.given else b + tail.group().index(first) + len(first)
-                # particles in front of the family name belong to it
-                p = re.search(rf"(?i)(?:(?:{_any(PARTICLES)}){_SP})+$", text[max(0, a - 16) : a])
-                out.append((a - (len(p.group()) if p else 0), end))
-                continue
-    return out
+        if length < 0:
+            span = _by_family(text, b, -length, names)
+        else:
+            a = b - length
+            span = None if a and (text[a - 1].isalnum() or text[a - 1] in "_’'-@.+") or not text[a].isupper() else _forward(text, a, names, 2)
+        if span:
+            found[span] = None
+    for m in _INTRODUCED.finditer(text):
+        span = _forward(text, m.end(), names, 1)
+        if span:
+            found[span] = None
+    return list(found)
 
 
 def _votes(kind: str, text: str, a: int, b: int, names: Names) -> str:
@@ -339,14 +439,14 @@ def _votes(kind: str, text: str, a: int, b: int, names: Names) -> str:
     elif kind == "phone":
         v += [
             1 if value[0] == "+" or value.startswith("00") else 0,
-            1 if value[0] in "(0+" or re.fullmatch(r"\d{3}([-.])\d{3}\1\d{4}", value) else -1,
+            1 if value[0] in "(0+" or re.fullmatch(r"(?:1[-. ])?\d{3}([-. ])\d{3}\1\d{4}", value) else -1,
             1 if 8 <= digits <= 14 else -1,
         ]
     elif kind == "id_number":
         groups = re.findall(r"[A-Za-z]+|\d+", value)
         v += [
             1 if len(groups) >= 3 else 0,
-            1 if 7 <= digits <= 10 else -1,
+            1 if 7 <= digits <= 12 else -1,
             -1 if re.fullmatch(r"[A-Za-z]{3}\d{6,9}", value) else 1 if re.search(r"[A-Za-z]$|^[A-Za-z]{1,2}\W?\d", value) else 0,
         ]
     elif kind == "address":
@@ -366,6 +466,7 @@ def _votes(kind: str, text: str, a: int, b: int, names: Names) -> str:
             1 if any(t in names.family for t in low) else 0,
             -1 if len(tokens) < 2 else 1 if initial or len([t for t in low if t not in _PARTICLE]) >= 2 else -1,
             -1 if low[0] in _STOP and low[0] not in _PARTICLE else 0,
+            1 if names.family_like(tokens[-1]) or value.find(",") > 0 and names.family_like(value[: value.index(",")].split()[-1]) else 0,
         ]
     return "".join("+" if x > 0 else "-" if x < 0 else "0" for x in v)
 
@@ -374,26 +475,18 @@ def _shape(value: str) -> str:
     return re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value[:24]))
 
 
-def _has(low: str, marks: tuple[str, ...]) -> bool:
-    for mark in marks:
-        if mark in low:
-            return True
-    return False
-
-
 def candidates(text: str | None, names: Names) -> list[tuple[int, int, int, str, str, str]]:
     """(kind, start, end, votes, word before, word after) of each candidate span of a whole text."""
     if not text:
         return []
-    low = text.lower()  # tells only whether a pattern can match at all
+    low = _lower(text)
     spans = [(0, a, b) for a, b in _email(text, low)]
     spans += [(1, *m.span()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 8]
     spans += [(2, a, b) for a, b in _ids(text)]
     spans += [(3, *m.span()) for m in _ADDRESS.finditer(text) if not _NO_STREET.intersection(m.group().lower().split())]
     if _may_end_in_number(low):
         spans += [(3, *m.span()) for m in _ADDRESS_LAST.finditer(text)]
-    if _has(low, names.marks):
-        spans += [(4, a, b) for a, b in _person(text, names)]
+    spans += [(4, a, b) for a, b in _person(text, low, names)]
     out = []
     for k, a, b in spans:
         w0 = _WORD_BEFORE.search(text, max(0, a - 24), a)
@@ -457,11 +550,13 @@ class Model:
     def keep(self, found: list[tuple[int, int, int, str, str, str, str]]) -> list[tuple[int, int, int, str]]:
         """(kind, start, end, value) of the spans that stay, in order of position."""
         scored = [(e - s, self.probability(k, v, b, a, x), k, s, e, x) for k, s, e, v, b, a, x in found]
-        taken: list[tuple[int, int, int, str]] = []
+        taken: list[tuple[int, int, int, str]] = []  # (start, end, kind, value) in order of position
         for _, p, k, s, e, x in sorted(scored, key=lambda t: (-t[0], -t[1], t[3])):
-            if p >= THRESHOLD and all(e <= ts or s >= te for _, ts, te, _ in taken):
-                taken.append((k, s, e, x))
-        return sorted(taken, key=lambda t: t[1])
+            if p >= THRESHOLD:
+                at = bisect_left(taken, (s,))
+                if (not at or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e):
+                    taken.insert(at, (s, e, k, x))
+        return [(k, s, e, x) for s, e, k, x in taken]
 
 
 def _fit(rows: list[tuple[str, str, str, str]], target: np.ndarray, least: int = 5, steps: int = 300) -> tuple[float, dict[str, float]]:
@@ -487,10 +582,13 @@ def _fit(rows: list[tuple[str, str, str, str]], target: np.ndarray, least: int =
     return bias, {f: float(w[i]) for f, i in index.items()}
 
 
-def find_candidates(df: DataFrame, doc_id: str, text: str, names: Names) -> DataFrame:
-    """One row per text with candidates: ``doc_id`` and ``found``, an array of candidate structs."""
+def find_candidates(df: DataFrame, doc_id: str, text: str, names: Names, whole: bool = False) -> DataFrame:
+    """``doc_id`` and ``found``, an array of candidate structs, of each text with candidates.
+
+    With ``whole``, of every row, and with its text in a third column.
+    """
     kind = dict(df.dtypes)[doc_id]
-    ddl = f"doc_id {kind}, found array<struct<k:int,s:int,e:int,v:string,b:string,a:string,x:string>>"
+    ddl = f"doc_id {kind}, found array<struct<k:int,s:int,e:int,v:string,b:string,a:string,x:string>>" + (", text string" if whole else "")
     struct = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("v", pa.string()), ("b", pa.string()), ("a", pa.string()), ("x", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,7 +599,7 @@ def find_candidates(df: DataFrame, doc_id: str, text: str, names: Names) -> Data
                 sizes, keep = [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     found = candidates(t, names)
-                    if found:
+                    if found or whole:
                         keep.append(i)
                         sizes.append(len(found))
                         for f in found:
@@ -509,9 +607,11 @@ def find_candidates(df: DataFrame, doc_id: str, text: str, names: Names) -> Data
                                 c.append(x)
                 flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, struct)], fields=list(struct))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), lists], names=["doc_id", "found"])
+                out = [part.column(0).take(pa.array(keep, pa.int64())), lists, *([part.column(1)] if whole else [])]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "found", "text"][: len(out)])
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").mapInArrow(run, ddl)
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return (rows if whole else rows.where("text is not null")).mapInArrow(run, ddl)
 
 
 def train(found: DataFrame, names: Names, sample: int = SAMPLE) -> Model:
@@ -592,22 +692,21 @@ def redact(docs: DataFrame, name_parts: DataFrame, doc_id: str = "doc_id", text:
     texts stay null, rows are neither added nor lost.
     """
     names = gazetteer(name_parts)
-    found = Stored(find_candidates(docs, doc_id, text, names), "spans")
-    model = train(found.df, names)
-    found.drop()
-    kind = dict(docs.dtypes)[doc_id]
+    found = Stored(find_candidates(docs, doc_id, text, names, whole=True), "spans").df
+    model = train(found, names)
 
-    def clean(t: str | None) -> str | None:
+    def clean(t: str | None, cand: list[dict]) -> str | None:
         if not t:
             return t
         out, at = [], 0
-        for k, s, e, _ in model.keep([(*c, t[c[1] : c[2]]) for c in candidates(t, model.names)]):
+        for k, s, e, _ in model.keep([tuple(c.values()) for c in cand]):
             out += [t[at:s], f"[{KINDS[k].upper()}]"]
             at = e
         return "".join([*out, t[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            texts = [clean(t, c) for t, c in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string")
+    return found.mapInArrow(run, f"doc_id {dict(found.dtypes)['doc_id']}, text string")
