@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +29,16 @@ SHARD_UNITS = 1 << 20
 BUFFER_ROWS = 1 << 19
 
 
+def _codes(tab: pa.Table, name: str) -> np.ndarray:
+    """A number per row, equal for equal values: the key may be of any type that has a dictionary form."""
+    return tab.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
 def _segments(tab: pa.Table, names: list[str]) -> np.ndarray:
-    """Dense segment number of each row of a table that is sorted by ``names``."""
+    """Dense segment number of each row of a table in which equal ``names`` lie together."""
     new = np.zeros(len(tab), dtype=bool)
     for name in names:
-        col = tab.column(name).combine_chunks()
-        codes = col.dictionary_encode().indices.to_numpy() if pa.types.is_string(col.type) else col.to_numpy()
+        codes = _codes(tab, name)
         new[1:] |= codes[1:] != codes[:-1]
     return np.cumsum(new)
 
@@ -69,7 +72,7 @@ def _encode(keys: list[str], width: int):
 
         def flush() -> pa.RecordBatch:
             tab = pa.Table.from_batches(held)
-            tab = tab.take(pc.sort_indices(tab, [(k, "ascending") for k in [*by, "lo"]]))
+            tab = tab.take(pa.array(np.lexsort((tab["lo"].to_numpy(), tab["shard"].to_numpy(), *(_codes(tab, k) for k in keys)))))
             seg, lo, hi = _union(_segments(tab, by), tab["lo"].to_numpy(), tab["hi"].to_numpy(), width)
             at, maps = _bitmaps(seg, lo, hi)
             firsts = tab.take(np.flatnonzero(np.diff(_segments(tab, by), prepend=-1)))
@@ -158,7 +161,7 @@ def merge_periods(
     Intervals that overlap, nest or touch (the next begins at most one unit after the end) form one
     period; a gap is a stretch between two consecutive periods of an entity.
 
-    Defined cases: rows with a null in a key, lo or hi don't count; lo > hi is swapped; repeated rows
+    Keys may be of any atomic type. Defined cases: rows with a null in a key, lo or hi don't count; lo > hi is swapped; repeated rows
     change nothing; an empty input gives an empty result; other columns, whatever their names, are
     ignored. Positions may be negative. An interval costs one row per shard it touches, so choose
     ``shard_units`` (below 2^31) not far under the usual interval length.

@@ -97,3 +97,14 @@ def test_one_key_over_many_arrow_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert set(got) == brute(rows) and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("kind", ["boolean", "date", "timestamp", "decimal(20,3)", "tinyint", "double", "binary", "string"])
+def test_key_types(spark, kind):
+    one, two = {"boolean": ("true", "false"), "date": ("2020-01-01", "2021-01-01"), "timestamp": ("2020-01-01", "2021-01-01")}.get(kind, ("1", "2"))
+    rows = spark.sql(f"""
+      select cast(case when k = 'a' then '{one}' else '{two}' end as {kind}) as k, k as name, a, b
+      from values ('a', 1, 5), ('a', 6, 8), ('b', 2, 3), ('b', 9, 9), ('a', 20, 30) as t(k, a, b)""")
+    names = {r["k"] if kind != "binary" else bytes(r["k"]): r["name"] for r in rows.collect()}
+    got = {(names[r["k"] if kind != "binary" else bytes(r["k"])], r["kind"], r["from_pos"], r["to_pos"]) for r in merge_periods(rows, ["k"], "a", "b", shard_units=7).collect()}
+    assert got == {("a", "period", 1, 8), ("a", "gap", 9, 19), ("a", "period", 20, 30), ("b", "period", 2, 3), ("b", "gap", 4, 8), ("b", "period", 9, 9)}
