@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators.periods import merge_periods
-from loomspan.operators.rejects import CALL_FIELDS, load_records
-from loomspan.runtime import table
+from loomspan.operators.rejects import CALL_FIELDS, load_files, load_records
+from loomspan.runtime import shared_dir, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +27,16 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("reason is null").select("line_id", *(F.col(f.name) for f in CALL_FIELDS))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_loaded": p4_loaded}
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """The records that are no rejects for their quoting, written to text files and loaded from these."""
+    raw = load_records(table(spark, d, "raw_calls").withColumn("whole", F.col("raw")), "raw", CALL_FIELDS, keep=["whole"])
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    raw.where("whole is not null and (reason is null or reason <> 'quoting')").select("whole").write.text(path)
+    rows = load_files(spark, path, CALL_FIELDS)
+    return rows.select(*(F.col(f.name) for f in CALL_FIELDS), "reason", F.col("raw").alias("rejected"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_files": p4_files}
 
 _P1 = """
 WITH g AS (
@@ -58,6 +69,10 @@ q AS (SELECT *, CASE WHEN raw IS NOT NULL AND NOT fine THEN 'quoting' WHEN n <>
 """
 
 SQL = {
+    "p4_files": _P4
+    + """SELECT CASE WHEN reason IS NULL THEN u[1] END AS id, CASE WHEN reason IS NULL THEN u[2] END AS chrom, CASE WHEN reason IS NULL THEN pos END AS pos, CASE WHEN reason IS NULL THEN e END AS "end",
+      CASE WHEN reason IS NULL THEN l END AS len, CASE WHEN reason IS NULL THEN w[6] END AS tp, CASE WHEN reason IS NULL THEN u[7] END AS sample, CASE WHEN reason IS NULL THEN u[8] END AS note, reason,
+      CASE WHEN reason IS NOT NULL THEN raw END AS rejected FROM q WHERE raw IS NOT NULL AND (reason IS NULL OR reason <> 'quoting')""",
     "p1_found": _P1,
     "p4_found": _P4 + "SELECT line_id, reason FROM q WHERE reason IS NOT NULL",
     "p4_loaded": _P4 + 'SELECT line_id, u[1] AS id, u[2] AS chrom, pos, e AS "end", l AS len, w[6] AS tp, u[7] AS sample, u[8] AS note FROM q WHERE reason IS NULL',

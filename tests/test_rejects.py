@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from loomspan.operators.rejects import CALL_FIELDS, Field, load_records, parse_batch
+from loomspan.operators.rejects import CALL_FIELDS, Field, file_records, load_files, load_records, parse_batch
 
 TOP = 9223372036854775807
 
@@ -128,3 +128,40 @@ def test_empty_frame_and_one_field(spark):
 @pytest.mark.parametrize("size", [100_000])
 def test_very_long_record(size):
     check(["a,b,1,2,3,P,s," + "x" * size, 'a,b,1,2,3,P,s,"' + ("," * size) + '"', "9" * size])
+
+
+GOOD = ['a,b,1,2,3,P,s,"x\ny"', 'a,b,1,2,3,P,s,"x ""q"" y"', "a,b,1,2,3,P,s,n", 'a,b,1,2,3,P,s,"\n\nlong\n' + "z" * 90 + '\n"', 'a,"b,c",1,2,3,P,s,""', '"a\n""b""\n",b,1,2,3,P,s,""""', 'a,b,1,2,3,P,s,"é\n,"']
+BAD = ["", "a,b", "a,b,0,2,3,P,s,n", 'a,b,1,2,3,P,s,5" pipe', 'a,b,1,2,3,P,s,"open', 'a,"open,1,2,3,P,s,n', "# comment"]
+
+
+@pytest.mark.parametrize("split", [64, 150, 1000, 1 << 20])
+def test_records_of_files(spark, tmp_path, split):
+    rng = random.Random(split)
+    want = []
+    for f in range(3):
+        records = [rng.choice(BAD if rng.random() < 0.3 else GOOD) for _ in range(120)]
+        # a quote at a line's end may close what an open one began: such a text is no error
+        records = [x for r in records for x in ([r, GOOD[1]] if "open" in r else [r])]
+        want += [(f"f{f}.csv", r) for r in records]
+        (tmp_path / f"f{f}.csv").write_bytes(("\r\n" if f == 1 else "\n").join(r.replace("\n", "\r\n") if f == 1 else r for r in records).encode() + b"\n" * (f == 2))
+    (tmp_path / "empty.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = [(r["file_name"].rsplit("/", 1)[1], r["raw"].replace("\r\n", "\n")) for r in file_records(spark, str(tmp_path)).collect()]
+        rows = load_files(spark, str(tmp_path), CALL_FIELDS).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(want)
+    assert sum(r["reason"] is None for r in rows) == sum(r in GOOD for _, r in want)
+    assert sorted(r["raw"].replace("\r\n", "\n") for r in rows if r["reason"]) == sorted(r for _, r in want if r in BAD and r[:1] != "#")
+
+
+def test_numbers_and_dates():
+    fields = [Field("x", "number", missing=("NA",)), Field("d", "date", missing=("",))]
+    rows = ["1.5,2024-02-29", "-.5e3,2023-02-29", "+7., 2000-02-29 ", "NA,", "1e,2024-01-01", "inf,2024-01-01", ".,2024-01-01", "3,2024-13-01", "3,1900-02-29", "3,2024-04-31", "3,2024-4-1"]
+    got = parse_batch(pa.array(rows), fields)
+    assert list(got["reason"]) == [None, "bad_d", None, None, "bad_x", "bad_x", "bad_x", "bad_d", "bad_d", "bad_d", "bad_d"]
+    assert got["columns"]["x"].to_pylist()[:4] == [1.5, None, 7.0, None]
+    assert [str(x) for x in got["columns"]["d"].to_pylist()[:4]] == ["2024-02-29", "None", "2000-02-29", "None"]
