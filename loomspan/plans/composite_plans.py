@@ -123,7 +123,7 @@ SQL = {
     "two_hop": f"""WITH {CALLS}, b AS (SELECT chrom AS bc, min("start") AS s, max("end") AS e FROM chunks WHERE chrom IS NOT NULL AND "start" < "end" GROUP BY 1)
       SELECT id, CASE WHEN bc IS NULL THEN 'first_no_block' ELSE 'lifted' END AS status, 'y_' || bc AS t_name, (e - s) - (c_end - s) AS lifted_start, (e - s) - (c_start - s) AS lifted_end FROM calls LEFT JOIN b ON chrom = bc AND s <= c_start AND c_end <= e""",
     "merged_hits": f"WITH {CALLS}, t AS (SELECT * FROM calls WHERE type IS NOT NULL)," + _isl("t", "chrom, sample", "c_start", "c_end", 100, "c_start, c_end, type") + """, k AS (SELECT chrom, sample, isl, type, sum(c_end - c_start) AS bp, min(c_start) AS s, max(c_end) AS e, count(*) AS n FROM m GROUP BY ALL),
-      g AS (SELECT chrom, sample, isl, min(s) AS s, max(e) AS e, CAST(sum(n) AS BIGINT) AS n, arg_min(type, row(-bp, type)) AS type FROM k GROUP BY 1, 2, 3) SELECT chrom, sample, s, e, n, type FROM g WHERE n > 1""",
+      g AS (SELECT chrom, sample, isl, min(s) AS s, max(e) AS e, CAST(sum(n) AS BIGINT) AS n, arg_min(type, row(-bp, type)) AS type FROM k GROUP BY 1, 2, 3) SELECT chrom, sample, s, e, n, type FROM g""",
     "track_matrix": EX + ', gg AS (SELECT chrom, "start" AS s, "end" AS e, CAST(max(score) AS DOUBLE) AS v FROM gap_bed WHERE "start" IS NOT NULL AND "end" IS NOT NULL GROUP BY 1, 2, 3), x AS (SELECT seq_id AS chrom, e_start AS s, e_end AS e FROM ex),' + _isl("x", "chrom", "s", "e", 0, "s, e") + """, xu AS (SELECT chrom, min(s) AS s, max(e) AS e FROM m GROUP BY chrom, isl),
       gp AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv2 FROM gg), gi AS (SELECT *, sum(CASE WHEN pv2 IS NULL OR s > pv2 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM gp), gu AS (SELECT chrom, min(s) AS s, max(e) AS e FROM gi GROUP BY chrom, k),
       w AS (SELECT chrom, unnest(range(0, max(e) + 1, 10000000)) AS ws FROM gg GROUP BY chrom)
@@ -133,7 +133,7 @@ SQL = {
     "protein_profile": r"""WITH p AS (SELECT doc_id, upper(text) AS s, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id FROM documents WHERE module IS NOT NULL)
       SELECT count(*) AS records, count(*) - count(DISTINCT doc_id) AS repeated, count(*) FILTER (regexp_matches(s, '[*.]\z')) AS terminal_stop, count(*) FILTER (regexp_matches(s, '(?s)[*.].')) AS inner_stop, count(*) FILTER (regexp_matches(s, '[^ACDEFGHIKLMNPQRSTVWYXBZUO*.]')) AS invalid,
       min(n) AS shortest, max(n) AS longest, quantile_cont(n, 0.5) AS median_length, (SELECT count(*) FROM p ANTI JOIN g USING (doc_id)) AS only_proteins, (SELECT count(*) FROM g ANTI JOIN p USING (doc_id)) AS only_genes FROM p""",
-    "repeat_decay": f"WITH {CALLS}, t AS (SELECT * FROM calls WHERE type IS NOT NULL AND c_end - c_start < 1000000)," + _isl("t", "chrom", "c_start", "c_end", 20, "c_start, c_end") + """, u AS (SELECT chrom, isl, max(c_end) - min(c_start) AS bp FROM m GROUP BY chrom, isl), v AS (SELECT chrom, CAST(sum(bp) AS BIGINT) AS merged_bp FROM u GROUP BY chrom),
+    "repeat_decay": f"WITH {CALLS}, t AS (SELECT * FROM calls WHERE type IS NOT NULL)," + _isl("t", "chrom", "c_start", "c_end", 20, "c_start, c_end") + """, u AS (SELECT chrom, isl, max(c_end) - min(c_start) AS bp FROM m GROUP BY chrom, isl), v AS (SELECT chrom, CAST(sum(bp) AS BIGINT) AS merged_bp FROM u GROUP BY chrom),
       b AS (SELECT chrom, count(*) AS fragments, count(DISTINCT type) AS families, round(sum(qual * (c_end - c_start)) / sum(CASE WHEN qual IS NOT NULL THEN c_end - c_start END), 6) AS identity, max(c_end - c_start) AS longest FROM t GROUP BY chrom) SELECT b.*, merged_bp, round(merged_bp / 100000000, 9) AS coverage FROM b JOIN v USING (chrom)""",
     "inside_weights": f"WITH {_feat('start_codon', 's')}, {_feat('CDS', 'c')} SELECT s.seq_id || ':' || s.strand || ':' || s.lo || ':' || s.hi AS pid, count(c.lo) AS weight FROM s LEFT JOIN c ON s.seq_id = c.seq_id AND c.lo < s.lo AND s.lo < c.hi GROUP BY s.seq_id, s.strand, s.lo, s.hi",
     "pair_share": "SELECT id_a[1:3] AS a, id_b[1:3] AS b, count(*) FILTER (coalesce(score, 0) >= 0.5) AS matched, count(*) AS total, round(count(*) FILTER (coalesce(score, 0) >= 0.5) * 100.0::DOUBLE / count(*), 9) AS pct FROM sv_matches WHERE id_a IS NOT NULL AND id_b IS NOT NULL GROUP BY 1, 2",

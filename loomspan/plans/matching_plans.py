@@ -129,7 +129,7 @@ def _present(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("l_partkey").alias("item"), F.col("c_nationkey").alias("nation")).distinct()
 
 
-PRES = "WITH pres AS (SELECT DISTINCT l_partkey AS item, c_nationkey AS nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R'), freq AS (SELECT item, count(*) AS n_samples FROM pres GROUP BY item)"
+PRES = "WITH pres AS (SELECT DISTINCT l_partkey AS item, c_nationkey AS nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), freq AS (SELECT item, count(*) AS n_samples FROM pres GROUP BY item)"
 
 
 def shared_specific(spark, d):
@@ -289,7 +289,7 @@ SQL = {
     "shared_specific": PRES + ", s AS (SELECT nation, count(*) FILTER (n_samples > 1) AS shared, count(*) FILTER (n_samples = 1) AS specific FROM pres JOIN freq USING (item) GROUP BY nation) SELECT *, round(shared * 100.0::DOUBLE / (shared + specific), 9) AS shared_pct, round(specific * 100.0::DOUBLE / (shared + specific), 9) AS specific_pct FROM s",
     "presence_spectrum": PRES + " SELECT r.n AS n_samples, count(item) AS items FROM (SELECT unnest(range(1, 26)) AS n) r LEFT JOIN freq ON n_samples = r.n GROUP BY r.n",
     "family_categories": PRES + ", c AS (SELECT CASE WHEN n_samples = 25 THEN 'Core' WHEN n_samples >= 8 THEN 'Softcore' WHEN n_samples = 1 THEN 'Private' ELSE 'Dispensable' END AS category, count(*) AS items FROM freq GROUP BY 1), k(category) AS (VALUES ('Core'), ('Softcore'), ('Dispensable'), ('Private')) SELECT category, coalesce(items, 0) AS items, round(coalesce(items, 0) * 100.0::DOUBLE / (SELECT sum(items) FROM c), 9) AS pct FROM k LEFT JOIN c USING (category)",
-    "category_matrix": PRES + " SELECT nation, count(*) FILTER (n_samples >= 8 AND n_samples < 25) AS softcore, count(*) FILTER (n_samples BETWEEN 2 AND 7) AS dispensable, count(*) FILTER (n_samples = 1) AS private FROM pres JOIN freq USING (item) GROUP BY nation",
+    "category_matrix": PRES + " SELECT nation, count(*) FILTER (n_samples = 25) AS core, count(*) FILTER (n_samples >= 8 AND n_samples < 25) AS softcore, count(*) FILTER (n_samples BETWEEN 2 AND 7) AS dispensable, count(*) FILTER (n_samples = 1) AS private FROM pres JOIN freq USING (item) GROUP BY nation",
     "pan_core_exact": PRES + ", " + _pan_rows() + ", f AS (SELECT n_samples, count(*) AS items FROM freq GROUP BY 1) SELECT CAST(k AS INTEGER) AS k, round(CAST(sum(items * CAST(pw AS DOUBLE)) AS DOUBLE), 6) AS pan, round(CAST(sum(items * CAST(cw AS DOUBLE)) AS DOUBLE), 6) AS core FROM w JOIN f USING (n_samples) GROUP BY k",
     "pan_core_exhaustive": PRES + ", " + _BIT + " SELECT * FROM cur",
     "pan_core_subsets": PRES + ", " + _BIT + " SELECT * FROM cur",

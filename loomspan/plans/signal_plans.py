@@ -264,7 +264,7 @@ def _isl(src: str, keys: str, s: str, e: str, gap: int, order: str, pre: str = "
     return f"{pre}pv AS (SELECT *, {prev} AS pv FROM {src}), m AS (SELECT *, sum(CASE WHEN pv IS NULL OR {s} - pv > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS isl FROM pv)"
 
 
-_SWEEP = f"""WITH {CALLS}, c2 AS (SELECT * FROM calls WHERE c_end - c_start < 1000000 AND type IN ('INV','DUP','DEL','CNV')),
+_SWEEP = f"""WITH {CALLS}, c2 AS (SELECT * FROM calls WHERE type IN ('INV','DUP','DEL','CNV')),
 ev AS (SELECT chrom, c_start AS pos, type, 1 AS d FROM c2 UNION ALL SELECT chrom, c_end, type, -1 FROM c2),
 ap AS (SELECT chrom, pos, sum(d) FILTER (type = 'INV') AS a, sum(d) FILTER (type = 'DUP') AS b, sum(d) FILTER (type = 'DEL') AS c, sum(d) FILTER (type = 'CNV') AS e FROM ev GROUP BY chrom, pos),
 rn AS (SELECT chrom, pos, lead(pos) OVER w AS nxt, sum(coalesce(a, 0)) OVER w AS ra, sum(coalesce(b, 0)) OVER w AS rb, sum(coalesce(c, 0)) OVER w AS rc, sum(coalesce(e, 0)) OVER w AS re FROM ap WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
@@ -296,7 +296,7 @@ SQL = {
       r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, o, s) AS rn FROM j)
       SELECT id, s AS nearest_fid, CAST(dist AS BIGINT) AS distance, CASE WHEN s IS NULL THEN NULL ELSE CASE o WHEN 0 THEN 'inside' WHEN 1 THEN 'left' ELSE 'right' END END AS side, CAST(CASE o WHEN 0 THEN 0 WHEN 1 THEN dist ELSE -dist END AS BIGINT) AS signed FROM r WHERE rn = 1""",
     "flank_neighbours": f"""WITH {CALLS}, {GAPS}, j AS (SELECT id, CASE WHEN g_end <= c_start THEN 'left' WHEN g_start >= c_end THEN 'right' END AS side, CASE WHEN g_end <= c_start THEN c_start - g_end ELSE g_start - c_end END AS distance, g_start || ':' || g_end AS gap
-      FROM calls JOIN gaps ON chrom = g_chrom AND type = 'INV' AND g_start < c_end + 200000 AND c_start - 200000 < g_end), r AS (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY distance, gap) AS "rank" FROM j WHERE side IS NOT NULL)
+      FROM calls JOIN gaps ON chrom = g_chrom AND g_start < c_end + 200000 AND c_start - 200000 < g_end), r AS (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY distance, gap) AS "rank" FROM j WHERE side IS NOT NULL)
       SELECT id, side, CAST("rank" AS INTEGER) AS "rank", gap, distance FROM r WHERE "rank" <= 2""",
     "strand_flanks": EX + f""", {GAPS}, g AS (SELECT seq_id, gene_id, strand, min(e_start) AS s, max(e_end) AS e FROM ex WHERE gene_id IS NOT NULL AND strand IN ('+', '-') GROUP BY ALL),
       w AS (SELECT seq_id, gene_id, CASE WHEN strand = '+' THEN 'up' ELSE 'down' END AS side, greatest(s - 10000, 0) AS ws, s AS we FROM g UNION ALL SELECT seq_id, gene_id, CASE WHEN strand = '+' THEN 'down' ELSE 'up' END, e, e + 10000 FROM g)
@@ -324,7 +324,7 @@ SQL = {
       SELECT user_id, win, round(log2((chip * 1e6 / tc + 0.25) / (control * 1e6 / ti + 0.25)), 9) AS log2_enrichment FROM g, t""",
     "zip_windows": "SELECT user_id, count(*) AS n_all, count(*) FILTER (event_type = 'click') AS n_click FROM events GROUP BY user_id",
     "share_in_regions": f"""WITH {CALLS}, p AS (SELECT id, EXISTS (SELECT 1 FROM chunks k WHERE k.chrom = calls.chrom AND k."start" < k."end" AND k."start" <= c_start AND c_start < k."end") AS inn FROM calls) SELECT count(*) AS points, count(*) FILTER (inn) AS inside, count(*) FILTER (inn) / count(*) AS share FROM p""",
-    "overlap_fractions": f"WITH {CALLS}, {_REG}, j AS (SELECT chunk_id, type, re - rs AS w, greatest(c_start, rs) AS s, least(c_end, re) AS e FROM reg JOIN calls USING (chrom) WHERE c_end - c_start < 1000000 AND c_start < re AND rs < c_end)," + _isl("j", "chunk_id, type", "s", "e", 0, "s, e")
+    "overlap_fractions": f"WITH {CALLS}, {_REG}, j AS (SELECT chunk_id, type, re - rs AS w, greatest(c_start, rs) AS s, least(c_end, re) AS e FROM reg JOIN calls USING (chrom) WHERE c_start < re AND rs < c_end)," + _isl("j", "chunk_id, type", "s", "e", 0, "s, e")
     + ", u AS (SELECT chunk_id, type, min(w) AS w, max(e) - min(s) AS bp FROM m GROUP BY chunk_id, type, isl) SELECT chunk_id, type, round(sum(bp) / min(w), 9) AS fraction FROM u GROUP BY ALL",
     "rolling_mean": f"SELECT event_id, round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS truncated, round(sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 9) AS padded FROM events WINDOW w AS ({_W})",
     "local_maxima": f"SELECT event_id FROM (SELECT event_id, value, lag(value) OVER ({_W}) AS p, lead(value) OVER ({_W}) AS n FROM events) WHERE (p IS NULL OR value >= p) AND (n IS NULL OR value >= n)",

@@ -400,13 +400,13 @@ SQL = {
       g AS (SELECT l_linestatus, count(*) FILTER (l_returnflag = 'A') AS n1, count(*) FILTER (l_returnflag = 'R') AS n2, sum(r) FILTER (l_returnflag = 'A') AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties, count(*) AS n FROM k GROUP BY 1),
       u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u FROM g) SELECT l_linestatus, n1, n2, round(u, 3) AS u, round(greatest(abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5, 0) / sqrt(n1 * n2 / 12.0::DOUBLE * ((n + 1) - ties / (CAST(n AS DOUBLE) * (n - 1)))), 8) AS z FROM u""",
     "empirical_p": "SELECT l_suppkey, count(*) FILTER (l_extendedprice >= 30000) AS ge, count(*) AS n, round((count(*) FILTER (l_extendedprice >= 30000) + 1) / (count(*) + 1), 9) AS p, round((30000 - avg(l_extendedprice)) / stddev_pop(l_extendedprice), 6) AS z, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1",
-    "histogram": "SELECT l_returnflag, CAST(least(floor(l_extendedprice / 5000), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY ALL",
+    "histogram": "SELECT l_returnflag, CAST(CASE WHEN l_extendedprice = 100000 THEN 19 ELSE floor(l_extendedprice / 5000) END AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY ALL",
     "kde": "WITH v AS (SELECT l_returnflag, l_quantity AS v, count(*) AS c FROM lineitem GROUP BY ALL), x AS (SELECT CAST(unnest(range(0, 51)) AS DOUBLE) AS x) SELECT l_returnflag, x, round(sum(c * exp(-0.5 * ((x - v) / 2) ** 2)) / sum(c) / (2 * sqrt(2 * pi())), 9) AS density FROM v, x GROUP BY ALL",
-    "histogram_peaks": """WITH h AS (SELECT l_returnflag, CAST(least(floor(l_extendedprice / 5000), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, bin) AS rn FROM h WHERE bin BETWEEN 0 AND 9), b AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n, bin) AS rn FROM h)
+    "histogram_peaks": """WITH h AS (SELECT l_returnflag, CAST(CASE WHEN l_extendedprice = 100000 THEN 19 ELSE floor(l_extendedprice / 5000) END AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, bin) AS rn FROM h WHERE bin BETWEEN 0 AND 9), b AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n, bin) AS rn FROM h)
       SELECT a.l_returnflag, a.bin AS peak_bin, a.n AS peak_n, b.bin AS trough_bin, b.n AS trough_n FROM a JOIN b ON a.l_returnflag = b.l_returnflag AND a.rn = 1 AND b.rn = 1""",
-    "consensus": """WITH q AS (SELECT source, regexp_extract(text, '([ACGTN]{60,})', 1) AS s FROM documents WHERE source IS NOT NULL AND text IS NOT NULL), p AS (SELECT source, unnest(range(0, length(s))) AS pos, unnest(string_split(s, '')) AS base FROM q WHERE s <> ''), n AS (SELECT source, pos, base, count(*) AS n FROM p GROUP BY ALL),
+    "consensus": """WITH q AS (SELECT source, unnest(regexp_extract_all(text, '[ACGTN]{60,}')) AS s FROM documents WHERE source IS NOT NULL AND text IS NOT NULL), p AS (SELECT source, unnest(range(0, length(s))) AS pos, unnest(string_split(s, '')) AS base FROM q WHERE s <> ''), n AS (SELECT source, pos, base, count(*) AS n FROM p GROUP BY ALL),
       t AS (SELECT *, sum(n) OVER (PARTITION BY source, pos) AS w, row_number() OVER (PARTITION BY source, pos ORDER BY n DESC, base) AS rn FROM n) SELECT source, string_agg(CASE WHEN n >= w * 0.5 THEN base ELSE 'N' END, '' ORDER BY pos) AS consensus FROM t WHERE rn = 1 GROUP BY source""",
-    "nucleotide_diversity": """WITH q AS (SELECT source, regexp_extract(text, '([ACGTN]{60,})', 1) AS s FROM documents WHERE source IS NOT NULL AND text IS NOT NULL), p AS (SELECT source, unnest(range(0, length(s))) AS pos, unnest(string_split(s, '')) AS base FROM q WHERE s <> ''), n AS (SELECT source, pos, base, count(*) AS n FROM p WHERE base <> 'N' GROUP BY ALL),
+    "nucleotide_diversity": """WITH q AS (SELECT source, unnest(regexp_extract_all(text, '[ACGTN]{60,}')) AS s FROM documents WHERE source IS NOT NULL AND text IS NOT NULL), p AS (SELECT source, unnest(range(0, length(s))) AS pos, unnest(string_split(s, '')) AS base FROM q WHERE s <> ''), n AS (SELECT source, pos, base, count(*) AS n FROM p WHERE base <> 'N' GROUP BY ALL),
       c AS (SELECT source, pos, sum(n) AS m, sum(n * (n - 1)) AS same FROM n GROUP BY ALL) SELECT source, round(avg(CASE WHEN m > 1 THEN 1 - same / (m * (m - 1)) END), 8) AS pi, count(CASE WHEN m > 1 THEN 1 END) AS sites FROM c GROUP BY source""",
     "pairwise_identity": "WITH s AS (SELECT r_name, rpad(r_name, 12, '-') AS q FROM region), j AS (SELECT a.r_name AS a, b.r_name AS b, unnest(string_split(a.q, '')) AS x, unnest(string_split(b.q, '')) AS y FROM s a JOIN s b ON a.r_name < b.r_name) SELECT a, b, CAST(count(*) AS INTEGER) AS columns, round(count(*) FILTER (x = y) / count(*), 9) AS identity FROM j WHERE x <> '-' AND y <> '-' GROUP BY a, b",
     "best_pair_similarity": "SELECT least(id_a, id_b) AS a, greatest(id_a, id_b) AS b, max(score) AS identity FROM sv_matches WHERE id_a <> id_b AND coalesce(score, 0) * 100 >= 45 GROUP BY 1, 2",
