@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,14 +33,59 @@ def match_reason(kind: Column, s1: Column, e1: Column, s2: Column, e2: Column, l
     )
 
 
-def overlap_score(ro: Column, jaccard: Column, distance: Column) -> Column:
-    """Score of a candidate pair: overlap and profile similarity less distance."""
-    return ro * 1000 + F.coalesce(jaccard, F.lit(0.0)) * 50 - distance / 1000
+def length_ratio(a: Column, b: Column) -> Column:
+    """The longer length over the shorter, which counts as 1 at least."""
+    return F.greatest(a, b).cast("double") / F.greatest(F.least(a, b), F.lit(1))
 
 
-def sequence_score(jaccard: Column, containment: Column, distance: Column) -> Column:
-    """Score of an insertion pair from k-mer similarity."""
-    return jaccard * 1000 + containment * 250 - distance / 1000
+def overlap_score(ro: Column, profile: Column, distance: Column, ratio: Column) -> Column:
+    """Score of a pair of intervals: overlap and profile similarity, less the distance of both ends and
+    the difference of lengths."""
+    return ro * 1000 + F.coalesce(profile, F.lit(0.0)) * 50 - distance / 1000 - F.abs(ratio - 1) * 20
+
+
+def sequence_score(jaccard: Column, containment: Column, profile: Column, distance: Column, ratio: Column) -> Column:
+    """Score of a pair of insertions, from the similarity of their sequences."""
+    return jaccard * 1000 + containment * 250 + F.coalesce(profile, F.lit(0.0)) * 50 - distance / 100 - F.abs(ratio - 1) * 30
+
+
+@dataclass(frozen=True)
+class MatchRule:
+    """Limits of a candidate pair. Intervals are compared by both ends, insertions by sequence."""
+
+    distance: int = 500
+    least_overlap: float = 0.7
+    most_ratio: float = 1.5
+    least_profile: float = 0.5
+    kinds: tuple[str, ...] = ("DEL", "DUP", "INV")
+    sequence_kinds: tuple[str, ...] = ("INS",)
+    k: int = 15
+    least_jaccard: float = 0.35
+    least_containment: float = 0.70
+
+
+PUBLICATION = MatchRule()
+#: Intervals only, with wider limits.
+STRICT = MatchRule(distance=1000, least_overlap=0.5, most_ratio=2.0, least_profile=0.3, sequence_kinds=())
+
+
+def scored_candidates(pairs: DataFrame, rule: MatchRule = PUBLICATION) -> DataFrame:
+    """The pairs that the rule lets pass, with ``ro``, ``jaccard``, ``containment`` and ``score``.
+
+    ``pairs`` has kind, a_s, a_e, b_s, b_e (half-open), a_len, b_len, a_seq, b_seq and profile, the
+    similarity of the samples' profiles or null if there is none.
+    """
+    a_s, a_e, b_s, b_e = (F.col(c) for c in ("a_s", "a_e", "b_s", "b_e"))
+    by_seq = F.col("kind").isin(list(rule.sequence_kinds)) if rule.sequence_kinds else F.lit(False)
+    start_off, end_off = F.abs(a_s - b_s), F.abs(a_e - b_e)
+    ratio = length_ratio(F.col("a_len"), F.col("b_len"))
+    near = pairs.where((F.col("kind").isin(list(rule.kinds)) & (end_off <= rule.distance)) | by_seq).where((start_off <= rule.distance) & (ratio <= rule.most_ratio) & (F.col("profile").isNull() | (F.col("profile") >= rule.least_profile)))
+    sim = F.when(by_seq, sequence_similarity(F.col("a_seq"), F.col("b_seq"), rule.k)) if rule.sequence_kinds else F.lit(None).cast("struct<jaccard:double,containment:double,orientation:string,k:int>")
+    near = near.withColumn("__sim", sim).withColumn("ro", F.when(~by_seq, reciprocal_overlap(a_s, a_e, b_s, b_e)))
+    fit = near.withColumns({"jaccard": F.col("__sim.jaccard"), "containment": F.col("__sim.containment"), "orientation": F.col("__sim.orientation")}).drop("__sim")
+    fit = fit.where(F.when(by_seq, (F.col("jaccard") >= rule.least_jaccard) & (F.col("containment") >= rule.least_containment)).otherwise(F.col("ro") >= rule.least_overlap))
+    score = F.when(by_seq, sequence_score(F.col("jaccard"), F.col("containment"), F.col("profile"), start_off, ratio)).otherwise(overlap_score(F.col("ro"), F.col("profile"), start_off + end_off, ratio))
+    return fit.withColumn("score", F.round(score, 6))
 
 
 def best_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -48,26 +94,66 @@ def best_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def reciprocal_best(cands: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Pairs (a, b, score) that are each other's best and are chosen once on either side.
+def reciprocal_best(cands: DataFrame, a: str, b: str, score: str, back: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, score) that are each other's best, where no other a has this b as its best and no
+    other b this a.
 
-    Ties are broken by the partner's id, so the result doesn't depend on row order.
+    ``back`` holds the candidates seen from side b, if they differ. Ties are broken by the partner's
+    id, so the result doesn't depend on row order.
     """
     best_a = best_per(cands, [a], [F.desc(score), b]).select(a, b, score)
-    best_b = best_per(cands, [b], [F.desc(score), a]).select(F.col(a).alias("__a"), F.col(b).alias("__b"))
-    return best_a.join(best_b, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b"))).select(a, b, score)
+    best_b = best_per(cands if back is None else back, [b], [F.desc(score), a]).select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    once_b = best_a.groupBy(F.col(b).alias("__cb")).count().where("count = 1").select("__cb")
+    once_a = best_b.groupBy(F.col("__a").alias("__ca")).count().where("count = 1").select("__ca")
+    both = best_a.join(best_b, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b"))).select(a, b, score)
+    return both.join(once_b, F.col(b) == F.col("__cb"), "left_semi").join(once_a, F.col(a) == F.col("__ca"), "left_semi")
+
 
+# --- fixed values: outcomes of a record and their reasons, for the first and the second side
+ONLY = ("RefA_only_publication_lifted_no_match", "RefB_only_publication_lifted_no_match")
+ONLY_REASON = ("unique_high_quality_synteny_liftover_but_no_matching_RefB_SV", "unique_high_quality_synteny_liftover_but_no_matching_RefA_SV")
+MANY_TO_ONE = ("ambiguous_many_to_one", "multiple_RefA_records_choose_same_RefB_best")
+ONE_TO_MANY = ("ambiguous_one_to_many", "multiple_RefB_records_choose_same_RefA_best")
 
-def unmatched_reason(ids: DataFrame, cands: DataFrame, matched: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Every id of side ``a`` without a match, with its class: 'no_candidate', 'many_to_one' (its best
-    partner is matched elsewhere), 'one_to_many' (several best partners tie) or 'not_reciprocal'."""
-    left = ids.select(a).distinct().join(matched.select(a), a, "left_anti")
-    top = cands.groupBy(a).agg(F.max(score).alias("__top"))
-    best = cands.join(top, a).where(F.col(score) == F.col("__top"))
-    taken = matched.select(F.col(b).alias("__tb")).distinct()
-    info = best.join(taken, best[b] == F.col("__tb"), "left").groupBy(a).agg(F.count(F.lit(1)).alias("__ties"), F.max(F.col("__tb").isNotNull()).alias("__taken"))
-    out = left.join(info, a, "left")
-    return out.select(a, F.when(F.col("__ties").isNull(), "no_candidate").when(F.col("__ties") > 1, "one_to_many").when(F.col("__taken"), "many_to_one").otherwise("not_reciprocal").alias("reason"))
+
+def match_outcomes(records: DataFrame, cands: DataFrame, own: str, other: str, score: str, second: bool = False, back: DataFrame | None = None) -> DataFrame:
+    """Every record of one side with ``partner``, ``status``, ``reason`` and ``confidence``.
+
+    ``records`` has ``own``, kind and lift ('ok', or why the record has no place on the other side);
+    ``cands`` comes from ``scored_candidates`` and ``back`` likewise, seen from the other side, if it
+    differs. ``second`` says that ``own`` is the second side. A partner is shared only if it is a
+    reciprocal best that is chosen once on either side. Insertions without one are unresolved; other
+    records are ambiguous by how often their best, or they themselves, are chosen as a best; a record
+    without candidates occurs on its side only.
+    """
+    side = int(second)
+    best = best_per(cands, [own], [F.desc(score), other]).select(F.col(own).alias("__own"), F.col(other).alias("partner"), *("ro", "profile", "jaccard", "containment"))
+    best_back = best_per(cands if back is None else back, [other], [F.desc(score), own]).select(F.col(other).alias("__p"), F.col(own).alias("__choice"))
+    chosen = best.groupBy(F.col("partner").alias("__cp")).agg(F.count(F.lit(1)).alias("__n_partner"))
+    own_chosen = best_back.groupBy(F.col("__choice").alias("__co")).agg(F.count(F.lit(1)).alias("__n_own"))
+    out = records.join(best, F.col(own) == F.col("__own"), "left").join(best_back, F.col("partner") == F.col("__p"), "left")
+    out = out.join(chosen, F.col("partner") == F.col("__cp"), "left").join(own_chosen, F.col(own) == F.col("__co"), "left")
+    known = F.coalesce(F.col("kind").isin("DEL", "DUP", "INV", "INS"), F.lit(False))
+    ins = F.col("kind") == "INS"
+    shared = F.coalesce((F.col("__choice") == F.col(own)) & (F.col("__n_partner") == 1) & (F.col("__n_own") == 1), F.lit(False))
+    lost = F.coalesce(F.col("lift"), F.lit("unknown"))
+    by_partner, by_own = (ONE_TO_MANY, MANY_TO_ONE) if second else (MANY_TO_ONE, ONE_TO_MANY)
+
+    def pick(i: int) -> Column:
+        return (
+            F.when(~known, ("unresolved_unsupported_svtype", "not_in_DEL_DUP_INV_INS")[i])
+            .when(shared, F.when(ins, ("shared_strict_sequence", "reciprocal_best_liftover_ins_kmer")[i]).otherwise(("shared_strict_liftover", "reciprocal_best_synteny_liftover_ro")[i]))
+            .when(ins, F.lit("ins_unresolved") if i == 0 else F.when(lost != "ok", lost).when(F.col("partner").isNotNull(), "INS_candidate_not_reciprocal_or_not_one_to_one").otherwise("INS_no_sequence_match_in_syntenic_target_window"))
+            .when(lost != "ok", F.lit("ambiguous_synteny") if i == 0 else lost)
+            .when(F.col("partner").isNull(), (ONLY[side], ONLY_REASON[side])[i])
+            .when(F.col("__n_partner") > 1, by_partner[i])
+            .when(F.col("__n_own") > 1, by_own[i])
+            .otherwise(("ambiguous_not_reciprocal", "best_hit_not_reciprocal")[i])
+        )
+
+    strong = F.when(ins, (F.col("jaccard") >= 0.5) & (F.col("containment") >= 0.8)).otherwise((F.col("ro") >= 0.8) & (F.col("profile").isNull() | (F.col("profile") >= 0.7)))
+    confidence = F.when(shared & strong, "high").when(shared | (pick(0) == ONLY[side]), "medium").otherwise("low")
+    return out.select(*(F.col(c) for c in records.columns), "partner", pick(0).alias("status"), pick(1).alias("reason"), confidence.alias("confidence"))
 
 
 def capped(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -158,13 +244,41 @@ def kmers(seq: Column, k: Column | int) -> Column:
 
 
 def kmer_similarity(a: Column, b: Column, k: int = 15) -> tuple[Column, Column]:
-    """(Jaccard, containment in the smaller set) of k-mer sets, k adapted to short sequences."""
+    """(Jaccard, containment in the smaller set) of k-mer sets of any two texts, k adapted to short ones."""
     size = F.greatest(F.lit(5), F.least(F.lit(k), F.floor(F.least(F.length(a), F.length(b)) / 3).cast("int")))
     x, y = F.array_distinct(kmers(a, size)), F.array_distinct(kmers(b, size))
     shared = F.size(F.array_intersect(x, y))
     return F.try_divide(shared, F.size(F.array_union(x, y))), F.try_divide(shared, F.least(F.size(x), F.size(y)))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def sequence_similarity(a: Column, b: Column, k: int = 15) -> Column:
+    """struct(jaccard, containment, orientation, k) of two nucleotide sequences, over both strands of b.
+
+    k is adapted to the shorter sequence; a sequence shorter than k is its own only k-mer. Of the two
+    strands the one with the larger (jaccard, containment) counts, the forward one if they are equal.
+    Null if a sequence is null or empty. Case doesn't matter.
+    """
+    x, y = (F.translate(c, _LETTERS, _LETTERS.upper()) for c in (a, b))
+    size = F.greatest(F.lit(5), F.least(F.lit(k), F.greatest(F.lit(5), F.floor(F.least(F.length(x), F.length(y)) / 3).cast("int"))))
+
+    def words(seq: Column) -> Column:
+        return F.when(F.length(seq) < size, F.array(seq)).otherwise(F.array_distinct(kmers(seq, size)))
+
+    def score(other: Column, orientation: str) -> Column:
+        def of(p: Column, q: Column) -> Column:
+            shared = F.size(F.array_intersect(p, q))
+            return F.struct((shared / (F.size(p) + F.size(q) - shared)).alias("jaccard"), (shared / F.least(F.size(p), F.size(q))).alias("containment"), F.lit(orientation).alias("orientation"), size.alias("k"))
+
+        return F.get(F.transform(F.array(F.struct(words(x).alias("p"), words(other).alias("q"))), lambda z: of(z["p"], z["q"])), F.lit(0))
+
+    same, turned = score(y, "same"), score(F.reverse(F.translate(y, "ACGTN", "TGCAN")), "reverse_complement")
+    both = F.transform(F.array(F.struct(same.alias("s"), turned.alias("t"))), lambda z: F.when((z["t"]["jaccard"] > z["s"]["jaccard"]) | ((z["t"]["jaccard"] == z["s"]["jaccard"]) & (z["t"]["containment"] > z["s"]["containment"])), z["t"]).otherwise(z["s"]))
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), F.get(both, F.lit(0)))
+
+
 def apply_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """A function of the caller per group, for semantics no expression covers; groups must be bounded."""
 

@@ -33,26 +33,86 @@ def _cands(spark: SparkSession, d: str) -> DataFrame:
     a_s, a_e, b_s, b_e = (F.col(c) for c in ("a_s", "a_e", "b_s", "b_e"))
     j = j.withColumn("reason", M.match_reason(F.col("a_type"), a_s, a_e, b_s, b_e, a_e - a_s, b_e - b_s)).where("reason is not null")
     ro = M.reciprocal_overlap(a_s, a_e, b_s, b_e)
-    return j.withColumn("score", F.round(M.overlap_score(ro, F.lit(0.0), F.abs(a_s - b_s)), 6)).select("a", "b", "reason", "score")
-
-
-def _kept(spark: SparkSession, d: str) -> DataFrame:
-    """The candidates, computed once for the several steps that read them."""
-    return Stored(_cands(spark, d), "candidates").df
+    score = M.overlap_score(ro, F.lit(None).cast("double"), F.abs(a_s - b_s) + F.abs(a_e - b_e), M.length_ratio(a_e - a_s, b_e - b_s))
+    return j.withColumn("score", F.round(score, 6)).select("a", "b", "reason", "score")
 
 
 def match_candidates(spark, d):
     return _cands(spark, d)
 
 
+def _records(spark: SparkSession, d: str, like: str, p: str) -> DataFrame:
+    """Calls of one caller with a length, a stand-in for their sequence and one for their samples' profile.
+
+    The tables hold neither: the sequence is made of digests of the place (in steps of 400 bp) and of
+    the id, the profile of 12 bits of the id's digest. A chromosome without a chunk has no lift.
+    """
+    c = table(spark, d, "sv_calls").where(F.col("pos").isNotNull() & F.col("end").isNotNull() & F.col("chrom").isNotNull() & F.col("id").like(like))
+    c = c.groupBy("id", "chrom", "type", F.least("pos", "end").alias("s"), F.greatest("pos", "end").alias("e")).agg(F.max("len").alias("len"))
+    lifted = table(spark, d, "chunks").where("chrom is not null").select(F.col("chrom").alias("l_chrom")).distinct()
+    bases = lambda x: F.translate(F.md5(x.cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return c.join(lifted, F.col("chrom") == F.col("l_chrom"), "left").select(
+        F.col("id").alias(p), F.col("chrom").alias(f"{p}_chrom"), F.col("type").alias(f"{p}_type"), (F.col("s") - 1).alias(f"{p}_s"), F.col("e").alias(f"{p}_e"), F.coalesce("len", F.col("e") - F.col("s") + 1).alias(f"{p}_len"),
+        F.concat(bases(F.concat_ws(":", "chrom", F.floor(F.col("s") / 400).cast("string"))), F.substring(bases(F.col("id")), 1, 8)).alias(f"{p}_seq"), F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 3), 16, 10).cast("bigint").alias(f"{p}_mask"),
+        F.when(F.col("l_chrom").isNotNull(), "ok").otherwise("no_block").alias(f"{p}_lift"),
+    )
+
+
+def _scored(spark: SparkSession, d: str, rule: M.MatchRule) -> DataFrame:
+    left, right = _records(spark, d, A, "a").where("a_lift = 'ok'"), _records(spark, d, B, "b")
+    j = I.overlap_join(left, right, [("a_chrom", "b_chrom"), ("a_type", "b_type")], I.Span("a_s", "a_e"), I.Span("b_s", "b_e"), slack=rule.distance)
+    x, y = F.col("a_mask"), F.col("b_mask")
+    profile = F.when((F.bit_count(x) >= 2) & (F.bit_count(y) >= 2), P.mask_jaccard(x, y))
+    return M.scored_candidates(j.withColumn("profile", profile).withColumn("kind", F.col("a_type")), rule)
+
+
+_EVIDENCE = ("ro", "profile", "jaccard", "containment", "orientation")
+
+
+def scored_candidates(spark, d):
+    """Candidates with their evidence: intervals by overlap and ends, insertions by sequence."""
+    return _scored(spark, d, M.PUBLICATION).select("a", "b", "kind", *(F.round(c, 9).alias(c) for c in _EVIDENCE[:-1]), "orientation", "score")
+
+
+def _kept(spark: SparkSession, d: str, rule: M.MatchRule) -> DataFrame:
+    """The candidates, computed once for the several steps that read them."""
+    return Stored(_scored(spark, d, rule).select("a", "b", "score", *_EVIDENCE), "candidates").df
+
+
 def reciprocal_best(spark, d):
-    return M.reciprocal_best(_kept(spark, d), "a", "b", "score")
+    return M.reciprocal_best(_kept(spark, d, M.PUBLICATION), "a", "b", "score")
+
+
+def strict_candidates(spark, d):
+    return _scored(spark, d, M.STRICT).select("a", "b", "kind", F.round("ro", 9).alias("ro"), F.round("profile", 9).alias("profile"), "score")
+
+
+def strict_best(spark, d):
+    return M.reciprocal_best(_kept(spark, d, M.STRICT), "a", "b", "score")
+
+
+def match_outcomes(spark, d):
+    """Every call of both callers with its partner, outcome, reason and confidence."""
+    kept = _kept(spark, d, M.PUBLICATION)
+    sides = [M.match_outcomes(_records(spark, d, like, own).select(F.col(own), F.col(f"{own}_type").alias("kind"), F.col(f"{own}_lift").alias("lift")), kept, own, other, "score", own == "b").withColumnRenamed(own, "id").withColumn("side", F.lit(own)) for like, own, other in ((A, "a", "b"), (B, "b", "a"))]
+    return sides[0].unionByName(sides[1]).select("side", "id", "kind", "partner", "status", "reason", "confidence")
 
 
 def unmatched_reasons(spark, d):
-    c = _kept(spark, d)
-    left, _ = _two_sets(spark, d)
-    return M.unmatched_reason(left, c, M.reciprocal_best(c, "a", "b", "score"), "a", "b", "score").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """How many calls of either side have which outcome."""
+    return match_outcomes(spark, d).groupBy("side", "status", "reason", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sequence_similarity(spark, d):
+    """Every sequence named in the texts against the next of its source, and a stretch of its other strand."""
+    s = table(spark, d, "documents").where("source is not null and text is not null").select("doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit("([ACGTN]{60,})"), F.lit(1))).alias("pos", "seq"))
+    from pyspark.sql import Window
+
+    nxt = s.withColumn("next", F.lead("seq").over(Window.partitionBy("source").orderBy("doc_id", "pos")))
+    turned = F.lower(F.reverse(F.translate(F.substring("seq", 11, 40), "ACGTN", "TGCAN")))
+    both = nxt.select("doc_id", "pos", "seq", F.inline(F.array(F.struct(F.lit("next").alias("against"), F.col("next").alias("other")), F.struct(F.lit("stretch").alias("against"), turned.alias("other")), F.struct(F.lit("short").alias("against"), F.substring("seq", 1, 3).alias("other")))))
+    sim = both.select("doc_id", "pos", "against", M.sequence_similarity(F.col("seq"), F.col("other"), 15).alias("m")).where("m is not null")
+    return sim.select("doc_id", "pos", "against", F.round("m.jaccard", 9).alias("jaccard"), F.round("m.containment", 9).alias("containment"), "m.orientation", "m.k")
 
 
 def capped_evidence(spark, d):
@@ -244,7 +304,7 @@ def block_orientation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        match_candidates, reciprocal_best, unmatched_reasons, capped_evidence, fallback_key, parent_resolution, structure_match, mate_pairs, kmer_similarity, greedy_exclusive, pair_combinations, shared_specific, presence_spectrum, family_categories, category_matrix, pan_core_exact,
+        match_candidates, scored_candidates, reciprocal_best, strict_candidates, strict_best, match_outcomes, unmatched_reasons, sequence_similarity, capped_evidence, fallback_key, parent_resolution, structure_match, mate_pairs, kmer_similarity, greedy_exclusive, pair_combinations, shared_specific, presence_spectrum, family_categories, category_matrix, pan_core_exact,
         pan_core_exhaustive, pan_core_subsets, pan_core_summary, pan_core_sampled, mask_jaccard, genotype_states, sample_state_stats, combined_states, presence_rules, orthology_classes, low_copy_families, block_orientation,
     )
 }
@@ -252,10 +312,58 @@ QUERIES = {
 _CAND = f"""WITH {CALLS}, l AS (SELECT id AS a, chrom, type, c_start AS a_s, c_end AS a_e FROM calls WHERE id LIKE 'lrc%' AND type IS NOT NULL), r AS (SELECT id AS b, chrom, type, c_start AS b_s, c_end AS b_e FROM calls WHERE id LIKE 'asm%' AND type IS NOT NULL),
 j AS (SELECT a, b, l.type, a_s, a_e, b_s, b_e, greatest(least(a_e, b_e) - greatest(a_s, b_s), 0) AS ov, greatest(a_e - a_s, b_e - b_s) <= 1.5 * least(a_e - a_s, b_e - b_s) AS fit FROM l JOIN r ON l.chrom = r.chrom AND l.type = r.type AND a_s - 500 < b_e AND b_s < a_e + 500),
 k AS (SELECT *, least(ov / (a_e - a_s), ov / (b_e - b_s)) AS ro FROM j),
-c AS (SELECT a, b, CASE WHEN type = 'INS' THEN CASE WHEN abs(a_s - b_s) <= 500 AND fit THEN 'position' END WHEN ro >= 0.5 THEN 'reciprocal_overlap' WHEN abs(a_s - b_s) <= 500 AND abs(a_e - b_e) <= 500 AND fit THEN 'breakpoint' END AS reason, round(ro * 1000 - abs(a_s - b_s) / 1000, 6) AS score FROM k),
-cand AS (SELECT * FROM c WHERE reason IS NOT NULL),
-ba AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM cand) WHERE rn = 1), bb AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rn FROM cand) WHERE rn = 1),
-best AS (SELECT a, b, score FROM ba SEMI JOIN bb USING (a, b))"""
+c AS (SELECT a, b, CASE WHEN type = 'INS' THEN CASE WHEN abs(a_s - b_s) <= 500 AND fit THEN 'position' END WHEN ro >= 0.5 THEN 'reciprocal_overlap' WHEN abs(a_s - b_s) <= 500 AND abs(a_e - b_e) <= 500 AND fit THEN 'breakpoint' END AS reason, round(ro * 1000 - (abs(a_s - b_s) + abs(a_e - b_e)) / 1000 - abs(greatest(a_e - a_s, b_e - b_s) / greatest(least(a_e - a_s, b_e - b_s), 1) - 1) * 20, 6) AS score FROM k),
+cand AS (SELECT * FROM c WHERE reason IS NOT NULL)"""
+
+
+def _rec(p: str, like: str) -> str:
+    return f"""{p}0 AS (SELECT id, chrom, type, least(pos, "end") AS s, greatest(pos, "end") AS e, max(len) AS len FROM sv_calls WHERE pos IS NOT NULL AND "end" IS NOT NULL AND chrom IS NOT NULL AND id LIKE '{like}' GROUP BY ALL),
+{p}r AS (SELECT id AS {p}, chrom, type, s AS {p}_pos, e AS {p}_end, coalesce(len, e - s + 1) AS {p}_len, translate(md5(chrom || ':' || (s // 400)), '0123456789abcdef', 'ACGTACGTACGTACGT') || substring(translate(md5(id), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 8) AS {p}_seq,
+  CAST('0x' || substring(md5(id), 1, 3) AS INTEGER) AS {p}_mask, CASE WHEN chrom IN (SELECT chrom FROM chunks WHERE chrom IS NOT NULL) THEN 'ok' ELSE 'no_block' END AS {p}_lift FROM {p}0)"""
+
+
+# k-mers of 13 letters: the sequences have 40
+_KM = "list_distinct(list_transform(range(1, 29), lambda i: substring({}, i, 13)))"
+
+
+def _scored_sql(distance: int, overlap: float, ratio: float, profile: float, ins: bool) -> str:
+    """Candidates and best choices, by the rules as they are stated: closed ends, both directions alike."""
+    return f"""WITH {_rec("a", A)}, {_rec("b", B)},
+p0 AS (SELECT a, b, ar.type AS kind, a_pos, a_end, b_pos, b_end, a_len, b_len, a_seq, b_seq, CASE WHEN bit_count(a_mask) >= 2 AND bit_count(b_mask) >= 2 THEN bit_count(a_mask & b_mask) / bit_count(a_mask | b_mask) END AS profile, greatest(a_len, b_len) / greatest(1, least(a_len, b_len)) AS lr
+  FROM ar JOIN br ON ar.chrom = br.chrom AND ar.type = br.type AND a_lift = 'ok' AND abs(a_pos - b_pos) <= {distance} WHERE ar.type IN ('DEL', 'DUP', 'INV'{", 'INS'" if ins else ""})),
+p1 AS (SELECT *, CASE WHEN kind <> 'INS' THEN least(greatest(0, least(a_end, b_end) - greatest(a_pos, b_pos) + 1) / (a_end - a_pos + 1), greatest(0, least(a_end, b_end) - greatest(a_pos, b_pos) + 1) / (b_end - b_pos + 1)) END AS ro,
+  CASE WHEN kind = 'INS' THEN {_KM.format("a_seq")} END AS ka, CASE WHEN kind = 'INS' THEN {_KM.format("b_seq")} END AS kb, CASE WHEN kind = 'INS' THEN {_KM.format("reverse(translate(b_seq, 'ACGT', 'TGCA'))")} END AS kr FROM p0 WHERE lr <= {ratio} AND (profile IS NULL OR profile >= {profile}) AND (kind = 'INS' OR abs(a_end - b_end) <= {distance})),
+p2 AS (SELECT *, len(list_intersect(ka, kb)) AS i1, len(list_intersect(ka, kr)) AS i2 FROM p1),
+p3 AS (SELECT *, i1 / (len(ka) + len(kb) - i1) AS j1, i1 / least(len(ka), len(kb)) AS c1, i2 / (len(ka) + len(kr) - i2) AS j2, i2 / least(len(ka), len(kr)) AS c2 FROM p2),
+p4 AS (SELECT *, CASE WHEN (j2, c2) > (j1, c1) THEN j2 ELSE j1 END AS jaccard, CASE WHEN (j2, c2) > (j1, c1) THEN c2 ELSE c1 END AS containment, CASE WHEN kind = 'INS' THEN CASE WHEN (j2, c2) > (j1, c1) THEN 'reverse_complement' ELSE 'same' END END AS orientation FROM p3),
+cand AS (SELECT *, round(CASE WHEN kind = 'INS' THEN jaccard * 1000 + containment * 250 + coalesce(profile, 0) * 50 - abs(a_pos - b_pos) / 100 - abs(lr - 1) * 30
+  ELSE ro * 1000 + coalesce(profile, 0) * 50 - (abs(a_pos - b_pos) + abs(a_end - b_end)) / 1000 - abs(lr - 1) * 20 END, 6) AS score FROM p4 WHERE CASE WHEN kind = 'INS' THEN jaccard >= 0.35 AND containment >= 0.70 ELSE ro >= {overlap} END),
+ba AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1), bb AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, a) = 1),
+nb AS (SELECT b AS id, count(*) AS n FROM ba GROUP BY b), na AS (SELECT a AS id, count(*) AS n FROM bb GROUP BY a),
+best AS (SELECT ba.a, ba.b, ba.score FROM ba JOIN bb ON ba.a = bb.a AND ba.b = bb.b JOIN nb ON nb.id = ba.b AND nb.n = 1 JOIN na ON na.id = ba.a AND na.n = 1)"""
+
+
+_PUB, _STRICT = _scored_sql(500, 0.7, 1.5, 0.5, True), _scored_sql(1000, 0.5, 2.0, 0.3, False)
+
+
+def _side_sql(own: str, other: str) -> str:
+    first = own == "a"
+    many, one = ("many_to_one", "one_to_many"), ("one_to_many", "many_to_one")
+    by_partner, by_own = many if first else one
+    text = {"many_to_one": "multiple_RefA_records_choose_same_RefB_best", "one_to_many": "multiple_RefB_records_choose_same_RefA_best"}
+    mine, theirs = ("RefA", "RefB") if first else ("RefB", "RefA")
+    return f"""SELECT '{own}' AS side, r.{own} AS id, r.type AS kind, x.{other} AS partner,
+  CASE WHEN r.type IS NULL OR r.type NOT IN ('DEL', 'DUP', 'INV', 'INS') THEN 'unresolved_unsupported_svtype' WHEN m.{own} IS NOT NULL THEN CASE WHEN r.type = 'INS' THEN 'shared_strict_sequence' ELSE 'shared_strict_liftover' END WHEN r.type = 'INS' THEN 'ins_unresolved'
+    WHEN r.{own}_lift <> 'ok' THEN 'ambiguous_synteny' WHEN x.{own} IS NULL THEN '{mine}_only_publication_lifted_no_match' WHEN np.n > 1 THEN 'ambiguous_{by_partner}' WHEN no.n > 1 THEN 'ambiguous_{by_own}' ELSE 'ambiguous_not_reciprocal' END AS status,
+  CASE WHEN r.type IS NULL OR r.type NOT IN ('DEL', 'DUP', 'INV', 'INS') THEN 'not_in_DEL_DUP_INV_INS' WHEN m.{own} IS NOT NULL THEN CASE WHEN r.type = 'INS' THEN 'reciprocal_best_liftover_ins_kmer' ELSE 'reciprocal_best_synteny_liftover_ro' END
+    WHEN r.{own}_lift <> 'ok' THEN r.{own}_lift WHEN r.type = 'INS' THEN CASE WHEN x.{own} IS NOT NULL THEN 'INS_candidate_not_reciprocal_or_not_one_to_one' ELSE 'INS_no_sequence_match_in_syntenic_target_window' END
+    WHEN x.{own} IS NULL THEN 'unique_high_quality_synteny_liftover_but_no_matching_{theirs}_SV' WHEN np.n > 1 THEN '{text[by_partner]}' WHEN no.n > 1 THEN '{text[by_own]}' ELSE 'best_hit_not_reciprocal' END AS reason,
+  CASE WHEN m.{own} IS NOT NULL THEN CASE WHEN r.type = 'INS' AND x.jaccard >= 0.5 AND x.containment >= 0.8 OR r.type <> 'INS' AND x.ro >= 0.8 AND coalesce(x.profile, 1) >= 0.7 THEN 'high' ELSE 'medium' END
+    WHEN r.type IN ('DEL', 'DUP', 'INV') AND r.{own}_lift = 'ok' AND x.{own} IS NULL THEN 'medium' ELSE 'low' END AS confidence
+FROM {own}r r LEFT JOIN b{own} x ON x.{own} = r.{own} LEFT JOIN best m ON m.{own} = r.{own} LEFT JOIN n{other} np ON np.id = x.{other} LEFT JOIN n{own} no ON no.id = r.{own}"""
+
+
+_OUTCOMES = f"{_PUB}, o AS ({_side_sql('a', 'b')} UNION ALL {_side_sql('b', 'a')})"
 _BIT = "mk AS (SELECT item, bit_or(1 << n_regionkey) AS mask FROM pres JOIN nation ON nation = n_nationkey GROUP BY item), cnt AS (SELECT mask, count(*) AS items FROM mk GROUP BY mask), sub AS (SELECT unnest(range(1, 32)) AS subset), cur AS (SELECT CAST(subset AS BIGINT) AS subset, CAST(bit_count(subset) AS INTEGER) AS k, CAST(coalesce(sum(items) FILTER ((mask & subset) <> 0), 0) AS BIGINT) AS pan, CAST(coalesce(sum(items) FILTER ((mask & subset) = subset), 0) AS BIGINT) AS core FROM sub, cnt GROUP BY subset)"
 
 
@@ -271,9 +379,19 @@ s AS (SELECT id, sample, gt, CASE WHEN gt IS NULL OR len(al) = 0 THEN NULL WHEN
 
 SQL = {
     "match_candidates": _CAND + " SELECT * FROM cand",
-    "reciprocal_best": _CAND + " SELECT * FROM best",
-    "unmatched_reasons": _CAND + """, un AS (SELECT a FROM (SELECT DISTINCT a FROM l) ANTI JOIN best USING (a)), top AS (SELECT a, max(score) AS t FROM cand GROUP BY a), i AS (SELECT cand.a, count(*) AS ties, bool_or(cand.b IN (SELECT b FROM best)) AS taken FROM cand JOIN top ON cand.a = top.a AND score = t GROUP BY cand.a)
-      SELECT CASE WHEN ties IS NULL THEN 'no_candidate' WHEN ties > 1 THEN 'one_to_many' WHEN taken THEN 'many_to_one' ELSE 'not_reciprocal' END AS reason, count(*) AS n FROM un LEFT JOIN i USING (a) GROUP BY 1""",
+    "scored_candidates": _PUB + " SELECT a, b, kind, round(ro, 9) AS ro, round(profile, 9) AS profile, round(jaccard, 9) AS jaccard, round(containment, 9) AS containment, orientation, score FROM cand",
+    "reciprocal_best": _PUB + " SELECT * FROM best",
+    "strict_candidates": _STRICT + " SELECT a, b, kind, round(ro, 9) AS ro, round(profile, 9) AS profile, score FROM cand",
+    "strict_best": _STRICT + " SELECT * FROM best",
+    "match_outcomes": _OUTCOMES + " SELECT * FROM o",
+    "unmatched_reasons": _OUTCOMES + " SELECT side, status, reason, confidence, count(*) AS n FROM o GROUP BY ALL",
+    "sequence_similarity": """WITH q AS (SELECT doc_id, source, regexp_extract_all(text, '[ACGTN]{60,}') AS l FROM documents WHERE source IS NOT NULL AND text IS NOT NULL), s AS (SELECT doc_id, source, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS seq FROM q),
+      n AS (SELECT *, lead(seq) OVER (PARTITION BY source ORDER BY doc_id, pos) AS nxt FROM s),
+      b AS (SELECT doc_id, pos, seq, 'next' AS against, nxt AS other FROM n WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, pos, seq, 'stretch', reverse(translate(substring(seq, 11, 40), 'ACGTN', 'TGCAN')) FROM n UNION ALL SELECT doc_id, pos, seq, 'short', substring(seq, 1, 3) FROM n),
+      k AS (SELECT *, CAST(greatest(5, least(15, greatest(5, least(length(seq), length(other)) // 3))) AS INTEGER) AS k, reverse(translate(other, 'ACGTN', 'TGCAN')) AS rc FROM b),
+      w AS (SELECT *, list_distinct(list_transform(range(1, length(seq) - k + 2), lambda i: substring(seq, i, k))) AS x, CASE WHEN length(other) < k THEN [other] ELSE list_distinct(list_transform(range(1, length(other) - k + 2), lambda i: substring(other, i, k))) END AS y, CASE WHEN length(rc) < k THEN [rc] ELSE list_distinct(list_transform(range(1, length(rc) - k + 2), lambda i: substring(rc, i, k))) END AS z FROM k),
+      i AS (SELECT *, len(list_intersect(x, y)) AS i1, len(list_intersect(x, z)) AS i2 FROM w), m AS (SELECT *, (i1 / (len(x) + len(y) - i1), i1 / least(len(x), len(y))) AS f, (i2 / (len(x) + len(z) - i2), i2 / least(len(x), len(z))) AS r FROM i)
+      SELECT doc_id, pos, against, round(CASE WHEN r > f THEN r[1] ELSE f[1] END, 9) AS jaccard, round(CASE WHEN r > f THEN r[2] ELSE f[2] END, 9) AS containment, CASE WHEN r > f THEN 'reverse_complement' ELSE 'same' END AS orientation, k FROM m""",
     "capped_evidence": _CAND + " SELECT a, string_agg(b, ';' ORDER BY rn) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM cand) WHERE rn <= 3 GROUP BY a",
     "fallback_key": """WITH k AS (SELECT doc_id, 0 AS r, source AS c FROM documents UNION ALL SELECT doc_id, 1, split_part(source, '_', 1) || '_log' FROM documents UNION ALL SELECT doc_id, 2, 'mail' FROM documents),
       h AS (SELECT doc_id, min(r) AS key_rank, arg_min(c, r) AS c FROM k JOIN mix_targets ON c = mix_targets.source GROUP BY doc_id) SELECT d.doc_id, c AS t_source, key_rank, target_share FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN mix_targets ON c = mix_targets.source""",
@@ -283,8 +401,8 @@ SQL = {
       o2 AS (SELECT seq_id, strand, sig, min(gene_id) AS old_gene FROM o GROUP BY 1, 2, 3) SELECT n.gene_id AS new_gene, old_gene FROM n LEFT JOIN o2 ON n.seq_id = o2.seq_id AND n.strand = o2.strand AND n.sig = o2.sig""",
     "mate_pairs": f"WITH {CALLS}, i AS (SELECT DISTINCT id FROM calls) SELECT l.id[4:] AS base, l.id AS l, r.id AS r FROM i l JOIN i r ON l.id[4:] = r.id[4:] AND l.id LIKE 'lrc%' AND r.id LIKE 'asm%'",
     "kmer_similarity": """WITH d AS (SELECT doc_id, text AS t, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS u FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
-      k AS (SELECT doc_id, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5))) AS x, list_distinct(list_transform(range(1, length(u) - 3), lambda i: substring(u, i, 5))) AS y FROM d WHERE u IS NOT NULL AND length(t) >= 60 AND length(u) >= 60)
-      SELECT doc_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) AS jaccard, round(len(list_intersect(x, y)) / least(len(x), len(y)), 9) AS containment FROM k""",
+      k AS (SELECT doc_id, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5))) AS x, list_distinct(list_transform(range(1, length(u) - 3), lambda i: substring(u, i, 5))) AS y FROM d WHERE u IS NOT NULL)
+      SELECT doc_id, round(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 9) AS jaccard, round(len(list_intersect(x, y)) / nullif(least(len(x), len(y)), 0), 9) AS containment FROM k""",
     "pair_combinations": "SELECT l.n_nationkey AS a, r.n_nationkey AS b FROM nation l JOIN nation r ON l.n_regionkey = r.n_regionkey AND l.n_nationkey < r.n_nationkey AND length(l.n_name) >= length(r.n_name)",
     "shared_specific": PRES + ", s AS (SELECT nation, count(*) FILTER (n_samples > 1) AS shared, count(*) FILTER (n_samples = 1) AS specific FROM pres JOIN freq USING (item) GROUP BY nation) SELECT *, round(shared * 100.0::DOUBLE / (shared + specific), 9) AS shared_pct, round(specific * 100.0::DOUBLE / (shared + specific), 9) AS specific_pct FROM s",
     "presence_spectrum": PRES + " SELECT r.n AS n_samples, count(item) AS items FROM (SELECT unnest(range(1, 26)) AS n) r LEFT JOIN freq ON n_samples = r.n GROUP BY r.n",

@@ -100,11 +100,32 @@ def test_strand_flanks_swap(spark):
 
 
 def test_reciprocal_best(spark):
-    c = spark.createDataFrame([("a1", "b1", 10.0), ("a1", "b2", 9.0), ("a2", "b1", 8.0), ("a3", "b3", 5.0), ("a4", "b3", 5.0)], "a string, b string, score double")
-    best = M.reciprocal_best(c, "a", "b", "score")
-    assert rows(best) == [("a1", "b1", 10.0), ("a3", "b3", 5.0)]
-    ids = spark.createDataFrame([(x,) for x in ("a1", "a2", "a3", "a4", "a5")], "a string")
-    assert rows(M.unmatched_reason(ids, c, best, "a", "b", "score")) == [("a2", "many_to_one"), ("a4", "many_to_one"), ("a5", "no_candidate")]
+    """A best that two records choose is nobody's match, even if it prefers one of them."""
+    c = spark.createDataFrame([("a1", "b1", 10.0), ("a2", "b1", 8.0), ("a3", "b3", 5.0), ("a4", "b3", 5.0), ("a6", "b6", 7.0), ("a6", "b7", 6.0), ("a8", "b8", 3.0), ("a8", "b9", 2.0)], "a string, b string, score double")
+    assert rows(M.reciprocal_best(c, "a", "b", "score")) == []
+    one_each = c.where("a in ('a1', 'a6', 'a8') and b not in ('b7', 'b9')")
+    assert rows(M.reciprocal_best(one_each, "a", "b", "score")) == [("a1", "b1", 10.0), ("a6", "b6", 7.0), ("a8", "b8", 3.0)]
+
+
+def test_match_outcomes(spark):
+    schema = "a string, b string, score double, ro double, profile double, jaccard double, containment double"
+    c = spark.createDataFrame([("a1", "b1", 9.0, 0.9, None, None, None), ("a2", "b2", 9.0, 0.9, 0.6, None, None), ("a3", "b3", 5.0, 0.8, None, None, None), ("a4", "b3", 4.0, 0.8, None, None, None), ("a5", "b5", 8.0, 0.8, None, None, None), ("a5", "b6", 7.0, 0.8, None, None, None), ("i1", "j1", 9.0, None, None, 0.6, 0.9), ("i2", "j1", 8.0, None, None, 0.6, 0.9)], schema)
+    recs = spark.createDataFrame([(x, "INS" if x[0] == "i" else "TRA" if x == "a9" else "DEL", "no_block" if x in ("a8", "i3") else "ok") for x in "a1 a2 a3 a4 a5 a7 a8 a9 i1 i3 i4".split()] + [("a10", None, "ok")], "a string, kind string, lift string")
+    got = {r["a"]: (r["status"], r["confidence"]) for r in M.match_outcomes(recs, c, "a", "b", "score").collect()}
+    assert got == {
+        "a1": ("shared_strict_liftover", "high"), "a2": ("shared_strict_liftover", "medium"), "a3": ("ambiguous_many_to_one", "low"), "a4": ("ambiguous_many_to_one", "low"), "a5": ("ambiguous_one_to_many", "low"),
+        "a7": ("RefA_only_publication_lifted_no_match", "medium"), "a8": ("ambiguous_synteny", "low"), "a9": ("unresolved_unsupported_svtype", "low"), "a10": ("unresolved_unsupported_svtype", "low"),
+        "i1": ("ins_unresolved", "low"), "i3": ("ins_unresolved", "low"), "i4": ("ins_unresolved", "low"),
+    }
+    back = {r["b"]: r["status"] for r in M.match_outcomes(spark.createDataFrame([("b3", "DEL", "ok"), ("b6", "DEL", "ok"), ("b0", "DEL", "ok")], "b string, kind string, lift string"), c, "b", "a", "score", True).collect()}
+    assert back == {"b3": "ambiguous_many_to_one", "b6": "ambiguous_one_to_many", "b0": "RefB_only_publication_lifted_no_match"}
+
+
+def test_sequence_similarity(spark):
+    df = spark.createDataFrame([("ACGTACGTACGTTTT", "acgtacgtacgtttt"), ("AACCGGTATTGACCA", "TGGTCAATACCGGTT"), ("ACG", "ACG"), ("ACG", "CGT"), ("", "A"), (None, "A")], "a string, b string")
+    got = [r["m"] for r in df.select(M.sequence_similarity(F.col("a"), F.col("b")).alias("m")).collect()]
+    assert got[4] is None and got[5] is None
+    assert [tuple(m) for m in got[:4]] == [(1.0, 1.0, "same", 5), (1.0, 1.0, "reverse_complement", 5), (1.0, 1.0, "same", 5), (1.0, 1.0, "reverse_complement", 5)]
 
 
 def test_three_states(spark):
