@@ -68,15 +68,19 @@ def log2_ratio(a: Column, b: Column) -> Column:
     return F.log2(a + 1.0) - F.log2(b + 1.0)
 
 
-def distance_bin(signed: Column, width: int = 500, most: int = 5000) -> Column:
-    """Lower edge of the bin of a signed distance, bins going down to minus infinity; tails at +-most."""
-    low = F.floor(signed / width) * width
-    return F.when(signed < -most, F.lit(-most - width)).when(signed >= most, F.lit(most)).otherwise(low).cast("bigint")
-
-
-def distance_label(signed: Column, width: int = 500, most: int = 5000) -> Column:
-    low = distance_bin(signed, width, most)
-    return F.when(low < -most, F.lit(f"<-{most}")).when(low >= most, F.lit(f">={most}")).otherwise(F.concat_ws("..", low.cast("string"), (low + width).cast("string")))
+def distance_bin(signed: Column, in_gene: Column | None = None, width: int = 500, most: int = 5000) -> Column:
+    """struct(label, center) of a signed distance: bins of ``width`` going down to minus infinity, tails
+    beyond +-most (a distance of just ``most`` is in the bin that starts there). Rows in a gene are
+    'Gene' with center 0; an unknown distance is in the upper tail."""
+    low = (F.floor(signed / width) * width).cast("bigint")
+    kilo = lambda x: F.concat(F.regexp_replace((x / F.lit(1000.0)).cast("string"), r"\.0$", ""), F.lit("k"))
+    over = F.struct(F.lit(f">{most // 1000}k").alias("label"), F.lit(most + width).cast("bigint").alias("center"))
+    under = F.struct(F.lit(f"<-{most // 1000}k").alias("label"), F.lit(-most - width).cast("bigint").alias("center"))
+    inner = F.struct(F.concat(kilo(low), F.lit("~"), kilo(low + width)).alias("label"), (low + width // 2).alias("center"))
+    out = F.when(signed.isNull() | (signed > most), over).when(signed < -most, under).otherwise(inner)
+    if in_gene is None:
+        return out
+    return F.when(in_gene, F.struct(F.lit("Gene").alias("label"), F.lit(0).cast("bigint").alias("center"))).otherwise(out)
 
 
 def gene_context(in_exon: Column, in_gene: Column, signed: Column, flank: int = 2000) -> Column:
@@ -89,18 +93,71 @@ def length_bin(length: Column, width: int = 1000, tail: int = 10_000) -> Column:
     return F.when(length > tail, F.lit(tail + width)).otherwise(F.ceil(length / width) * width).cast("bigint")
 
 
+# --- fixed values: size classes of variants
+SIZE_CLASSES = ("50-499", "500-4999", ">=5000")
+
+
 def size_class(length: Column) -> Column:
-    return F.when(length < 50, "small").when(length < 500, "50-500").when(length < 5000, "500-5000").otherwise(">=5000")
+    """Class of an absolute length; null below 50."""
+    n = F.abs(length)
+    return F.when(n >= 5000, SIZE_CLASSES[2]).when(n >= 500, SIZE_CLASSES[1]).when(n >= 50, SIZE_CLASSES[0])
+
+
+def te_broad(feature: Column, classification: Column) -> Column:
+    """Six broad classes of a repeat, for sweeps by priority."""
+    c, f = F.trim(F.coalesce(classification, F.lit(""))), F.trim(F.coalesce(feature, F.lit("")))
+    low = F.lower(F.concat(c, F.lit(" "), f))
+    return (
+        F.when((c == "LTR/Copia") | low.contains("copia_ltr_retrotransposon"), "LTR/Copia")
+        .when((c == "LTR/Gypsy") | low.contains("gypsy_ltr_retrotransposon"), "LTR/Gypsy")
+        .when((c == "LTR/unknown") | (c.startswith("LTR/") & F.lower(c).endswith("/unknown")) | (f == "LTR_retrotransposon"), "LTR/unknown")
+        .when(low.contains("helitron"), "Helitron")
+        .when(c.startswith("DNA/") | c.startswith("MITE/") | low.contains("tir_transposon") | low.contains("terminal_inverted_repeat"), "DNA transposons")
+        .otherwise("Other / unclassified")
+    )
 
 
-def te_class(feature: Column, classification: Column) -> Column:
-    """Broad class of a repeat from its feature type and classification, by the first rule that holds."""
-    t = F.lower(F.concat_ws("/", feature, classification))
-    rules = [("LTR/Copia", "copia"), ("LTR/Gypsy", "gypsy"), ("LTR/unknown", "ltr"), ("LINE", "line"), ("SINE", "sine"), ("Helitron", "helitron"), ("TIR", "tir|mite|dta|dtc|dth|dtm|dtt|mutator|hat|cacta|mariner|harbinger"), ("Satellite", "sat|tandem|centromer"), ("rDNA", "rdna|rrna")]
-    out = F.lit("Unknown")
-    for name, pat in reversed(rules):
-        out = F.when(t.rlike(pat), F.lit(name)).otherwise(out)
-    return out
+def te_of_text(text: Column) -> Column:
+    """LTR, DNA or Other_TE from any text of an annotation row."""
+    t = F.lower(text)
+    return F.when(t.contains("ltr"), "LTR").when(t.contains("helitron") | t.contains("tir") | t.contains("mite") | t.contains("/dt") | t.contains("dna"), "DNA").otherwise("Other_TE")
+
+
+def te_composition(feature: Column, classification: Column) -> Column:
+    """Classes of the composition of a region; null for what doesn't count."""
+    c = F.coalesce(F.nullif(classification, F.lit("")), F.lit("unknown"))
+    return (
+        F.when(c.startswith("LTR/Gypsy"), "LTR/Gypsy")
+        .when(c.startswith("LTR/Copia"), "LTR/Copia")
+        .when(c.startswith("LTR/"), "LTR unknown")
+        .when(c.startswith("SINE"), "SINEs")
+        .when(c.startswith("DNA/") | c.startswith("MITE/") | (F.coalesce(feature, F.lit("")) == "helitron"), "DNA transposons")
+        .when((c == "unknown") | F.coalesce(feature, F.lit("")).isin("repeat_fragment", "repeat_region"), "Unclassified TE")
+    )
+
+
+def te_subtype(classification: Column, order: Column, clade: Column, superfamily: Column, unknown: tuple[str, ...] = ("", "?", "na", "nan", "none", "unknown", "unclassified")) -> Column:
+    """struct(subtype, major) from an annotation's class and, where a row of the domain-based classifier
+    exists (``order`` not null), its clade and superfamily."""
+    c = F.coalesce(F.nullif(classification, F.lit("")), F.lit("Unknown"))
+    row, ltr = order.isNotNull(), F.lit("LTR-RT")
+    major = F.split_part(c, F.lit("/"), F.lit(1))
+    sub = (
+        F.when(row & (F.lower(order) == "ltr"), F.when(~F.lower(F.trim(clade)).isin(list(unknown)), F.trim(clade)).when(F.lower(F.trim(superfamily)).isin("copia", "gypsy"), "Unclassified LTR-RTs").otherwise("Unknown"))
+        .when(c.startswith("LTR/"), F.when(row, "Unclassified LTR-RTs").when(F.lower(c) == "ltr/unknown", "Unknown").otherwise("Unclassified LTR-RTs"))
+        .when(c.contains("/"), F.regexp_replace(c, "^[^/]*/", ""))
+        .otherwise(c)
+    )
+    return F.struct(sub.alias("subtype"), F.when((row & (F.lower(order) == "ltr")) | c.startswith("LTR/"), ltr).otherwise(major).alias("major"))
+
+
+def te_major(classification: Column, feature: Column) -> Column:
+    """Major class: what stands in front of the slash, else by name."""
+    c = F.coalesce(F.nullif(classification, F.lit("")), F.nullif(feature, F.lit("")), F.lit("unknown"))
+    out = c
+    for name in ("Helitron", "LINE", "TIR", "LTR"):
+        out = F.when(c.contains(name), F.lit(name)).otherwise(out)
+    return F.when(c.contains("/"), F.split_part(c, F.lit("/"), F.lit(1))).otherwise(out)
 
 
 def family_name(name: Column) -> Column:
@@ -197,8 +254,15 @@ def evidence_rule(aa: Column, sources: Column, expressed: Column, protein: Colum
     )
 
 
-def confidence_label(confidence: Column, support: Column) -> Column:
-    return F.when((confidence == "high") & (support >= 2), "high").when((confidence == "high") | (support >= 2), "medium").otherwise("low")
+def read_confidence(confidence: Column, support: Column) -> Column:
+    """Final label of an event found in reads, from its confidence and its number of assembly calls."""
+    own = F.coalesce(F.nullif(confidence, F.lit("")), F.lit("."))
+    return F.when((support > 0) & (own == "high"), "high_read_svgap_supported").when(support > 0, "medium_read_svgap_supported").otherwise(own)
+
+
+def assembly_confidence(svtype: Column, support: Column) -> Column:
+    """Final label of an event that only assemblies show, from its type and number of samples."""
+    return F.when(svtype.isin("DEL", "INS") & (support >= 2), "medium_svgap_combined").when(svtype.isin("CNV", "INV", "TRL"), "medium_svgap_only").otherwise("low_svgap_only")
 
 
 def trim_core(start: Column, end: Column, cut: int) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.intervals import Span, lift_over, overlap_join, overlap_semi
-from loomspan.operators.islands import merge_islands
+from loomspan.operators.islands import merge_islands, union_length
 from loomspan.operators.signal import weighted_mean
 
 
@@ -33,11 +33,19 @@ def upstream_supported(cds: DataFrame, introns: DataFrame, starts: DataFrame, ch
     return at.join(marks, (F.col(chrom) == F.col("__c")) & (F.col(strand) == F.col("__s")) & (F.col("__five") == F.col("__p")), "left_semi").drop("__five")
 
 
-def demote(df: DataFrame, source: str, supported: Column, weak: list[str]) -> DataFrame:
-    """Adds ``decision``: 'keep', 'demote' for rows of a weak source that another supports, 'drop' for
-    those without support. Rows are kept, so rejects can be reported."""
-    is_weak = F.col(source).isin(weak)
-    return df.withColumn("decision", F.when(~is_weak, "keep").when(supported, "demote").otherwise("drop"))
+def demote(df: DataFrame, source: str, supported: Column, alone: list[str], combined: dict[str, str]) -> DataFrame:
+    """Adds ``decision`` and ``new_source`` by what is left of a row's support.
+
+    Rows of a source in ``alone`` are dropped; rows of a combined source are kept as they are if they
+    are still ``supported``, else demoted to the source that ``combined`` names; others are kept. Rows
+    to drop stay in the result, so that rejects can be reported.
+    """
+    ok = F.coalesce(supported, F.lit(False))
+    base = F.lit(None).cast("string")
+    for name, rest in combined.items():
+        base = F.when(F.col(source) == name, rest).otherwise(base)
+    decision = F.when(F.col(source).isin(alone), "drop").when(base.isNotNull() & ~ok, "demote").otherwise("keep")
+    return df.withColumns({"decision": decision, "new_source": F.when(base.isNotNull() & ~ok, base).otherwise(F.col(source))})
 
 
 def solo_elements(elements: DataFrame, complete: DataFrame, internal: DataFrame, key: str, start: str, end: str, row_id: str, least: int = 100, flank: int = 20_000) -> DataFrame:
@@ -149,9 +157,10 @@ def pair_share(df: DataFrame, a: str, b: str, matched: Column) -> DataFrame:
     return df.groupBy(a, b).agg(F.count_if(matched).alias("matched"), F.count(F.lit(1)).alias("total")).withColumn("pct", F.col("matched") * 100.0 / F.col("total"))
 
 
-def scope_fraction(df: DataFrame, start: str, end: str, genome_bp: int) -> DataFrame:
-    """One row: merged interval bp and its share of the genome."""
-    return df.agg(F.sum(F.col(end) - F.col(start)).alias("bp")).withColumn("fraction", F.col("bp") / F.lit(genome_bp))
+def scope_fraction(df: DataFrame, keys: list[str], start: str, end: str, genome_bp: int) -> DataFrame:
+    """One row: bp of the union of the intervals of each key, summed, and their share of the genome."""
+    merged = union_length(df, keys, start, end)
+    return merged.agg(F.coalesce(F.sum("bp"), F.lit(0)).alias("bp")).withColumn("fraction", F.col("bp") / F.lit(genome_bp))
 
 
 def expression_divergence(expr: DataFrame, gene: str, group: str, a: str, b: str, value: str, least: float = 1.0) -> DataFrame:

@@ -139,13 +139,14 @@ def lift_over(points: DataFrame, blocks: DataFrame, row_id: str, keys: list[tupl
     return out.select(row_id, F.when(one, "lifted").when(F.col("n_blocks") > 1, "ambiguous").otherwise("no_block").alias("status"), *(F.when(one, F.col(c)).alias(c) for c in ("t_name", "lifted_start", "lifted_end")))
 
 
-def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str, row_id: str, fspan: Span, fid: str, fstrand: str | None = None, shard: int = LEVELS[1]) -> DataFrame:
+def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str, row_id: str, fspan: Span, fid: str, fstrand: str | None = None, shard: int = LEVELS[1], point_end: str | None = None) -> DataFrame:
     """The nearest feature of every point, as a two-sided as-of join; no range join.
 
     Features that contain the point have distance 0. Otherwise the nearest end at or before and the
     nearest start after it compete; ties go to the left, then to the least feature id. ``signed`` is
     negative upstream: to the left of a '+' feature, to the right of a '-' one. Points of a key without
-    features get nulls.
+    features get nulls. With ``point_end`` the points are half-open intervals [point, point_end): features
+    that overlap them have distance 0, the left distance counts from the start and the right from the end.
 
     Points and feature ends lie on one axis that is cut into shards. Windows run within a (key, shard);
     what the shards before and after hold is carried in as one row per shard, so a hot key is spread.
@@ -155,9 +156,9 @@ def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str,
     f = features.where(s.isNotNull() & e.isNotNull()).select(*keys, F.struct(s.alias("s"), e.alias("e"), F.col(fid).alias("fid"), strand.alias("st")).alias("f"))
     kind = f.schema["f"].dataType
     nothing, nobody = F.lit(None).cast(kind), F.lit(None).cast(dict(points.dtypes)[row_id])
-    opens = f.select(*keys, F.col("f.s").alias("at"), F.lit(1).alias("ord"), nobody.alias(row_id), F.col("f").alias("opened"), nothing.alias("ended"))
-    ends = f.select(*keys, (F.col("f.e") - 1).alias("at"), F.lit(0).alias("ord"), nobody.alias(row_id), nothing.alias("opened"), F.col("f").alias("ended"))
-    p = points.where(F.col(point).isNotNull()).select(*keys, F.col(point).cast("bigint").alias("at"), F.lit(2).alias("ord"), F.col(row_id), nothing.alias("opened"), nothing.alias("ended"))
+    opens = f.select(*keys, F.col("f.s").alias("at"), F.lit(1).alias("ord"), nobody.alias(row_id), F.lit(None).cast("bigint").alias("__last"), F.col("f").alias("opened"), nothing.alias("ended"))
+    ends = f.select(*keys, (F.col("f.e") - 1).alias("at"), F.lit(0).alias("ord"), nobody.alias(row_id), F.lit(None).cast("bigint").alias("__last"), nothing.alias("opened"), F.col("f").alias("ended"))
+    p = points.where(F.col(point).isNotNull()).select(*keys, F.col(point).cast("bigint").alias("at"), F.lit(2).alias("ord"), F.col(row_id), ((F.greatest(F.coalesce(F.col(point_end), F.col(point) + 1), F.col(point) + 1) if point_end else F.col(point) + 1) - 1).cast("bigint").alias("__last"), nothing.alias("opened"), nothing.alias("ended"))
     reach_of = F.struct(F.col("opened.e"), F.col("opened.s"), F.col("opened.fid"), F.col("opened.st"))
     axis = opens.unionByName(ends).unionByName(p).withColumn("__shard", F.floor(F.col("at") / shard))
 
@@ -181,16 +182,18 @@ def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str,
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     axis = axis.join(carried, on, "left")
     axis = axis.withColumns({"reach": F.greatest("reach", "__r"), "left": F.coalesce("left", "__l"), "right": F.coalesce("right", "__n")})
-    dl, dr = F.col("at") - F.col("left.e") + 1, F.col("right.s") - F.col("at")
+    dl, dr = F.col("at") - F.col("left.e") + 1, F.col("right.s") - F.col("__last")
     # the feature that reaches furthest right among those opened so far tells whether the point is inside one
-    inside = F.coalesce(F.col("reach.e") > F.col("at"), F.lit(False))
+    over = F.coalesce(F.col("reach.e") > F.col("at"), F.lit(False))
+    begins = F.coalesce(F.col("right.s") <= F.col("__last"), F.lit(False)) & F.lit(point_end is not None)
+    inside = over | begins
     take_left = dl.isNotNull() & (dr.isNull() | (dl <= dr))
     out = axis.withColumns(
         {
-            "fid": F.when(inside, F.col("reach.fid")).when(take_left, F.col("left.fid")).otherwise(F.col("right.fid")),
+            "fid": F.when(over, F.col("reach.fid")).when(inside, F.col("right.fid")).when(take_left, F.col("left.fid")).otherwise(F.col("right.fid")),
             "distance": F.when(inside, F.lit(0)).when(take_left, dl).otherwise(dr).cast("bigint"),
             "side": F.when(inside, "inside").when(take_left, "left").when(dr.isNotNull(), "right"),
-            "fst": F.when(inside, F.col("reach.st")).when(take_left, F.col("left.st")).otherwise(F.col("right.st")),
+            "fst": F.when(over, F.col("reach.st")).when(inside, F.col("right.st")).when(take_left, F.col("left.st")).otherwise(F.col("right.st")),
         }
     )
     # a feature on the left lies before the point, so the point is downstream of it on '+'

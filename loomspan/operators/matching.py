@@ -206,28 +206,34 @@ def pair_mates(df: DataFrame, name: str, left_suffix: str, right_suffix: str) ->
     return half(left_suffix, "l").join(half(right_suffix, "r"), "base")
 
 
-def greedy_exclusive(blocks: DataFrame, block: str, size: str, members: str, share: float = 0.5, component: str | None = None) -> DataFrame:
+def greedy_exclusive(blocks: DataFrame, block: str, size: str, members: str, share: float = 0.5, component: str | None = None, other: str | None = None, tie: str | None = None) -> DataFrame:
     """Keep blocks from the largest down while at least ``share`` of their members is unclaimed; a kept
     block claims all its members. Result: block ids.
 
+    With ``other``, a second list of members on an axis of its own, that must hold on both sides. Equal
+    sizes go by ``tie``, the least first, then by id. Blocks without members are not kept.
+
     The choice depends on its own history, so it runs once per ``component`` (a set of blocks that
     share members with no other; see the grouping of matches), or over all rows if none is given. Of
     blocks with the same members only the first can be kept: kept, it claims all of theirs, and
     dropped, it leaves them no more than it found. So a task gets one block per distinct set.
     """
-    rows = blocks.select(F.col(block).alias("b"), F.col(size).alias("n"), F.col(members).alias("m"), F.col(component).alias("c") if component else F.lit(0).alias("c"))
+    second = F.col(other) if other else F.array().cast(dict(blocks.dtypes)[members])
+    rows = blocks.select(F.col(block).alias("b"), F.col(size).alias("n"), (F.col(tie).cast("double") if tie else F.lit(0.0)).alias("t"), F.col(members).alias("m"), second.alias("o"), F.col(component).alias("c") if component else F.lit(0).alias("c"))
 
-    first = F.min(F.struct(F.col("n").isNull(), -F.col("n"), "b"))
-    rows = rows.groupBy("c", F.array_sort("m").alias("m")).agg(first.alias("f")).select(F.col("f.b").alias("b"), (-F.col("f.col2")).alias("n"), "m", "c")
+    first = F.min(F.struct(F.col("n").isNull().alias("x"), (-F.col("n")).alias("y"), F.coalesce("t", F.lit(float("inf"))).alias("t"), F.col("b")))
+    rows = rows.groupBy("c", F.array_sort("m").alias("m"), F.array_sort("o").alias("o")).agg(first.alias("f")).select(F.col("f.b").alias("b"), (-F.col("f.y")).alias("n"), F.col("f.t").alias("t"), "m", "o", "c")
+    two = other is not None
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        claimed: set = set()
+        claimed: tuple[set, set] = set(), set()
         kept = []
-        for row in pdf.sort_values(["n", "b"], ascending=[False, True]).itertuples():
-            free = sum(x not in claimed for x in row.m)
-            if len(row.m) and free >= share * len(row.m):
+        for row in pdf.sort_values(["n", "t", "b"], ascending=[False, True, True]).itertuples():
+            sides = (row.m, row.o) if two else (row.m,)
+            if all(len(x) and sum(v not in done for v in x) >= share * len(x) for x, done in zip(sides, claimed)):
                 kept.append(row.b)
-                claimed.update(row.m)
+                for x, done in zip(sides, claimed):
+                    done.update(x)
         return pd.DataFrame({block: kept})
 
     return rows.groupBy("c").applyInPandas(pick, f"{block} {dict(rows.dtypes)['b']}")

@@ -100,14 +100,20 @@ def category_summary(freq: DataFrame, n: int, soft: int) -> DataFrame:
 
 
 def orthology_class(counts: Column, target: Column) -> Column:
-    """Class of a family from its copy numbers in all species and in the target species."""
+    """Class of a family from its copy numbers in all species and in the target species: single (one
+    copy everywhere), unique (in the target only), multi (several copies everywhere), other or absent."""
     n_with = F.size(F.filter(counts, lambda c: c > 0))
-    return F.when(F.forall(counts, lambda c: c == 1), "single").when((target > 0) & (n_with == 1), "unique").when(F.forall(counts, lambda c: c >= 1), "multi").when(target > 0, "other").otherwise("absent")
+    return F.when(F.forall(counts, lambda c: c == 1), "single").when((target > 0) & (n_with == 1), "unique").when(F.forall(counts, lambda c: c > 1), "multi").when(target > 0, "other").otherwise("absent")
 
 
 def masks(present: DataFrame, item: str, ordinal: str) -> DataFrame:
-    """(item, mask): bit i set if the item is present in the sample with ordinal i (0 to 62)."""
-    return present.groupBy(item).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({ordinal} as int))")).alias("mask"))
+    """(item, mask): bit i set if the item is present in the sample with ordinal i.
+
+    Ordinals are 0 to 62; any other fails at run time, as its bit would wrap around.
+    """
+    o = F.col(ordinal).cast("int")
+    fits = F.assert_true(o.between(0, 62), F.concat(F.lit("no bit for sample ordinal "), F.coalesce(o.cast("string"), F.lit("null"))))
+    return present.groupBy(item).agg(F.bit_or(F.when(fits.isNull(), F.expr(f"shiftleft(1L, cast({ordinal} as int))"))).alias("mask"))
 
 
 def mask_jaccard(a: Column, b: Column, least: int = 1) -> Column:

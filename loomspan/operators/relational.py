@@ -53,8 +53,15 @@ def top_or_other(df: DataFrame, col: str, n: int, other: str = "other") -> DataF
     return df.join(top, F.col(col) == F.col("__t"), "left").withColumn("display", F.when(F.col("__t").isNotNull(), F.col(col)).otherwise(other)).drop("__t")
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with zeros in front up to ``width``; longer ones stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def surrogate_ids(df: DataFrame, order: list, prefix: str, width: int = 8) -> DataFrame:
-    """Adds ``sid``: prefix and zero-padded running number in a total order.
+    """Adds ``sid``: prefix and zero-padded running number in a total order; a number of more
+    than ``width`` digits is not cut.
 
     Two steps, so that no task sees all rows: rows are range-partitioned by the order and numbered
     within their partition; the counts of the partitions before give the offset.
@@ -67,7 +74,7 @@ def surrogate_ids(df: DataFrame, order: list, prefix: str, width: int = 8) -> Da
     w = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("__o", F.coalesce(F.sum("__c").over(w), F.lit(0))).drop("__c")
     out = kept.join(F.broadcast(offs), "__p")
-    return out.withColumn("sid", F.concat(F.lit(prefix), F.lpad((F.col("__o") + F.col("__i") + 1).cast("string"), width, "0"))).drop("__p", "__i", "__o")
+    return out.withColumn("sid", F.concat(F.lit(prefix), padded(F.col("__o") + F.col("__i") + 1, width))).drop("__p", "__i", "__o")
 
 
 def natural_key(name: Column) -> list[Column]:

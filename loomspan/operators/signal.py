@@ -94,17 +94,33 @@ def overlap_fractions(regions: DataFrame, features: DataFrame, key: tuple[str, s
 
 
 def consensus_interval(raw: tuple[Column, Column], relaxed: tuple[Column, Column], strict: tuple[Column, Column], share: float = 0.5, strict_share: float = 0.25) -> Column:
-    """Struct (start, end, rule) from three calls of one domain: the union if raw and relaxed overlap
-    by ``share`` of the shorter, else the strict call if it overlaps raw by ``strict_share``, else raw."""
+    """struct(start, end, used, status, overlap, note) from three calls of one domain, any of them null.
 
-    def frac(x, y):
-        ov = F.greatest(F.least(x[1], y[1]) - F.greatest(x[0], y[0]), F.lit(0))
-        return F.coalesce(F.try_divide(ov, F.least(x[1] - x[0], y[1] - y[0])), F.lit(0.0))
+    The core is the union of raw and relaxed, of the one that exists, or the strict call. The strict
+    call joins it if their overlap is ``strict_share`` of either. Null if there is no call.
+    """
 
-    union = F.struct(F.least(raw[0], relaxed[0]).alias("start"), F.greatest(raw[1], relaxed[1]).alias("end"), F.lit("union").alias("rule"))
-    st = F.struct(strict[0].alias("start"), strict[1].alias("end"), F.lit("strict").alias("rule"))
-    rw = F.struct(raw[0].alias("start"), raw[1].alias("end"), F.lit("raw").alias("rule"))
-    return F.when(frac(raw, relaxed) >= share, union).when(frac(raw, strict) >= strict_share, st).otherwise(rw)
+    def known(x: tuple[Column, Column]) -> Column:
+        return x[0].isNotNull() & x[1].isNotNull()
+
+    def overlap(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
+        return F.greatest(F.least(x[1], y[1]) - F.greatest(x[0], y[0]), F.lit(0))
+
+    def at_least(bp: Column, part: float, whole: Column) -> Column:
+        return bp / F.greatest(whole, F.lit(1)) >= part
+
+    a, b, q = known(raw), known(relaxed), known(strict)
+    near = at_least(overlap(raw, relaxed), share, F.least(raw[1] - raw[0], relaxed[1] - relaxed[0]))
+    core = tuple(F.when(a & b, f(raw[i], relaxed[i])).when(a, raw[i]).when(b, relaxed[i]).when(q, strict[i]) for i, f in ((0, F.least), (1, F.greatest)))
+    shared = F.when(q, overlap(core, strict)).otherwise(F.lit(0)).cast("bigint")
+    joins = q & (at_least(shared, strict_share, strict[1] - strict[0]) | at_least(shared, strict_share, core[1] - core[0]))
+    end = tuple(F.when(joins, f(core[i], strict[i])).otherwise(core[i]) for i, f in ((0, F.least), (1, F.greatest)))
+    used = F.concat_ws(",", F.when(a, "raw"), F.when(b, "relaxed"), F.when(joins, "q20"))
+    status = F.when(~q, "missing").when(joins, "concordant_or_partly_overlapping").otherwise("discordant_excluded")
+    first = F.when(a & b & near, "raw_relaxed_concordant").when(a & b, "raw_relaxed_broad_or_split").when(a, "raw_only").when(b, "relaxed_only").otherwise("q20_only")
+    note = F.concat_ws(";", first, F.when(joins, "q20_included").when(q, "q20_discordant_excluded"))
+    out = F.struct(end[0].alias("start"), end[1].alias("end"), used.alias("used"), status.alias("status"), shared.alias("overlap"), note.alias("note"))
+    return F.when(a | b | q, out)
 
 
 def flank_depth_gate(depth: DataFrame, record: str, value: str, least_min: float, least_mean: float) -> DataFrame:

@@ -121,18 +121,42 @@ def peak(df: DataFrame, keys: list[str], x: str, y: str, lo: float, hi: float, t
 
 
 def genome_size(histo: DataFrame, keys: list[str], depth: str, count: str, least_depth: int = 5, radius: int = 2) -> DataFrame:
-    """Size = sum(depth * count) / peak depth. The peak is the highest local maximum of the smoothed
-    spectrum from ``least_depth`` on; if another lies near twice its depth and has at least half its
-    height, that one (the homozygous peak) counts."""
+    """Genome sizes from a k-mer spectrum: all, from depth 2 and from depth 3 on, over the peak depth.
+
+    Result: keys, ``peak``, ``size_all``, ``size_ge2``, ``size_ge3`` (null without a peak), ``rule``. The
+    peak is the highest local maximum of the spectrum, smoothed over the depths that occur, from
+    ``least_depth`` on (ties to the lower depth); of the next eleven maxima, the highest that lies at
+    1.75 to 2.25 times its depth with 8 % of its height or more, the homozygous peak, counts instead.
+    """
+    d, c = F.col(depth), F.col(count)
+    totals = histo.groupBy(*keys).agg(*(F.sum(F.when(d >= i, d * c).otherwise(0)).alias(f"__t{i}") for i in (0, 2, 3)))
     w = Window.partitionBy(*keys).orderBy(depth)
-    rows = histo.where(F.col(depth) >= least_depth).withColumn("__y", F.avg(count).over(w.rowsBetween(-radius, radius)))
-    rows = rows.withColumns({"__p": F.lag("__y").over(w), "__n": F.lead("__y").over(w)})
-    maxima = rows.where((F.col("__y") >= F.coalesce("__p", F.lit(0.0))) & (F.col("__y") >= F.coalesce("__n", F.lit(0.0))))
-    top = maxima.groupBy(*keys).agg(F.max_by(F.struct(F.col(depth).alias("d"), F.col("__y").alias("y")), F.struct("__y", -F.col(depth))).alias("t"))
-    double = maxima.join(top, keys).where((F.abs(F.col(depth) - 2 * F.col("t.d")) <= F.greatest(F.lit(1.0), 0.1 * F.col("t.d"))) & (F.col("__y") >= 0.5 * F.col("t.y"))).groupBy(*keys).agg(F.max_by(depth, "__y").alias("d2"))
-    total = histo.where(F.col(depth) >= least_depth).groupBy(*keys).agg(F.sum(F.col(depth) * F.col(count)).alias("bases"))
-    out = total.join(top, keys).join(double, keys, "left").withColumn("peak", F.coalesce("d2", F.col("t.d")))
-    return out.select(*keys, "peak", "bases", (F.col("bases") / F.col("peak")).alias("genome_size"))
+    rows = histo.where((d >= least_depth) & (c > 0)).withColumn("__y", F.avg(count).over(w.rowsBetween(-radius, radius)))
+    rows = rows.withColumns({"__p": F.coalesce(F.lag("__y").over(w), F.lit(-1.0)), "__n": F.coalesce(F.lead("__y").over(w), F.lit(-1.0))})
+    maxima = rows.where((F.col("__y") >= F.col("__p")) & (F.col("__y") >= F.col("__n"))).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__y"), depth)))
+    whole = Window.partitionBy(*keys)
+    top = maxima.where("__rank <= 12").withColumns({"__d1": F.max(F.when(F.col("__rank") == 1, d)).over(whole), "__y1": F.max(F.when(F.col("__rank") == 1, F.col("__y"))).over(whole)})
+    double = (F.col("__rank") > 1) & d.between(1.75 * F.col("__d1"), 2.25 * F.col("__d1")) & (F.col("__y") >= 0.08 * F.col("__y1"))
+    best = top.groupBy(*keys).agg(F.min(F.when(double, F.struct("__rank", d.alias("d")))).getField("d").alias("__d2"), F.max("__d1").alias("__d1"))
+    out = (totals.join(best, keys, "left") if keys else totals.join(best)).withColumn("peak", F.coalesce("__d2", "__d1"))
+    rule = F.when(F.col("__d2").isNotNull(), "higher_depth_peak_near_2x_top").when(F.col("__d1").isNotNull(), "highest_smoothed_peak").otherwise("no_peak_after_min_depth")
+    return out.select(*keys, "peak", *(F.rint(F.col(f"__t{i}") / F.col("peak")).alias(n) for i, n in ((0, "size_all"), (2, "size_ge2"), (3, "size_ge3"))), rule.alias("rule"))
+
+
+def size_frequencies(df: DataFrame, length: str, n_samples: str, samples: int) -> DataFrame:
+    """Events by size class and number of samples: size_class, n_samples, events, class_events, share.
+
+    Every class comes out with every number from 1 to ``samples``. Events of under 50 bp, or in no
+    sample, don't count; the share of an empty class is null.
+    """
+    from loomspan.functions.scalars import SIZE_CLASSES, size_class
+
+    known = df.select(size_class(F.col(length)).alias("size_class"), F.col(n_samples).cast("bigint").alias("n_samples")).where("size_class is not null and n_samples > 0")
+    counts = known.groupBy("size_class", "n_samples").agg(F.count(F.lit(1)).alias("events"))
+    grid = df.sparkSession.range(1, samples + 1).select(F.explode(F.array(*(F.lit(s) for s in SIZE_CLASSES))).alias("size_class"), F.col("id").alias("n_samples"))
+    out = grid.join(counts, ["size_class", "n_samples"], "left").na.fill(0, ["events"])
+    whole = F.sum("events").over(Window.partitionBy("size_class"))
+    return out.withColumn("class_events", whole).withColumn("share", F.try_divide(F.col("events").cast("double"), F.col("class_events")))
 
 
 def pairwise_identity(aligned: DataFrame, name: str, seq: str, both: bool = True, most: int = 2000) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import scalars as S
 from loomspan.operators import composites as C
 from loomspan.operators import islands as L
-from loomspan.operators.intervals import Span
+from loomspan.operators import signal as G
+from loomspan.operators.intervals import Span, nearest
 from loomspan.plans.signal_plans import CALLS, EX, GAPS, _calls, _exons, _gaps, _isl
 from loomspan.runtime import table
 
@@ -32,9 +34,33 @@ def upstream_supported(spark, d):
 
 
 def source_demotion(spark, d):
+    """Calls of assemblies alone are dropped, those of both sources demoted without support."""
     c = _calls(spark, d).withColumn("src", F.substring("id", 1, 3))
-    out = C.demote(c, "src", F.coalesce(F.col("qual"), F.lit(0.0)) >= 20, ["asm"])
-    return out.groupBy("src", "decision").agg(F.count(F.lit(1)).alias("n"))
+    out = C.demote(c, "src", F.col("qual") >= 20, ["asm"], {"lrc": "pbx"})
+    n = F.col("c_end") % 4
+    label = F.when(F.col("src") == "asm", S.assembly_confidence(F.col("type"), n)).otherwise(S.read_confidence(F.when(F.col("qual") >= 30, "high").when(F.col("qual") >= 10, "medium"), n))
+    return out.withColumn("label", label).groupBy("src", "decision", "new_source", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def consensus_domains(spark, d):
+    """Per chromosome and sample three calls of one domain (its longest DEL, DUP and INV), made one."""
+    c = _calls(spark, d).where("type in ('DEL', 'DUP', 'INV') and sample is not null")
+    top = c.groupBy("chrom", "sample").agg(*(F.max(F.when(F.col("type") == t, F.struct(F.col("c_end") - F.col("c_start"), F.col("c_start").alias("s"), F.col("c_end").alias("e")))).alias(t) for t in ("DEL", "DUP", "INV")))
+    pair = lambda t: (F.col(f"{t}.s"), F.col(f"{t}.e"))
+    return top.select("chrom", "sample", G.consensus_interval(pair("DEL"), pair("DUP"), pair("INV")).alias("x")).select("chrom", "sample", "x.*")
+
+
+def merged_scope(spark, d):
+    """Exons and gaps: bp of their union and its share of a genome of 1 Gb."""
+    ex = _exons(spark, d)
+    return C.scope_fraction(ex, ["seq_id"], "e_start", "e_end", 1_000_000_000).withColumn("fraction", F.round("fraction", 9))
+
+
+def nearest_interval(spark, d):
+    """The nearest gap of every call as an interval: from its start to the left, from its end to the right."""
+    c = _calls(spark, d).select("id", "chrom", "c_start", "c_end").dropDuplicates(["id"])
+    g = _gaps(spark, d).select(F.col("g_chrom").alias("chrom"), "g_start", "g_end", F.concat_ws(":", F.col("g_start").cast("string"), F.col("g_end").cast("string")).alias("gap"))
+    return nearest(c, g, ["chrom"], "c_start", "id", Span("g_start", "g_end"), "gap", point_end="c_end").select("id", "distance", "side", "signed")
 
 
 def solo_elements(spark, d):
@@ -113,7 +139,20 @@ SQL = {
     "type_rules": "SELECT type, count(*) FILTER (CASE type WHEN 'DEL' THEN coalesce(qual >= 10, false) WHEN 'INS' THEN coalesce(qual >= 15, false) WHEN 'TRA' THEN coalesce(qual >= 25, false) ELSE false END OR coalesce(gt = '1/1', false)) AS kept, count(*) AS n FROM sv_calls WHERE type IS NOT NULL GROUP BY 1",
     "upstream_supported": f"""WITH {_feat('CDS', 'c')}, {_feat('exon', 'i')}, {_feat('start_codon', 's')}, m AS (SELECT seq_id, strand, CASE WHEN strand = '+' THEN hi + 1 ELSE lo - 1 END AS p FROM i UNION SELECT seq_id, strand, CASE WHEN strand = '+' THEN lo ELSE hi END FROM s)
       SELECT seq_id, count(*) AS n FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.seq_id = c.seq_id AND m.strand = c.strand AND m.p = CASE WHEN c.strand = '+' THEN lo ELSE hi END) GROUP BY 1""",
-    "source_demotion": f"WITH {CALLS} SELECT id[1:3] AS src, CASE WHEN id[1:3] <> 'asm' THEN 'keep' WHEN coalesce(qual, 0) >= 20 THEN 'demote' ELSE 'drop' END AS decision, count(*) AS n FROM calls GROUP BY ALL",
+    "source_demotion": f"""WITH {CALLS}, x AS (SELECT id[1:3] AS src, type, c_end % 4 AS n, coalesce(qual >= 20, false) AS ok, CASE WHEN qual >= 30 THEN 'high' WHEN qual >= 10 THEN 'medium' ELSE '.' END AS conf FROM calls)
+      SELECT src, CASE WHEN src = 'asm' THEN 'drop' WHEN src = 'lrc' AND NOT ok THEN 'demote' ELSE 'keep' END AS decision, CASE WHEN src = 'lrc' AND NOT ok THEN 'pbx' ELSE src END AS new_source,
+      CASE WHEN src = 'asm' THEN CASE WHEN type IN ('DEL', 'INS') AND n >= 2 THEN 'medium_svgap_combined' WHEN type IN ('CNV', 'INV', 'TRL') THEN 'medium_svgap_only' ELSE 'low_svgap_only' END WHEN n > 0 AND conf = 'high' THEN 'high_read_svgap_supported' WHEN n > 0 THEN 'medium_read_svgap_supported' ELSE conf END AS label, count(*) AS n FROM x GROUP BY ALL""",
+    "consensus_domains": f"""WITH {CALLS}, t AS (SELECT chrom, sample, arg_max((c_start, c_end), (c_end - c_start, c_start, c_end)) FILTER (type = 'DEL') AS a, arg_max((c_start, c_end), (c_end - c_start, c_start, c_end)) FILTER (type = 'DUP') AS b, arg_max((c_start, c_end), (c_end - c_start, c_start, c_end)) FILTER (type = 'INV') AS q FROM calls WHERE type IN ('DEL', 'DUP', 'INV') AND sample IS NOT NULL GROUP BY ALL),
+      u AS (SELECT chrom, sample, a[1] AS a1, a[2] AS a2, b[1] AS b1, b[2] AS b2, q[1] AS q1, q[2] AS q2 FROM t), c AS (SELECT *, CASE WHEN a1 IS NOT NULL OR b1 IS NOT NULL THEN least(a1, b1) ELSE q1 END AS c1, CASE WHEN a1 IS NOT NULL OR b1 IS NOT NULL THEN greatest(a2, b2) ELSE q2 END AS c2 FROM u),
+      o AS (SELECT *, CASE WHEN q1 IS NULL THEN 0 ELSE greatest(0, least(c2, q2) - greatest(c1, q1)) END AS ov FROM c), j AS (SELECT *, coalesce(q1 IS NOT NULL AND (ov / greatest(1, q2 - q1) >= 0.25 OR ov / greatest(1, c2 - c1) >= 0.25), false) AS joins FROM o)
+      SELECT chrom, sample, CASE WHEN joins THEN least(c1, q1) ELSE c1 END AS start, CASE WHEN joins THEN greatest(c2, q2) ELSE c2 END AS "end", concat_ws(',', CASE WHEN a1 IS NOT NULL THEN 'raw' END, CASE WHEN b1 IS NOT NULL THEN 'relaxed' END, CASE WHEN joins THEN 'q20' END) AS used,
+      CASE WHEN q1 IS NULL THEN 'missing' WHEN joins THEN 'concordant_or_partly_overlapping' ELSE 'discordant_excluded' END AS status, CAST(ov AS BIGINT) AS overlap,
+      concat_ws(';', CASE WHEN a1 IS NOT NULL AND b1 IS NOT NULL THEN CASE WHEN greatest(0, least(a2, b2) - greatest(a1, b1)) / greatest(1, least(a2 - a1, b2 - b1)) >= 0.5 THEN 'raw_relaxed_concordant' ELSE 'raw_relaxed_broad_or_split' END WHEN a1 IS NOT NULL THEN 'raw_only' WHEN b1 IS NOT NULL THEN 'relaxed_only' ELSE 'q20_only' END,
+        CASE WHEN joins THEN 'q20_included' WHEN q1 IS NOT NULL THEN 'q20_discordant_excluded' END) AS note FROM j""",
+    "merged_scope": EX + "," + _isl("ex", "seq_id", "e_start", "e_end", 0, "e_start, e_end") + ", u AS (SELECT seq_id, isl, max(e_end) - min(e_start) AS bp FROM m GROUP BY 1, 2) SELECT CAST(sum(bp) AS BIGINT) AS bp, round(sum(bp) / 1000000000, 9) AS fraction FROM u",
+    "nearest_interval": f"""WITH {CALLS}, {GAPS}, c AS (SELECT DISTINCT id, chrom, c_start, c_end FROM calls), j AS (SELECT id, c_start, c_end, max(g_end) FILTER (g_end <= c_start) AS l, min(g_start) FILTER (g_start >= c_end) AS r, count(*) FILTER (g_start < c_end AND c_start < g_end) AS n FROM c LEFT JOIN gaps ON g_chrom = chrom GROUP BY ALL),
+      k AS (SELECT *, c_start + 1 - l AS dl, r - c_end + 1 AS dr FROM j), s AS (SELECT id, CASE WHEN n > 0 THEN 'inside' WHEN dl IS NOT NULL AND (dr IS NULL OR dl <= dr) THEN 'left' WHEN dr IS NOT NULL THEN 'right' END AS side, dl, dr FROM k)
+      SELECT id, CASE side WHEN 'inside' THEN 0 WHEN 'left' THEN dl WHEN 'right' THEN dr END AS distance, side, CASE side WHEN 'inside' THEN 0 WHEN 'left' THEN dl WHEN 'right' THEN -dr END AS signed FROM s""",
     "solo_elements": f"""WITH {CALLS}, {GAPS} SELECT CASE WHEN c_end - c_start < 100 THEN 'short' WHEN EXISTS (SELECT 1 FROM gaps WHERE g_chrom = chrom AND g_start < c_end AND c_start < g_end) THEN 'in_complete'
       WHEN EXISTS (SELECT 1 FROM calls i WHERE i.type = 'INV' AND i.chrom = c.chrom AND i.c_start < c.c_end + 20000 AND c.c_start - 20000 < i.c_end) THEN 'near_internal' ELSE 'solo' END AS reason, count(*) AS n FROM calls c WHERE type = 'DEL' GROUP BY 1""",
     "lock_step": "SELECT o_orderstatus AS x_v, o_orderpriority AS y_v, count(*) AS n FROM orders GROUP BY ALL",

@@ -171,6 +171,17 @@ def greedy_exclusive(spark, d):
     return M.greedy_exclusive(b, "id", "n", "bins", 0.5, "component")
 
 
+def greedy_two_sided(spark, d):
+    """Calls as blocks of 50 kb bins on two axes, the second one shifted by 25 kb, by quality where equal
+    in size; a component is a chain of calls that share bins on either axis."""
+    c = _calls(spark, d).withColumns({"b0": F.floor(F.col("c_start") / 50_000), "b1": F.floor((F.col("c_end") - 1) / 50_000) + 1, "o0": F.floor((F.col("c_start") + 25_000) / 50_000), "o1": F.floor((F.col("c_end") + 24_999) / 50_000) + 1})
+    order = F.struct(F.col("c_start") - F.col("c_end"), F.coalesce(-F.col("qual"), F.lit(float("inf"))), F.col("id"))
+    c = c.groupBy("chrom", "b0", "b1", "o0", "o1").agg(F.min_by(F.struct("id", "c_start", "c_end", "qual"), order).alias("x")).select("chrom", "b0", "b1", "o0", "o1", "x.*")
+    c = island_ids(c, ["chrom"], "b0", "o1", gap=-1, ties=["id"])
+    b = c.select("id", F.concat_ws(":", "chrom", F.col("island").cast("string")).alias("component"), (F.col("c_end") - F.col("c_start")).alias("n"), (-F.col("qual")).alias("tie"), F.sequence("b0", F.col("b1") - 1).alias("m"), F.sequence("o0", F.col("o1") - 1).alias("o"))
+    return M.greedy_exclusive(b, "id", "n", "m", 0.5, "component", "o", "tie")
+
+
 def pair_combinations(spark, d):
     """Unordered pairs of nations of one region whose names share the first letter or more."""
     n = table(spark, d, "nation")
@@ -304,7 +315,7 @@ def block_orientation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        match_candidates, scored_candidates, reciprocal_best, strict_candidates, strict_best, match_outcomes, unmatched_reasons, sequence_similarity, capped_evidence, fallback_key, parent_resolution, structure_match, mate_pairs, kmer_similarity, greedy_exclusive, pair_combinations, shared_specific, presence_spectrum, family_categories, category_matrix, pan_core_exact,
+        match_candidates, scored_candidates, reciprocal_best, strict_candidates, strict_best, match_outcomes, unmatched_reasons, sequence_similarity, capped_evidence, fallback_key, parent_resolution, structure_match, mate_pairs, kmer_similarity, greedy_exclusive, greedy_two_sided, pair_combinations, shared_specific, presence_spectrum, family_categories, category_matrix, pan_core_exact,
         pan_core_exhaustive, pan_core_subsets, pan_core_summary, pan_core_sampled, mask_jaccard, genotype_states, sample_state_stats, combined_states, presence_rules, orthology_classes, low_copy_families, block_orientation,
     )
 }
@@ -418,8 +429,8 @@ SQL = {
     "combined_states": "WITH o AS (SELECT o_custkey, o_orderpriority, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 0 END AS s FROM orders) SELECT o_custkey, greatest(max(s) FILTER (o_orderpriority < '3'), max(s) FILTER (o_orderpriority >= '3')) AS state FROM o GROUP BY o_custkey",
     "presence_rules": """WITH e AS (SELECT event_type, CASE event_id % 11 WHEN 0 THEN '' WHEN 1 THEN '.' WHEN 2 THEN 'NA' WHEN 3 THEN '0' WHEN 4 THEN '0.0' WHEN 5 THEN '1' WHEN 6 THEN '2' WHEN 7 THEN 'TRUE' WHEN 8 THEN '0/0' WHEN 9 THEN './.' ELSE '0/1' END AS v FROM events)
       SELECT event_type, v, count(*) FILTER (v IN ('1', '2', 'TRUE', '0/1')) AS numeric, count(*) FILTER (v NOT IN ('', '.', 'NA', '0')) AS token, count(*) FILTER (v IN ('1', 'TRUE')) AS truthy, count(*) FILTER (v = '0/1') AS strict FROM e GROUP BY ALL""",
-    "orthology_classes": PRES + """, n AS (SELECT item, n_regionkey AS r, count(*) AS c FROM pres JOIN nation ON nation = n_nationkey GROUP BY ALL), g AS (SELECT item, count(*) AS w, max(c) AS mx, coalesce(sum(c) FILTER (r = 0), 0) AS t FROM n GROUP BY item)
-      SELECT CASE WHEN w = 5 AND mx = 1 THEN 'single' WHEN t > 0 AND w = 1 THEN 'unique' WHEN w = 5 THEN 'multi' WHEN t > 0 THEN 'other' ELSE 'absent' END AS cls, count(*) AS n FROM g GROUP BY 1""",
+    "orthology_classes": PRES + """, n AS (SELECT item, n_regionkey AS r, count(*) AS c FROM pres JOIN nation ON nation = n_nationkey GROUP BY ALL), g AS (SELECT item, count(*) AS w, max(c) AS mx, min(c) AS mn, coalesce(sum(c) FILTER (r = 0), 0) AS t FROM n GROUP BY item)
+      SELECT CASE WHEN w = 5 AND mx = 1 THEN 'single' WHEN t > 0 AND w = 1 THEN 'unique' WHEN w = 5 AND mn > 1 THEN 'multi' WHEN t > 0 THEN 'other' ELSE 'absent' END AS cls, count(*) AS n FROM g GROUP BY 1""",
     "low_copy_families": PRES + ", n AS (SELECT item, n_regionkey AS r, count(*) AS c FROM pres JOIN nation ON nation = n_nationkey GROUP BY ALL) SELECT item FROM n GROUP BY item HAVING count(*) = 5 AND max(c) <= 3",
     "block_orientation": "WITH g AS (SELECT l_orderkey, round(covar_pop(l_linenumber, l_partkey), 9) AS c FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 4) SELECT CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '-' END AS orientation, count(*) AS n FROM g GROUP BY 1",
 }

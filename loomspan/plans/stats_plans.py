@@ -83,10 +83,17 @@ def histogram_peaks(spark, d):
 
 
 def genome_size(spark, d):
-    """Depth spectrum: how many customers have how many orders."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("depth"))
-    h = o.withColumn("k", F.col("o_custkey") % 3).groupBy("k", "depth").agg(F.count(F.lit(1)).alias("count"))
-    return T.genome_size(h, ["k"], "depth", "count", 3)
+    """Depth spectrum by group of customers: how many spent how many times 20,000."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"))
+    h = o.groupBy((F.col("o_custkey") % 7).alias("k"), F.floor(F.col("t") / 20_000).cast("bigint").alias("depth")).agg(F.count(F.lit(1)).alias("count"))
+    return T.genome_size(h, ["k"], "depth", "count", 5)
+
+
+def size_frequencies(spark, d):
+    """Events (type and place, in steps of 100 kb) by size class and number of samples that call them."""
+    c = table(spark, d, "sv_calls").where("type in ('DEL', 'INS') and chrom is not null and pos is not null")
+    e = c.groupBy("type", "chrom", F.floor(F.col("pos") / 100_000).alias("at")).agg(F.max("len").alias("len"), F.count_distinct("sample").alias("n"))
+    return T.size_frequencies(e, "len", "n", 12).withColumn("share", r("share").alias("share"))
 
 
 def consensus(spark, d):
@@ -246,8 +253,10 @@ def length_bins(spark, d):
 
 
 def distance_bins(spark, d):
-    ev = table(spark, d, "events").withColumn("sd", F.round((F.col("value") - 50) * 100).cast("bigint"))
-    return ev.groupBy(S.distance_bin(F.col("sd")).alias("bin"), S.distance_label(F.col("sd")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """Events by the bin of a signed distance; every seventh counts as within a gene, every eleventh as unknown."""
+    sd = F.when(F.col("event_id") % 11 != 0, F.round((F.col("value") - 50) * 130).cast("bigint"))
+    ev = table(spark, d, "events").withColumn("b", S.distance_bin(sd, F.col("event_id") % 7 == 0))
+    return ev.groupBy("b.label", "b.center").agg(F.count(F.lit(1)).alias("n"))
 
 
 def safe_numbers(spark, d):
@@ -287,9 +296,25 @@ def interval_texts(spark, d):
     return docs.select("doc_id", c.alias("chrom"), a.alias("a"), b.alias("b")).groupBy("doc_id", "chrom").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"))
 
 
+#: (feature, classification) as annotations give them, and rows of the domain-based classifier.
+REPEATS = [
+    ("Copia_LTR_retrotransposon", "LTR/Copia"), ("Gypsy_LTR_retrotransposon", "LTR/Gypsy"), ("LTR_retrotransposon", "LTR/unknown"), ("LTR_retrotransposon", "LTR/CRM"), ("long_repeat", "LTR/ERV/Unknown"), ("helitron", "DNA/Helitron"), ("CACTA_TIR_transposon", "DNA/DTC"),
+    ("repeat_region", "MITE/DTM"), ("terminal_inverted_repeat", None), ("LINE_element", "LINE/L1"), ("SINE_element", "SINE/tRNA"), ("repeat_fragment", None), ("repeat_region", ""), ("Copia_LTR_retrotransposon", None), (None, "unknown"), (None, None),
+    ("dna_like", "Satellite"), ("target_site", "LTR"), ("x", "TIR"), ("y", "Helitron"), ("z", "LINE"), (" gypsy_LTR_retrotransposon ", " LTR/Gypsy "),
+]
+CLASSIFIED = [(None, None, None), ("LTR", "Ale", "Copia"), ("ltr", "unknown", "Gypsy"), ("LTR", " ", "other"), ("TIR", "unknown", "hAT")]
+
+
 def repeat_classes(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit("(Copiax|Gypsoid|SatC|MiteB|LINE-q|Helix-9|CRMx)"), 1)).alias("f"))
-    return docs.groupBy("f").agg(F.count(F.lit(1)).alias("n")).select(S.te_class(F.col("f"), F.lit("")).alias("cls"), S.family_name(F.col("f")).alias("family"), "n")
+    """Repeats by the five class ladders; which repeat an event stands for follows from its id."""
+    kinds = spark.createDataFrame([(i, *x) for i, x in enumerate(REPEATS)], "i bigint, f string, c string")
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(CLASSIFIED)], "j bigint, o string, clade string, sf string")
+    e = table(spark, d, "events").select((F.col("event_id") % len(REPEATS)).alias("i"), (F.col("event_id") % len(CLASSIFIED)).alias("j"))
+    e = e.join(F.broadcast(kinds), "i").join(F.broadcast(rows), "j")
+    f, c = F.col("f"), F.col("c")
+    sub = S.te_subtype(c, F.col("o"), F.col("clade"), F.col("sf"))
+    cols = e.select(S.te_broad(f, c).alias("broad"), S.te_of_text(F.concat_ws("\t", f, c)).alias("text_class"), S.te_composition(f, c).alias("composition"), sub["subtype"].alias("subtype"), sub["major"].alias("subtype_major"), S.te_major(c, f).alias("major"), S.family_name(F.coalesce(f, F.lit("x"))).alias("family"))
+    return cols.groupBy(*cols.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ltr_ages(spark, d):
@@ -385,6 +410,12 @@ def first_seen(spark, d):
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n not in ("r",) and not n.startswith("_")}
 
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else f"'{x}'" for x in row)]) + ")" for i, row in enumerate(rows))
+
+
 _RANK = "rank() OVER (PARTITION BY {p} ORDER BY {c}) + (count(*) OVER (PARTITION BY {p}, {c}) - 1) / 2.0::DOUBLE"
 _SEQ = "q AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[ACGTN]{60,}')) AS s FROM documents WHERE text IS NOT NULL)"
 _AA = "WITH " + _SEQ + ", c AS (SELECT doc_id, s, unnest(list_transform(range(1, length(s) // 3 + 1), lambda i: substring(s, 3 * i - 2, 3))) AS c, unnest(range(1, length(s) // 3 + 1)) AS i FROM q)"
@@ -438,8 +469,19 @@ SQL = {
     "dense_grid": "WITH m AS (SELECT least(id_a[1:3], id_b[1:3]) AS x, greatest(id_a[1:3], id_b[1:3]) AS y, round(max(score), 6) AS v FROM sv_matches WHERE id_a IS NOT NULL AND id_b IS NOT NULL GROUP BY 1, 2), k(n) AS (VALUES ('asm'), ('lrc'), ('pbx'), ('zzz')) SELECT a.n AS a, b.n AS b, v FROM k a CROSS JOIN k b LEFT JOIN m ON least(a.n, b.n) = x AND greatest(a.n, b.n) = y",
     "semi_anti": "SELECT 'semi' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL SELECT 'anti', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "dimension_chain": "SELECT r_name, l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
-    "length_bins": "SELECT CAST(CASE WHEN len > 10000 THEN 11000 ELSE ceil(len / 1000) * 1000 END AS BIGINT) AS bin, CASE WHEN len < 50 THEN 'small' WHEN len < 500 THEN '50-500' WHEN len < 5000 THEN '500-5000' ELSE '>=5000' END AS cls, count(*) AS n FROM sv_calls WHERE len IS NOT NULL GROUP BY ALL",
-    "distance_bins": "WITH e AS (SELECT CAST(round((value - 50) * 100) AS BIGINT) AS sd FROM events), b AS (SELECT CAST(CASE WHEN sd < -5000 THEN -5500 WHEN sd >= 5000 THEN 5000 ELSE floor(sd / 500) * 500 END AS BIGINT) AS bin FROM e) SELECT bin, CASE WHEN bin < -5000 THEN '<-5000' WHEN bin >= 5000 THEN '>=5000' ELSE bin || '..' || (bin + 500) END AS label, count(*) AS n FROM b GROUP BY ALL",
+    "length_bins": "SELECT CAST(CASE WHEN len > 10000 THEN 11000 ELSE ceil(len / 1000) * 1000 END AS BIGINT) AS bin, CASE WHEN len < 50 THEN NULL WHEN len < 500 THEN '50-499' WHEN len < 5000 THEN '500-4999' ELSE '>=5000' END AS cls, count(*) AS n FROM sv_calls WHERE len IS NOT NULL GROUP BY ALL",
+    "distance_bins": """WITH e AS (SELECT event_id % 7 = 0 AS g, CASE WHEN event_id % 11 <> 0 THEN CAST(round((value - 50) * 130) AS BIGINT) END AS sd FROM events), b AS (SELECT *, CAST(floor(sd / 500) * 500 AS BIGINT) AS lo FROM e),
+      l AS (SELECT CASE WHEN g THEN 'Gene' WHEN sd IS NULL OR sd > 5000 THEN '>5k' WHEN sd < -5000 THEN '<-5k' ELSE regexp_replace(CAST(lo / 1000 AS VARCHAR), '[.]0$', '') || 'k~' || regexp_replace(CAST((lo + 500) / 1000 AS VARCHAR), '[.]0$', '') || 'k' END AS label,
+        CAST(CASE WHEN g THEN 0 WHEN sd IS NULL OR sd > 5000 THEN 5500 WHEN sd < -5000 THEN -5500 ELSE lo + 250 END AS BIGINT) AS center FROM b) SELECT label, center, count(*) AS n FROM l GROUP BY ALL""",
+    "genome_size": """WITH o AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1), h AS (SELECT o_custkey % 7 AS k, CAST(floor(t / 20000) AS BIGINT) AS d, count(*) AS c FROM o GROUP BY ALL),
+      t AS (SELECT k, sum(d * c) AS a, coalesce(sum(d * c) FILTER (d >= 2), 0) AS b, coalesce(sum(d * c) FILTER (d >= 3), 0) AS e FROM h GROUP BY k), s AS (SELECT k, d, avg(c) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS y FROM h WHERE d >= 5 AND c > 0),
+      m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y DESC, d) AS rn FROM (SELECT *, lag(y, 1, -1) OVER w AS p, lead(y, 1, -1) OVER w AS n FROM s WINDOW w AS (PARTITION BY k ORDER BY d)) WHERE y >= p AND y >= n),
+      f AS (SELECT k, d AS d1, y AS y1 FROM m WHERE rn = 1), x AS (SELECT m.k, arg_min(d, rn) AS d2 FROM m JOIN f ON m.k = f.k WHERE rn BETWEEN 2 AND 12 AND d BETWEEN 1.75 * d1 AND 2.25 * d1 AND y >= 0.08 * y1 GROUP BY m.k), p AS (SELECT t.*, coalesce(d2, d1) AS peak, CASE WHEN d2 IS NOT NULL THEN 'higher_depth_peak_near_2x_top' WHEN d1 IS NOT NULL THEN 'highest_smoothed_peak' ELSE 'no_peak_after_min_depth' END AS rule FROM t LEFT JOIN f USING (k) LEFT JOIN x USING (k))
+      SELECT k, peak, round_even(a / peak, 0) AS size_all, round_even(b / peak, 0) AS size_ge2, round_even(e / peak, 0) AS size_ge3, rule FROM p""",
+    "size_frequencies": """WITH e AS (SELECT type, chrom, pos // 100000 AS at, max(len) AS len, count(DISTINCT sample) AS n FROM sv_calls WHERE type IN ('DEL', 'INS') AND chrom IS NOT NULL AND pos IS NOT NULL GROUP BY ALL),
+      c AS (SELECT CASE WHEN len < 500 THEN '50-499' WHEN len < 5000 THEN '500-4999' ELSE '>=5000' END AS size_class, n AS n_samples, count(*) AS events FROM e WHERE len >= 50 AND n > 0 GROUP BY ALL),
+      g AS (SELECT s AS size_class, CAST(unnest(range(1, 13)) AS BIGINT) AS n_samples FROM (VALUES ('50-499'), ('500-4999'), ('>=5000')) v(s)), j AS (SELECT g.*, coalesce(events, 0) AS events FROM g LEFT JOIN c USING (size_class, n_samples)), t AS (SELECT *, CAST(sum(events) OVER (PARTITION BY size_class) AS BIGINT) AS class_events FROM j)
+      SELECT *, round(events / nullif(class_events, 0), 9) AS share FROM t""",
     "safe_numbers": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(trunc(value) AS BIGINT) WHEN 2 THEN -3 END AS i FROM events",
     "ratios": "WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1) SELECT o_custkey, round(coalesce(p * 100.0::DOUBLE / nullif(f, 0), 0), 9) AS pct, round(log2(p + 1) - log2(f + 1), 9) AS l2 FROM g",
     "reverse_complements": _AA + f""", a AS (SELECT doc_id, s, string_agg({_CODE}, '' ORDER BY i) AS aa, count(*) FILTER (c[1:2] IN ('CT', 'GT', 'TC', 'CC', 'AC', 'GC', 'CG', 'GG') AND c[3] <> 'N') AS ff FROM (SELECT DISTINCT doc_id, s, i, c FROM c) GROUP BY 1, 2)
@@ -447,7 +489,17 @@ SQL = {
     "translated_codons": _AA + f" SELECT {_CODE} AS aa, count(*) AS n FROM c GROUP BY 1",
     "kmer_spectrum": "WITH " + _SEQ + ", k AS (SELECT k, count(*) AS depth FROM (SELECT unnest(list_transform(range(1, length(s) - 4), lambda i: substring(s, i, 6))) AS k FROM q) GROUP BY k) SELECT depth, count(*) AS count FROM k GROUP BY depth",
     "interval_texts": r"WITH t AS (SELECT doc_id, replace(unnest(regexp_extract_all(text, '(?:msv|tru|orb)_(?:chr|ctg)[0-9]+:[0-9][0-9,]*-[0-9][0-9,]*')), ',', '') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, split_part(t, ':', 1) AS chrom, min(CAST(split_part(split_part(t, ':', 2), '-', 1) AS BIGINT)) AS a, max(CAST(split_part(split_part(t, ':', 2), '-', 2) AS BIGINT)) AS b, count(*) AS n FROM t GROUP BY 1, 2",
-    "repeat_classes": "WITH f AS (SELECT unnest(regexp_extract_all(text, 'Copiax|Gypsoid|SatC|MiteB|LINE-q|Helix-9|CRMx')) AS f FROM documents WHERE text IS NOT NULL) SELECT CASE f WHEN 'Copiax' THEN 'LTR/Copia' WHEN 'SatC' THEN 'Satellite' WHEN 'MiteB' THEN 'TIR' WHEN 'LINE-q' THEN 'LINE' ELSE 'Unknown' END AS cls, CASE f WHEN 'Helix-9' THEN 'Helix-' ELSE f END AS family, count(*) AS n FROM f GROUP BY ALL",
+    "repeat_classes": f"""WITH k(i, f, c) AS (VALUES {_values(REPEATS)}), y(j, o, clade, sf) AS (VALUES {_values(CLASSIFIED)}), e AS (SELECT f, c, o, clade, sf FROM events JOIN k ON i = event_id % {len(REPEATS)} JOIN y ON j = event_id % {len(CLASSIFIED)}),
+      a AS (SELECT *, trim(coalesce(c, '')) AS tc, trim(coalesce(f, '')) AS tf, lower(trim(coalesce(c, '')) || ' ' || trim(coalesce(f, ''))) AS low, lower(concat_ws(chr(9), f, c)) AS whole, coalesce(nullif(c, ''), 'unknown') AS c3, coalesce(nullif(c, ''), 'Unknown') AS c4, coalesce(nullif(c, ''), nullif(f, ''), 'unknown') AS c5 FROM e),
+      b AS (SELECT CASE WHEN tc = 'LTR/Copia' OR low LIKE '%copia_ltr_retrotransposon%' THEN 'LTR/Copia' WHEN tc = 'LTR/Gypsy' OR low LIKE '%gypsy_ltr_retrotransposon%' THEN 'LTR/Gypsy' WHEN tc = 'LTR/unknown' OR tc LIKE 'LTR/%' AND lower(tc) LIKE '%/unknown' OR tf = 'LTR_retrotransposon' THEN 'LTR/unknown'
+          WHEN low LIKE '%helitron%' THEN 'Helitron' WHEN tc LIKE 'DNA/%' OR tc LIKE 'MITE/%' OR low LIKE '%tir_transposon%' OR low LIKE '%terminal_inverted_repeat%' THEN 'DNA transposons' ELSE 'Other / unclassified' END AS broad,
+        CASE WHEN contains(whole, 'ltr') THEN 'LTR' WHEN contains(whole, 'helitron') OR contains(whole, 'tir') OR contains(whole, 'mite') OR contains(whole, '/dt') OR contains(whole, 'dna') THEN 'DNA' ELSE 'Other_TE' END AS text_class,
+        CASE WHEN starts_with(c3, 'LTR/Gypsy') THEN 'LTR/Gypsy' WHEN starts_with(c3, 'LTR/Copia') THEN 'LTR/Copia' WHEN starts_with(c3, 'LTR/') THEN 'LTR unknown' WHEN starts_with(c3, 'SINE') THEN 'SINEs' WHEN starts_with(c3, 'DNA/') OR starts_with(c3, 'MITE/') OR f = 'helitron' THEN 'DNA transposons' WHEN c3 = 'unknown' OR f IN ('repeat_fragment', 'repeat_region') THEN 'Unclassified TE' END AS composition,
+        CASE WHEN lower(o) = 'ltr' THEN CASE WHEN lower(trim(clade)) NOT IN ('', '?', 'na', 'nan', 'none', 'unknown', 'unclassified') THEN trim(clade) WHEN lower(trim(sf)) IN ('copia', 'gypsy') THEN 'Unclassified LTR-RTs' ELSE 'Unknown' END
+          WHEN starts_with(c4, 'LTR/') THEN CASE WHEN o IS NULL AND lower(c4) = 'ltr/unknown' THEN 'Unknown' ELSE 'Unclassified LTR-RTs' END WHEN contains(c4, '/') THEN substring(c4, strpos(c4, '/') + 1) ELSE c4 END AS subtype,
+        CASE WHEN lower(o) = 'ltr' OR starts_with(c4, 'LTR/') THEN 'LTR-RT' ELSE split_part(c4, '/', 1) END AS subtype_major,
+        CASE WHEN contains(c5, '/') THEN split_part(c5, '/', 1) WHEN contains(c5, 'LTR') THEN 'LTR' WHEN contains(c5, 'TIR') THEN 'TIR' WHEN contains(c5, 'LINE') THEN 'LINE' WHEN contains(c5, 'Helitron') THEN 'Helitron' ELSE c5 END AS major,
+        regexp_replace(coalesce(f, 'x'), '[0-9]+$', '') AS family FROM a) SELECT *, count(*) AS n FROM b GROUP BY ALL""",
     "ltr_ages": "WITH e AS (SELECT l_returnflag, 1 - (1 - l_discount) AS d FROM lineitem) SELECT l_returnflag, round(avg(d / 2.6e-8 / 1e6), 6) AS raw, round(avg(-0.75 * ln(1 - 4 * d / 3) / 2.6e-8 / 1e6), 6) AS jc, round(avg(d / 1.02e-8 / 1e6), 6) AS k FROM e GROUP BY 1",
     "evidence_rules": "SELECT CASE WHEN aa >= 100 AND l_linenumber >= 2 THEN 'two_sources' WHEN aa >= 200 AND (l_returnflag = 'R' OR l_linestatus = 'O') THEN 'long_with_evidence' WHEN aa >= 500 AND l_discount > 0.05 THEN 'very_long' WHEN aa >= 50 AND l_returnflag = 'R' AND l_linestatus = 'O' THEN 'short_with_both' ELSE 'none' END AS rule, count(*) AS n FROM (SELECT *, l_extendedprice / 100 AS aa FROM lineitem) GROUP BY 1",
     "gene_contexts": "WITH e AS (SELECT *, round((value - 50) * 100) AS sd FROM events) SELECT CASE WHEN event_type = 'click' THEN 'exon' WHEN event_type = 'view' THEN 'intron' WHEN sd < 0 AND sd >= -2000 THEN 'upstream' WHEN sd > 0 AND sd <= 2000 THEN 'downstream' ELSE 'intergenic' END AS context, count(*) AS n FROM e GROUP BY 1",

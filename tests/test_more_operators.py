@@ -1,6 +1,9 @@
 """Hand-computed cases of the operators that no query covers."""
 
 import math
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -42,8 +45,11 @@ def test_small_scalars(spark):
     assert x(S.relative_position(F.lit(5), F.lit(1), F.lit(9))) == "within" and x(S.relative_position(F.lit(0), F.lit(2_000_000), F.lit(9_000_000))) == "left 2.00 Mb"
     assert math.isclose(x(S.gap_fraction(F.lit("A--C"))), 0.5) and x(S.gap_fraction(F.lit(""))) is None
     assert x(S.strip_prefix(F.lit("ab.chr1"), ["ab.", "cd."])) == "chr1" and x(S.missing_to_null(F.lit(" NA "))) is None
-    assert x(S.confidence_label(F.lit("high"), F.lit(2))) == "high" and x(S.confidence_label(F.lit("low"), F.lit(1))) == "low"
-    assert x(S.translocation_type(F.lit("BND"))) == "TRA" and x(S.te_class(F.lit("LTR_retrotransposon"), F.lit("LTR/Gypsy"))) == "LTR/Gypsy"
+    assert [x(S.read_confidence(F.lit(c), F.lit(n))) for c, n in (("high", 2), ("low", 1), ("low", 0), ("", 0))] == ["high_read_svgap_supported", "medium_read_svgap_supported", "low", "."]
+    assert [x(S.assembly_confidence(F.lit(t), F.lit(n))) for t, n in (("DEL", 2), ("DEL", 1), ("INV", 0))] == ["medium_svgap_combined", "low_svgap_only", "medium_svgap_only"]
+    assert x(S.translocation_type(F.lit("BND"))) == "TRA" and x(S.te_broad(F.lit("LTR_retrotransposon"), F.lit("LTR/Gypsy"))) == "LTR/Gypsy"
+    assert [x(S.size_class(F.lit(n))) for n in (49, 50, -499, 500, 5000)] == [None, "50-499", "50-499", "500-4999", ">=5000"]
+    assert [x(P.orthology_class(F.array(*map(F.lit, c)), F.lit(c[0]))) for c in ((1, 1), (2, 3), (1, 2), (3, 0), (0, 2))] == ["single", "multi", "other", "unique", "absent"]
     assert x(P.support_states(F.lit("101"), 3)) == [1, 0, 1] and x(P.support_states(F.lit("10"), 3)) is None
     assert x(P.list_cell_sizes(F.lit("a, ,b,"))) == 2 and x(M.length_ratio_ok(F.lit(0), F.lit(9))) and not x(M.length_ratio_ok(F.lit(10), F.lit(16)))
 
@@ -60,9 +66,17 @@ def test_blocks_and_breakpoints(spark):
 def test_signal_helpers(spark):
     d = spark.createDataFrame([("v", 5.0), ("v", 9.0), ("w", 1.0), ("w", 20.0), ("x", 5.0), ("x", 5.0), ("y", None)], "r string, d double")
     assert dict(rows(G.flank_depth_gate(d, "r", "d", 3, 6).select("r", "reason"))) == {"v": "pass", "w": "low_min", "x": "low_mean", "y": "no_depth"}
-    c = spark.createDataFrame([(0, 100, 40, 160, 500, 600), (0, 100, 300, 400, 60, 90), (0, 100, 300, 400, 500, 600)], "a int, b int, c int, d int, e int, f int")
+    data = [(0, 100, 40, 160, 500, 600), (0, 100, 300, 400, 60, 90), (0, 100, None, None, 90, 1000), (None, None, 5, 9, None, None), (None, None, None, None, 7, 8), (None,) * 6]
+    c = spark.createDataFrame(data, "a int, b int, c int, d int, e int, f int")
     got = c.select(G.consensus_interval((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), (F.col("e"), F.col("f"))).alias("x")).collect()
-    assert [tuple(r["x"]) for r in got] == [(0, 160, "union"), (60, 90, "strict"), (0, 100, "raw")]
+    assert [tuple(r["x"]) if r["x"] else None for r in got] == [
+        (0, 160, "raw,relaxed", "discordant_excluded", 0, "raw_relaxed_concordant;q20_discordant_excluded"),
+        (0, 400, "raw,relaxed,q20", "concordant_or_partly_overlapping", 30, "raw_relaxed_broad_or_split;q20_included"),
+        (0, 100, "raw", "discordant_excluded", 10, "raw_only;q20_discordant_excluded"),
+        (5, 9, "relaxed", "missing", 0, "relaxed_only"),
+        (7, 8, "q20", "concordant_or_partly_overlapping", 1, "q20_only;q20_included"),
+        None,
+    ]
     s = spark.createDataFrame([("c", 25)], "k string, n bigint")
     v = spark.createDataFrame([("c", 10, 2.0)], "k string, win_start bigint, v double")
     assert rows(G.complete_windows(v, s, ["k"], "n", 10, {"v": 0.0})) == [("c", 0, 0.0), ("c", 10, 2.0), ("c", 20, 0.0)]
@@ -74,7 +88,9 @@ def test_regions_and_demotion(spark):
     f = spark.createDataFrame([("r1", 5, 9)], "reg string, s bigint, e bigint")
     g = spark.createDataFrame([("r1", 100, "chr1")], "name string, off bigint, contig string")
     assert rows(C.region_to_contig(f, g.withColumnRenamed("name", "reg"), "reg", "off", "s", "e").select("s", "e", "contig")) == [(105, 109, "chr1")]
-    assert rows(C.scope_fraction(spark.createDataFrame([(0, 10), (20, 30)], "s bigint, e bigint"), "s", "e", 100)) == [(20, 0.2)]
+    assert rows(C.scope_fraction(spark.createDataFrame([("c", 0, 10), ("c", 5, 10), ("c", 20, 30), ("d", 0, 5)], "k string, s bigint, e bigint"), ["k"], "s", "e", 100)) == [(25, 0.25)]
+    src = spark.createDataFrame([("alone", True), ("both", True), ("both", False), ("both", None), ("read", False)], "src string, ok boolean")
+    assert rows(C.demote(src, "src", F.col("ok"), ["alone"], {"both": "read"}).select("src", "decision", "new_source")) == sorted([("alone", "drop", "alone"), ("both", "keep", "both"), ("both", "demote", "read"), ("both", "demote", "read"), ("read", "keep", "read")], key=repr)
 
 
 def test_islands_over_shard_borders(spark):
@@ -94,9 +110,17 @@ def test_other_statistics(spark):
     g = T.kde(e, ["k"], "v", -5.0, 10.0, 301, 0.5).collect()
     assert abs(sum(x["density"] for x in g) * 15 / 300 - 1) < 1e-3
     h = spark.createDataFrame([("s", d, c) for d, c in enumerate([900, 500, 90, 5, 10, 60, 100, 60, 30, 40, 70, 120, 190, 120, 60, 10], 1)], "s string, depth bigint, count bigint")
-    assert T.genome_size(h, ["s"], "depth", "count", 4, 1).first()["peak"] == 13
+    low = spark.createDataFrame([("t", 1, 7), ("t", 2, 1)], "s string, depth bigint, count bigint")
+    got = {r["s"]: r for r in T.genome_size(h.unionByName(low), ["s"], "depth", "count", 4, 1).collect()}
+    assert (got["s"]["peak"], got["s"]["rule"]) == (13, "highest_smoothed_peak") and got["s"]["size_all"] == round(sum(d * c for d, c in enumerate([900, 500, 90, 5, 10, 60, 100, 60, 30, 40, 70, 120, 190, 120, 60, 10], 1)) / 13)
+    assert (got["t"]["peak"], got["t"]["size_all"], got["t"]["rule"]) == (None, None, "no_peak_after_min_depth")
+    # the top lies at 7 and a maximum of a tenth of its height near twice that depth
+    t = spark.createDataFrame([("s", d, c) for d, c in enumerate([9, 9, 9, 5, 10, 600, 1000, 600, 30, 4, 7, 50, 190, 50, 6, 1], 1)], "s string, depth bigint, count bigint")
+    assert T.genome_size(t, ["s"], "depth", "count", 4, 1).first()["peak"] == 13
     m = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "i int, s string")
     assert rows(R.same_sets(m.select("s"), m.select("s"))) == [(True,)] and rows(R.same_sets(m.select("s"), m.where("i < 3").select("s"))) == [(False,)]
+    big = spark.createDataFrame([(7,), (10**8 - 1,), (10**8,), (123456789,), (123456780,)], "n bigint")
+    assert [r[0] for r in big.select(R.padded(F.col("n"), 8)).collect()] == ["00000007", "99999999", "100000000", "123456789", "123456780"]
     assert [r["sid"] for r in R.surrogate_ids(m, ["i"], "Z", 4).orderBy("i").collect()] == ["Z0001", "Z0002", "Z0003"]
     assert P.sample_columns(spark.createDataFrame([], "id int, genome_a int, genome_b int, x int"), ["id"], ["genome_b"], "genome_") == ["genome_a"]
 
@@ -110,3 +134,32 @@ def test_batch_functions(spark):
         yield part
 
     assert M.apply_batches(df, twice, "k string, v int").count() == 6
+
+
+def test_masks_hold_63_samples_or_fail(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 62), ("b", 5)], "item string, o int")
+    assert rows(P.masks(df, "item", "o")) == [("a", 1 + 2**62), ("b", 32)]
+    for bad in (63, 64, -1):
+        with pytest.raises(Exception, match="no bit for sample ordinal"):
+            P.masks(spark.createDataFrame([("a", bad)], "item string, o int"), "item", "o").collect()
+
+
+def test_greedy_on_two_sides(spark):
+    rng = random.Random(3)
+    for _ in range(6):
+        blocks = [(f"b{i:02d}", rng.randint(1, 6), rng.choice([0.1, 0.2, None]), [rng.randint(0, 12) for _ in range(rng.randint(0, 4))], [rng.randint(0, 12) for _ in range(rng.randint(1, 4))]) for i in range(40)]
+        seen, want = (set(), set()), []
+        for b, _, _, m, o in sorted(blocks, key=lambda x: (-x[1], float("inf") if x[2] is None else x[2], x[0])):
+            if all(len(s) and sum(x not in done for x in s) >= 0.5 * len(s) for s, done in zip((m, o), seen)):
+                want.append(b)
+                seen[0].update(m)
+                seen[1].update(o)
+        df = spark.createDataFrame(blocks, "b string, n int, p double, m array<int>, o array<int>")
+        assert [r[0] for r in rows(M.greedy_exclusive(df, "b", "n", "m", other="o", tie="p"))] == sorted(want)
+
+
+def test_nearest_of_intervals(spark):
+    p = spark.createDataFrame([("in", "c", 5, 50), ("left", "c", 75, 80), ("right", "c", 84, 88), ("tie", "c", 76, 84), ("cover", "c", 0, 1000), ("none", "d", 1, 2)], "id string, k string, s bigint, e bigint")
+    f = spark.createDataFrame([("f1", "c", 10, 20, "+"), ("f2", "c", 60, 70, "-"), ("f3", "c", 90, 95, "+")], "f string, k string, fs bigint, fe bigint, st string")
+    got = {r["id"]: (r["nearest_f"], r["distance"], r["side"], r["signed"]) for r in I.nearest(p, f, ["k"], "s", "id", I.Span("fs", "fe"), "f", "st", point_end="e").collect()}
+    assert got == {"in": ("f1", 0, "inside", 0), "left": ("f2", 6, "left", -6), "right": ("f3", 3, "right", -3), "tie": ("f2", 7, "left", -7), "cover": ("f1", 0, "inside", 0), "none": (None, None, None, None)}

@@ -161,8 +161,9 @@ def test_exhaustive_is_mean_of_exact(spark):
 
 
 def test_distance_bins(spark):
-    want = {-1: -500, -500: -500, -501: -1000, 0: 0, 499: 0, 500: 500, 5000: 5000, -5000: -5000, 5001: 5000, -5001: -5500}
-    assert {k: one(spark, S.distance_bin(F.col("d")), d=k) for k in want} == want
+    want = {-1: ("-0.5k~0k", -250), -500: ("-0.5k~0k", -250), -501: ("-1k~-0.5k", -750), 0: ("0k~0.5k", 250), 500: ("0.5k~1k", 750), 5000: ("5k~5.5k", 5250), -5000: ("-5k~-4.5k", -4750), 5001: (">5k", 5500), -5001: ("<-5k", -5500)}
+    assert {k: tuple(one(spark, S.distance_bin(F.col("d")), d=k)) for k in want} == want
+    assert tuple(one(spark, S.distance_bin(F.col("d"), F.lit(True)), d=7)) == ("Gene", 0) and tuple(one(spark, S.distance_bin(F.lit(None).cast("bigint")), d=7)) == (">5k", 5500)
 
 
 def test_n50_half_and_quantiles(spark):
