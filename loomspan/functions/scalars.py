@@ -226,9 +226,9 @@ def p_stars(p: Column) -> Column:
 
 
 def relative_position(pos: Column, start: Column, end: Column) -> Column:
-    """'within', or the side and the distance in Mb."""
+    """'within' (both ends count), or the side and the distance in Mb."""
     side = lambda name, d: F.format_string(f"{name} %.2f Mb", (d / 1e6).cast("double"))
-    return F.when((pos >= start) & (pos < end), "within").when(pos < start, side("left", start - pos)).otherwise(side("right", pos - end + 1))
+    return F.when(pos < start, side("left", start - pos)).when(pos > end, side("right", pos - end)).otherwise("within")
 
 
 def info_map(info: Column) -> Column:

@@ -105,7 +105,9 @@ def gff3(spark: SparkSession, path: str) -> DataFrame:
     n = ["seq_id", "source", "type", "start", "end", "score", "strand", "phase", "attr"]
     df = _cut(lines(spark, path), n, {"start": "bigint", "end": "bigint", "score": "double", "phase": "int"})
     parts = F.filter(F.split("attr", r"\s*;\s*"), lambda x: F.trim(x) != "")
-    pair = lambda x: F.struct(F.regexp_extract(F.trim(x), r"^([^=\s]+)", 1), F.try_url_decode(F.regexp_replace(F.regexp_extract(F.trim(x), r"^[^=\s]+[=\s]\s*(.*)$", 1), '^"|"$', "")))
+    # a plus sign stands for itself in this format
+    decode = lambda x: F.try_url_decode(F.regexp_replace(x, r"\+", "%2B"))
+    pair = lambda x: F.struct(F.regexp_extract(F.trim(x), r"^([^=\s]+)", 1), decode(F.regexp_replace(F.regexp_extract(F.trim(x), r"^[^=\s]+[=\s]\s*(.*)$", 1), '^"|"$', "")))
     entries = F.transform(parts, pair)
     # of a key given twice the first counts
     firsts = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda y: y["col1"]), e["col1"]) == i + 1)
