@@ -168,18 +168,27 @@ _ADDRESS_LAST = re.compile(
     re.X | re.I,
 )
 _NO_STREET = frozenset("at of in and on was from bp to with by or is for".split())
-#: Words and endings of which an address with the number last has one; found in one pass. The value is
-#: 0 for an ending, else the length of the word.
-_LAST_MARKS = ahocorasick.Automaton()
-for _mark in STREET_NUMBER_LAST.split():
-    for _space in " \t\u00a0\u2009\u202f":
-        _LAST_MARKS.add_word(f"{_mark}{_space}", len(_mark) + 1)
-for _mark in STREET_ENDING.split():
-    _LAST_MARKS.add_word(_mark, 0)
-_LAST_MARKS.make_automaton()
+#: What opens one of the costlier patterns, all found in one pass over the lower-case text: words (with
+#: the character behind them) and endings of streets that stand in front of a number, labels of ids, and
+#: what introduces a name. The value is the pattern it opens and its length.
+_STREET_WORD, _STREET_END, _LABEL_OF_ID, _INTRODUCTION = range(4)
+_OPENERS = ahocorasick.Automaton()
+_BLANKS = " \t\u00a0\u2009\u202f"
+for _word in STREET_NUMBER_LAST.split():
+    for _space in _BLANKS:
+        _OPENERS.add_word(f"{_word}{_space}", (_STREET_WORD, len(_word) + 1))
+for _word in STREET_ENDING.split():
+    _OPENERS.add_word(_word, (_STREET_END, len(_word)))
+for _word in re.sub(r"\(\?:[^)]*\)\??", "", ID_LABELS).split("|"):
+    _OPENERS.add_word(_word, (_LABEL_OF_ID, len(_word)))
+for _word in INTRODUCES:
+    for _space in (*_BLANKS, "\n", ".", ",", ":"):
+        _OPENERS.add_word(f"{_word}{_space}", (_INTRODUCTION, len(_word) + 1))
+_OPENERS.make_automaton()
 _NAME_TOKEN = rf"(?:{_L}\.|{_W})"
 _CAP_WORD = re.compile(_CAP)
 _GAP = re.compile(_SP)
+_WORD = re.compile(_W)
 _INTRODUCED = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(re.escape(w) for w in sorted(INTRODUCES, key=len, reverse=True))})(?!\w)[.,:]{{0,2}}(?:{_SP}|\n{{1,2}})")
 _TAIL = re.compile(rf",{_SP}({_W}(?:{_SP}(?:{_L}\.|{_W}(?=$|[\W])))?|{_L}\.)")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+|\S)\W{0,3}$")
@@ -270,17 +279,28 @@ def _email(text: str, low: str) -> list[tuple[int, int]]:
     return out
 
 
+def _openings(low: str) -> tuple[bool, list[int], list[int]]:
+    """(whether an address with the number last may occur, starts of labels of ids, starts of introductions)."""
+    street, labels, introductions = False, [], []
+    for end, (kind, length) in _OPENERS.iter(low):
+        if kind == _STREET_END:
+            street = street or low[end + 1 : end + 7].lstrip(f"., {_BLANKS}")[:1].isdigit()
+            continue
+        start = end - length + 1
+        if start and (low[start - 1].isalnum() or low[start - 1] == "_"):
+            continue
+        if kind == _STREET_WORD:
+            street = True
+        else:
+            (labels if kind == _LABEL_OF_ID else introductions).append(start)
+    return street, labels, introductions
+
+
 def _may_end_in_number(low: str) -> bool:
-    for end, length in _LAST_MARKS.iter(low):
-        if length:
-            if end < length or not low[end - length].isalnum():
-                return True
-        elif low[end + 1 : end + 7].lstrip("., \t\u00a0\u2009\u202f")[:1].isdigit():
-            return True
-    return False
+    return _openings(low)[0]
 
 
-def _ids(text: str) -> list[tuple[int, int]]:
+def _ids(text: str, labels: list[int] = ()) -> list[tuple[int, int]]:
     out, done = [], 0
     for d in _ID_DIGITS.finditer(text):
         for at in range(max(done, d.start() - 4), d.start() + 1):
@@ -289,7 +309,7 @@ def _ids(text: str) -> list[tuple[int, int]]:
                 out.append(m.span())
                 done = m.end()
                 break
-    out += [m.span(1) for m in _ID_LABELLED.finditer(text)]
+    out += [m.span(1) for at in labels if (m := _ID_LABELLED.match(text, at))]
     return list(dict.fromkeys(out))
 
 
@@ -379,7 +399,7 @@ def _forward(text: str, at: int, names: Names, least: int) -> tuple[int, int] |
             if m.end() - m.start() > 1:
                 whole += 1
                 end = pos
-        elif count and (m := re.compile(_W).match(text, pos)) and m.group() in _PARTICLE:
+        elif count and (m := _WORD.match(text, pos)) and m.group() in _PARTICLE:
             pos = m.end()
         else:
             break
@@ -393,7 +413,7 @@ def _forward(text: str, at: int, names: Names, least: int) -> tuple[int, int] |
     return at, end
 
 
-def _person(text: str, low: str, names: Names) -> list[tuple[int, int]]:
+def _person(text: str, low: str, names: Names, introductions: list[int]) -> list[tuple[int, int]]:
     if names.marks is None:
         return []
     found: dict[tuple[int, int], None] = {}
@@ -409,9 +429,9 @@ def _person(text: str, low: str, names: Names) -> list[tuple[int, int]]:
             span = None if a and (text[a - 1].isalnum() or text[a - 1] in "_’'-@.+") or not text[a].isupper() else _forward(text, a, names, 2)
         if span:
             found[span] = None
-    for m in _INTRODUCED.finditer(text):
-        span = _forward(text, m.end(), names, 1)
-        if span:
+    for at in introductions:
+        m = _INTRODUCED.match(text, at)
+        if m and (span := _forward(text, m.end(), names, 1)):
             found[span] = None
     return list(found)
 
@@ -482,11 +502,12 @@ def candidates(text: str | None, names: Names) -> list[tuple[int, int, int, str,
     low = _lower(text)
     spans = [(0, a, b) for a, b in _email(text, low)]
     spans += [(1, *m.span()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 8]
-    spans += [(2, a, b) for a, b in _ids(text)]
+    street, labels, introductions = _openings(low)
+    spans += [(2, a, b) for a, b in _ids(text, labels)]
     spans += [(3, *m.span()) for m in _ADDRESS.finditer(text) if not _NO_STREET.intersection(m.group().lower().split())]
-    if _may_end_in_number(low):
+    if street:
         spans += [(3, *m.span()) for m in _ADDRESS_LAST.finditer(text)]
-    spans += [(4, a, b) for a, b in _person(text, low, names)]
+    spans += [(4, a, b) for a, b in _person(text, low, names, introductions)]
     out = []
     for k, a, b in spans:
         w0 = _WORD_BEFORE.search(text, max(0, a - 24), a)
