@@ -104,10 +104,17 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
 
 
 def overlap_semi(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], lspan: Span, rspan: Span, row_id: str, anti: bool = False, slack: int = 0) -> DataFrame:
-    """Left rows that overlap any right row, or none with ``anti``; ``row_id`` identifies a left row."""
-    cols = [c for _, c in keys] + [rspan.start, rspan.end]
-    small = right.select(*(F.col(f"`{c}`").alias(f"__q_{c}") for c in dict.fromkeys(cols))).distinct()
-    hits = overlap_join(left.select(row_id, *dict.fromkeys([*(k for k, _ in keys), lspan.start, lspan.end])), small, [(k, f"__q_{q}") for k, q in keys], lspan, Span(f"__q_{rspan.start}", f"__q_{rspan.end}", rspan.closed), slack)
+    """Left rows that overlap any right row, or none with ``anti``; ``row_id`` identifies a left row.
+
+    Right intervals that overlap are made one first, so that a left row meets each covered stretch
+    once, however deep it is covered.
+    """
+    from loomspan.operators.islands import merge_islands
+
+    rs, re_ = rspan.bounds()
+    own = [f"__q{i}" for i in range(len(keys))]
+    cover = merge_islands(right.select(*(F.col(f"`{q}`").alias(o) for (_, q), o in zip(keys, own)), rs.alias("__qs"), re_.alias("__qe")), own, "__qs", "__qe", -1)
+    hits = overlap_join(left.select(row_id, *dict.fromkeys([*(k for k, _ in keys), lspan.start, lspan.end])), cover.drop("n"), [(k, o) for (k, _), o in zip(keys, own)], lspan, Span("__qs", "__qe"), slack)
     return left.join(hits.select(row_id).distinct(), row_id, "left_anti" if anti else "left_semi")
 
 
@@ -201,16 +208,52 @@ def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str,
     return out.select(row_id, F.col("fid").alias(f"nearest_{fid}"), "distance", "side", (sign * F.col("distance")).cast("bigint").alias("signed"))
 
 
-def flank_neighbours(points: DataFrame, features: DataFrame, keys: list[str], span: Span, row_id: str, fspan: Span, fid: str, flank: int, n: int) -> DataFrame:
-    """The ``n`` closest features per side within ``flank``: row_id, side, rank, fid, distance."""
-    f = features.select(*(F.col(k).alias(f"f_{k}") for k in keys), F.col(fspan.start).alias("f_start"), F.col(fspan.end).alias("f_end"), F.col(fid).alias("f_id"))
-    near = overlap_join(points.select(row_id, *keys, span.start, span.end), f, [(k, f"f_{k}") for k in keys], span, Span("f_start", "f_end", fspan.closed), slack=flank)
+def _ordinals(rows: DataFrame, keys: list[str], at: str, ties: list, shard: int) -> DataFrame:
+    """Adds ``__n``: how many rows with ``__f`` = 1 stand at or before a row in the order of ``at``, ``ties``
+    within the keys. Rows are counted within shards of the axis; what the shards in front hold is added,
+    so that a hot key is spread."""
+    rows = rows.withColumn("__sh", F.floor(F.col(at) / shard))
+    sums = rows.groupBy(*keys, "__sh").agg(F.sum("__f").alias("__c"))
+    before = Window.partitionBy(*keys).orderBy("__sh").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__sh").alias("__ks"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"))
+    on = F.col("__sh") == F.col("__ks")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    here = Window.partitionBy(*keys, "__sh").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("__n", F.sum("__f").over(here)).join(sums, on).withColumn("__n", F.col("__n") + F.col("__b")).drop("__sh", "__ks", "__b", *(f"__k{i}" for i in range(len(keys))))
+
+
+def flank_neighbours(points: DataFrame, features: DataFrame, keys: list[str], span: Span, row_id: str, fspan: Span, fid: str, flank: int, n: int, shard: int = LEVELS[1]) -> DataFrame:
+    """The ``n`` closest features per side less than ``flank`` away: row_id, side, rank, fid, distance.
+
+    Ties go to the least feature id; features that overlap a point's interval don't count. Features are
+    numbered along the axis on either side, and a point asks for the n numbers next to its own: however
+    dense the features are, it meets 2 n of them.
+    """
     s, e = span.bounds()
-    fs, fe = Span("f_start", "f_end", fspan.closed).bounds()
-    side = F.when(fe <= s, "left").when(fs >= e, "right")
-    near = near.withColumn("side", side).where("side is not null").withColumn("distance", F.when(F.col("side") == "left", s - fe).otherwise(fs - e))
-    w = Window.partitionBy(row_id, "side").orderBy("distance", "f_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(row_id, "side", "rank", F.col("f_id").alias(fid), "distance")
+    fs, fe = fspan.bounds()
+    f = features.where(fs.isNotNull() & fe.isNotNull()).select(*keys, fs.alias("__fs"), fe.alias("__fe"), F.col(fid).alias("__id"))
+    p = points.where(s.isNotNull() & e.isNotNull()).select(*keys, F.col(row_id).alias("__row"), s.alias("__ps"), e.alias("__pe"))
+    nobody, noid = F.lit(None).cast(dict(p.dtypes)["__row"]), F.lit(None).cast(dict(f.dtypes)["__id"])
+    out = None
+    for side in ("left", "right"):
+        left = side == "left"
+        # on the left a feature stands at its end and counts for the points at or behind it; on the right it
+        # stands at its start, and counts as passed by the points whose end lies behind it
+        marks = f.select(*keys, F.col("__fe" if left else "__fs").alias("__at"), F.lit(0 if left else 1).alias("__o"), F.lit(1).alias("__f"), nobody.alias("__row"), "__id")
+        asks = p.select(*keys, F.col("__ps" if left else "__pe").alias("__at"), F.lit(1 if left else 0).alias("__o"), F.lit(0).alias("__f"), "__row", noid.alias("__id"))
+        axis = _ordinals(marks.unionByName(asks), keys, "__at", ["__o", F.desc("__id") if left else F.asc("__id")], shard)
+        numbered = axis.where("__f = 1").select(*(F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)), F.col("__n").alias("__mn"), F.col("__at").alias("__mat"), F.col("__id").alias("__mid"))
+        steps = F.sequence(F.lit(0), F.lit(n - 1))
+        wanted = axis.where("__f = 0").select(*keys, "__row", "__at", "__n", F.explode(steps).alias("__i")).withColumn("__want", F.col("__n") - F.col("__i") if left else F.col("__n") + 1 + F.col("__i"))
+        on = F.col("__want") == F.col("__mn")
+        for i, k in enumerate(keys):
+            on = on & (F.col(k) == F.col(f"__m{i}"))
+        distance = F.col("__at") - F.col("__mat") if left else F.col("__mat") - F.col("__at")
+        got = wanted.join(numbered, on).withColumn("distance", distance).where(F.col("distance") < flank)
+        got = got.select(F.col("__row").alias(row_id), F.lit(side).alias("side"), (F.col("__i") + 1).alias("rank"), F.col("__mid").alias(fid), "distance")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def strand_flanks(df: DataFrame, span: Span, strand: str, distance: int) -> DataFrame:

@@ -32,11 +32,24 @@ def ancestral_segments(genes: DataFrame, keys: list[str], order: str, colour: st
 
 def breakpoint_flanks(blocks: DataFrame, windows: DataFrame, window: str, left_kind: str, right_kind: str) -> DataFrame:
     """For a coarse window (chrom, win_start, win_end, left_anc, right_anc): the last block of the left
-    ancestry before its middle and the first block of the right ancestry after, and the class of width."""
-    b = blocks.select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("ancestry").alias("b_anc"))
+    ancestry before its middle and the first block of the right ancestry after, and the class of width.
+
+    Two as-of steps on the axis of a (chromosome, ancestry): running maximum of block ends, running
+    minimum of block starts from behind. Windows without any block of either ancestry are left out.
+    """
     mid = (F.col("win_start") + F.col("win_end")) / 2
-    j = windows.join(b, (F.col("chrom") == F.col("b_chrom")) & F.col("b_anc").isin(F.col(left_kind), F.col(right_kind)))
-    g = j.groupBy(window).agg(F.max(F.when((F.col("b_anc") == F.col(left_kind)) & (F.col("b_end") <= mid), F.col("b_end"))).alias("left_end"), F.min(F.when((F.col("b_anc") == F.col(right_kind)) & (F.col("b_start") >= mid), F.col("b_start"))).alias("right_start"))
+    no = F.lit(None).cast(dict(windows.dtypes)[window])
+
+    def as_of(edge: str, kind: str, name: str, up: bool) -> DataFrame:
+        marks = blocks.where(F.col(edge).isNotNull()).select("chrom", F.col("ancestry").alias("__anc"), F.col(edge).cast("double").alias("__at"), F.lit(0).alias("__o"), F.col(edge).alias("__v"), no.alias("__w"))
+        asks = windows.select("chrom", F.col(kind).alias("__anc"), mid.alias("__at"), F.lit(1).alias("__o"), F.lit(None).cast(blocks.schema[edge].dataType).alias("__v"), F.col(window).alias("__w"))
+        w = Window.partitionBy("chrom", "__anc").orderBy(F.col("__at") if up else F.desc("__at"), "__o").rowsBetween(Window.unboundedPreceding, 0)
+        # some block of the ancestry anywhere on the chromosome
+        some = F.max("__v").over(Window.partitionBy("chrom", "__anc")).isNotNull()
+        both = marks.unionByName(asks).withColumns({name: (F.max if up else F.min)("__v").over(w), f"__{name}": some})
+        return both.where("__o = 1 and __w is not null").select(F.col("__w").alias(window), name, f"__{name}")
+
+    g = as_of("end", left_kind, "left_end", True).join(as_of("start", right_kind, "right_start", False), window).where("__left_end or __right_start").drop("__left_end", "__right_start")
     width = F.col("right_start") - F.col("left_end")
     return g.withColumn("width_class", F.when(width.isNull(), "open").when(width <= 10_000, "narrow").when(width <= 100_000, "medium").otherwise("wide"))
 

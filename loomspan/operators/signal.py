@@ -73,10 +73,16 @@ def zip_windows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("__ok", ok).where(F.col("__ok").isNull()).drop("__a", "__b", "__ok")
 
 
+def _cover(regions: DataFrame, key: str, span: Span) -> DataFrame:
+    """Disjoint stretches (__k, __rs, __re) that the regions cover."""
+    s, e = span.bounds()
+    return merge_islands(regions.select(F.col(key).alias("__k"), s.alias("__rs"), e.alias("__re")).where("__rs < __re"), ["__k"], "__rs", "__re").drop("n")
+
+
 def share_in_regions(points: DataFrame, regions: DataFrame, key: tuple[str, str], pos: str, rspan: Span, row_id: str) -> DataFrame:
     """One row: points, those inside any region, and their share."""
     p = points.select(row_id, key[0], F.col(pos).alias("__p"), (F.col(pos) + 1).alias("__p1"))
-    inside = overlap_join(p, regions.select(F.col(key[1]).alias("__k"), rspan.start, rspan.end).distinct(), [(key[0], "__k")], Span("__p", "__p1"), rspan).select(row_id).distinct().withColumn("__in", F.lit(1))
+    inside = overlap_join(p, _cover(regions, key[1], rspan), [(key[0], "__k")], Span("__p", "__p1"), Span("__rs", "__re")).select(row_id).distinct().withColumn("__in", F.lit(1))
     return p.join(inside, row_id, "left").agg(F.count(F.lit(1)).alias("points"), F.count("__in").alias("inside"), (F.count("__in") / F.count(F.lit(1))).alias("share"))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +21,57 @@ def nearest_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
+def running_totals(counts: DataFrame, keys: list[str], value: str, count: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``count`` over the rows of the keys up to the row's ``value``.
+
+    Rows (one per keys and value) are range-partitioned and summed within a partition; sums of the
+    partitions in front are added. So no task gets all values of a key, nor all rows where there is none.
+    """
+    from loomspan.runtime import Stored
+
+    ranged = counts.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id())
+    kept = Stored(ranged, "ranged").df
+    here = Window.partitionBy("__p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    parts = kept.groupBy("__p", *keys).agg(F.sum(count).alias("__c"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("__p").alias("__q"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"))
+    on = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    summed = kept.withColumn(out, F.sum(count).over(here)).join(parts, on)
+    return summed.withColumn(out, F.col(out) + F.col("__b")).drop("__p", "__q", "__b", *(f"__k{i}" for i in range(len(keys))))
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation at (n - 1) * q per keys, one column per entry of ``qs``.
+
+    Values are counted first; the two values around a quantile are then found by running counts, so
+    that no task holds the values of a group. Groups without values give no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running_totals(counts, keys, value, "__c", "__u")
+    n = ranked.groupBy(*(F.col(k).alias(f"__g{i}") for i, k in enumerate(keys))).agg(F.max("__u").alias("__n"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    met = ranked.join(n, on) if keys else ranked.join(F.broadcast(n))
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("__u") - F.col("__c") <= index) & (index < F.col("__u")), F.col(value).cast("double")))
+
+    aggs = []
+    for name, q in qs.items():
+        pos = (F.col("__n") - 1) * F.lit(q)
+        aggs += [at(F.floor(pos)).alias(f"__lo_{name}"), at(F.ceil(pos)).alias(f"__hi_{name}"), F.max(pos - F.floor(pos)).alias(f"__w_{name}")]
+    out = met.groupBy(*keys).agg(*aggs) if keys else met.agg(*aggs)
+    return out.select(*keys, *((F.col(f"__lo_{x}") + (F.col(f"__hi_{x}") - F.col(f"__lo_{x}")) * F.col(f"__w_{x}")).alias(x) for x in qs))
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
-    """Adds the mean rank of ties. Distinct values are counted first, so that the running sum, not the
-    rows, passes a group's window; the ranks come back by a join on (keys, value)."""
+    """Adds the mean rank of ties. Distinct values are counted and summed up in ranges; the ranks come
+    back by a join on (keys, value)."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(name, F.sum("__c").over(w) - (F.col("__c") - 1) / 2.0).drop("__c")
+    ranks = running_totals(counts, keys, value, "__c", name).withColumn(name, F.col(name) - (F.col("__c") - 1) / 2.0).drop("__c")
     return df.join(ranks, [*keys, value], "left") if not keys else df.join(ranks, [*keys, value])
 
 
@@ -63,8 +113,7 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, first: str, second:
     correction, and the two-sided normal p. A key with one group only gets null z and p."""
     rows = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
     counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(group) == first).alias("a"), F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("r", F.sum("c").over(w) - (F.col("c") - 1) / 2.0)
+    ranked = running_totals(counts, keys, value, "c", "u").withColumn("r", F.col("u") - (F.col("c") - 1) / 2.0)
     g = ranked.groupBy(*keys).agg(F.sum("a").alias("n1"), (F.sum("c") - F.sum("a")).alias("n2"), F.sum(F.col("a") * F.col("r")).alias("__r1"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("__t"))
     n = F.col("n1") + F.col("n2")
     u = F.col("__r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
@@ -74,25 +123,91 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, first: str, second:
     return g.withColumns({"u": u, "z": z}).withColumn("p", F.least(erfc(F.col("z") / F.lit(2.0**0.5)), F.lit(1.0))).drop("__r1", "__t")
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """95 % interval of the mean by Poisson resampling: every row weighs Poisson(1) in every round.
+#: Rows of a batch that are weighed at once: a batch takes so many times the rounds in memory.
+BOOT_ROWS = 512
+# fixed values: the multipliers of the splitmix64 generator
+_GOLDEN, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-    Rounds are aggregated per partition before the shuffle, so only (keys, round) sums travel.
-    """
-    r = df.where(F.col(value).isNotNull()).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.rand(seed)
-    # inverse of the Poisson(1) distribution function
-    cuts, p, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
+
+def _poisson_cuts(most: int = 8) -> list[float]:
+    """Distribution function of Poisson(1) at 0 to ``most`` - 1."""
+    cuts, p, term = [], 0.0, math.exp(-1)
+    for k in range(most):
         p += term
         cuts.append(p)
         term /= k + 1
-    r = r.withColumn("__u", u)
-    weight = F.lit(8)
-    for k in reversed(range(8)):
-        weight = F.when(F.col("__u") < cuts[k], k).otherwise(weight)
-    means = r.withColumn("__w", weight).groupBy(*keys, "__round").agg(F.try_divide(F.sum(F.col(value) * F.col("__w")), F.sum("__w")).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    return cuts
+
+
+def _weights(ident: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """Poisson(1) weight of each row (uint64 ident) in each round, from splitmix64 of ident, seed and round."""
+    with np.errstate(over="ignore"):
+        start = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(_GOLDEN) + np.uint64(seed) * np.uint64(_MIX2)
+        z = ident[:, None] * np.uint64(_MIX1) + start[None, :]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(_MIX1)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(_MIX2)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(_poisson_cuts(), (z >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+def bootstrap_sums(df: DataFrame, keys: list[str], ident: list[str], values: list[str], rounds: int, seed: int = 1) -> DataFrame:
+    """Sums of Poisson resampling: keys, ``round`` (from 1), ``w`` and, per value and per pair of values in
+    order, ``s_<i>`` and ``s_<i>_<j>``.
+
+    A row's weight in a round is Poisson(1), from a hash of ``ident``, the columns that tell rows apart,
+    so it is the same in every run and partitioning. A task adds all rounds of its rows up as arrays; one
+    row per keys, round and task travels. Rows with a null value don't count.
+    """
+    own = [f"k{i}" for i in range(len(keys))]
+    types = dict(df.dtypes)
+    number = F.col(ident[0]).cast("bigint") if len(ident) == 1 and types[ident[0]] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(*ident)
+    base = df.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), number.alias("id"), *(F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values))).dropna(subset=[f"v{i}" for i in range(len(values))])
+    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for part in parts:
+            groups = part.groupby(own, dropna=False, sort=False).indices.items() if own else [((), np.arange(len(part)))]
+            ids = part["id"].to_numpy().astype(np.int64).view(np.uint64)
+            vals = np.stack([part[f"v{i}"].to_numpy(dtype=float) for i in range(len(values))])
+            for key, rows in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                total = sums.setdefault(tuple(None if k != k else k for k in key), np.zeros((1 + len(values) + len(pairs), rounds)))
+                for at in range(0, len(rows), BOOT_ROWS):
+                    r = rows[at : at + BOOT_ROWS]
+                    x = vals[:, r]
+                    total += np.vstack([np.ones(len(r)), x, *(x[i] * x[j] for i, j in pairs)]) @ _weights(ids[r], rounds, seed)
+        for key, total in sums.items():
+            out = {o: [k] * rounds for o, k in zip(own, key)}
+            out["round"] = np.arange(1, rounds + 1)
+            yield pd.DataFrame({**out, **{c: total[i] for i, c in enumerate(names)}})
+
+    names = ["w", *(f"s_{i}" for i in range(len(values))), *(f"s_{i}_{j}" for i, j in pairs)]
+    kinds = dict(base.dtypes)
+    ddl = "".join(f"{o} {kinds[o]}, " for o in own) + "round int, " + ", ".join(f"{n} double" for n in names)
+    summed = base.mapInPandas(run, ddl).groupBy(*own, "round").agg(*(F.sum(n).alias(n) for n in names))
+    return summed.select(*(F.col(o).alias(k) for o, k in zip(own, keys)), "round", *names)
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 1000, seed: int = 1, ident: list[str] | None = None) -> DataFrame:
+    """95 % interval of the mean by Poisson resampling: keys, ``lo``, ``hi``; see ``bootstrap_sums``.
+
+    ``ident`` names the columns that tell rows apart, by default all.
+    """
+    sums = bootstrap_sums(df, keys, ident or df.columns, [value], rounds, seed).withColumn("m", F.try_divide("s_0", "w"))
+    return sums.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+
+
+def bootstrap_distance(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 1000, seed: int = 1, ident: list[str] | None = None) -> DataFrame:
+    """Pearson distance of every group, by compartment or whatever the keys are, with its resampling:
+    keys, ``n``, ``distance``, ``mean``, ``lo`` and ``hi`` of the rounds, and ``rounds``, those where both sides vary."""
+    sums = bootstrap_sums(df, keys, ident or df.columns, [x, y], rounds, seed)
+    w, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("w", "s_0", "s_1", "s_0_0", "s_0_1", "s_1_1"))
+    vx, vy = sxx / w - (sx / w) * (sx / w), syy / w - (sy / w) * (sy / w)
+    d = F.when((w > 1) & (vx > 1e-12 * F.abs(sxx / w)) & (vy > 1e-12 * F.abs(syy / w)), 1.0 - (sxy / w - sx * sy / (w * w)) / F.sqrt(vx * vy))
+    boot = sums.withColumn("d", d).groupBy(*keys).agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), F.count("d").alias("rounds"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson_distance(x, y).alias("distance"))
+    return known.join(boot, keys) if keys else known.join(F.broadcast(boot))
 
 
 def empirical_p(df: DataFrame, keys: list[str], random_value: str, observed: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +49,59 @@ def priority_bp(df: DataFrame, keys: list[str], cls: str, start: str, end: str,
 
 def paint(df: DataFrame, regions: DataFrame, region: str, rstart: str, rend: str, start: str, end: str, cls: str, order: list[str], rest: str = "Others") -> DataFrame:
     """First writer wins: every position of a region belongs to the first interval, in ``order``, that
-    covers it, unpainted ones to ``rest``. Result: region, cls, bp.
+    covers it, unpainted ones to ``rest``. Result: region, cls, bp. Intervals of one order go by class.
 
-    Works on elementary segments; the owner of a segment is the least (order, cls) of the intervals
-    over it. ``df`` carries the region's name.
+    Regions are cut into shards; of intervals that cover the same part of a shard only the first can
+    own it, so only that one goes on. A sweep over the sorted parts of a shard keeps the open ones in a
+    heap; a part is pushed and popped once. ``df`` carries the region's name.
     """
-    clip = df.join(regions.select(region, F.col(rstart).alias("__a"), F.col(rend).alias("__b")), region).withColumns({"__s": F.greatest(F.col(start), F.col("__a")), "__e": F.least(F.col(end), F.col("__b"))}).where("__s < __e")
-    cuts = clip.select(region, F.explode(F.array("__s", "__e")).alias("pos")).unionByName(regions.select(region, F.explode(F.array(F.col(rstart), F.col(rend))).alias("pos"))).distinct()
-    w = Window.partitionBy(region).orderBy("pos")
-    seg = cuts.withColumn("to", F.lead("pos").over(w)).where("to is not null")
-    cover = clip.select(F.col(region).alias("__r"), "__s", "__e", F.struct(*order, cls).alias("__k"))
-    owned = seg.join(cover, (F.col(region) == F.col("__r")) & (F.col("__s") <= F.col("pos")) & (F.col("to") <= F.col("__e")), "left").groupBy(region, "pos", "to").agg(F.min("__k").alias("k"))
-    return owned.groupBy(region, F.coalesce(F.col(f"k.{cls}"), F.lit(rest)).alias(cls)).agg(F.sum(F.col("to") - F.col("pos")).alias("bp"))
+    bounds = regions.select(F.col(region).alias("__r"), F.col(rstart).cast("bigint").alias("__a"), F.col(rend).cast("bigint").alias("__b")).where("__a < __b")
+    clip = df.join(bounds, F.col(region) == F.col("__r")).select("__r", F.greatest(F.col(start), F.col("__a")).cast("bigint").alias("__s"), F.least(F.col(end), F.col("__b")).cast("bigint").alias("__e"), F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), F.col(cls).alias("c")).alias("__k")).where("__s < __e")
+    cells = shard_cells(clip, ["__r"], "__s", "__e", keep=["__k"]).groupBy("__r", "__shard", "__lo", "__hi").agg(F.min("__k").alias("__k"))
+    rank = F.row_number().over(Window.partitionBy("__r", "__shard").orderBy("__k"))
+    cells = cells.select("__r", "__shard", "__lo", "__hi", rank.alias("__rank"), F.col("__k.c").alias("__c")).repartition("__r", "__shard").sortWithinPartitions("__r", "__shard", "__lo")
+
+    def sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, heap, at, bp = None, [], 0, {}
+
+        def until(pos: float) -> None:
+            """Give the stretch up to ``pos`` to its owners."""
+            nonlocal at
+            while heap and at < pos:
+                rank, hi, c = heap[0]
+                if hi <= at:
+                    heapq.heappop(heap)
+                    continue
+                to = min(hi, pos)
+                bp[c] = bp.get(c, 0) + to - at
+                at = to
+
+        def rows() -> pd.DataFrame:
+            until(float("inf"))
+            heap.clear()
+            return pd.DataFrame({"r": [key[0]] * len(bp), "c": list(bp), "bp": [int(v) for v in bp.values()]})
+
+        for part in parts:
+            done = []
+            for r, shard, lo, hi, rank, c in zip(*(part[x].tolist() for x in part.columns)):
+                if (r, shard) != key:
+                    if key is not None:
+                        done.append(rows())
+                    key, at, bp = (r, shard), lo, {}
+                until(lo)
+                at = max(at, lo)
+                heapq.heappush(heap, (rank, hi, c))
+            if done:
+                yield pd.concat(done)
+        if key is not None:
+            yield rows()
+
+    types = dict(cells.dtypes)
+    owned = cells.mapInPandas(sweep, f"r {types['__r']}, c {types['__c']}, bp bigint").groupBy("r", "c").agg(F.sum("bp").alias("bp"))
+    whole = bounds.groupBy("__r").agg(F.sum(F.col("__b") - F.col("__a")).alias("__w"))
+    painted = owned.groupBy("r").agg(F.sum("bp").alias("__p"))
+    left = whole.join(painted, F.col("__r") == F.col("r"), "left").select(F.col("__r").alias("r"), F.lit(rest).alias("c"), (F.col("__w") - F.coalesce("__p", F.lit(0))).alias("bp")).where("bp > 0")
+    return owned.unionByName(left).groupBy(F.col("r").alias(region), F.coalesce("c", F.lit(rest)).alias(cls)).agg(F.sum("bp").alias("bp"))
 
 
 def dominant_class(df: DataFrame, keys: list[str], cls: str, bp: str, order: list[str]) -> DataFrame:

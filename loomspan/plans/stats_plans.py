@@ -23,7 +23,9 @@ def r(c, digits: int = 9):
 
 def grouped_quantiles(spark, d):
     li = table(spark, d, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_extendedprice"), 4).alias("mean"), T.linear_quantile("l_extendedprice", 0.25).alias("q25"), T.linear_quantile("l_extendedprice", 0.5).alias("q50"), T.linear_quantile("l_extendedprice", 0.9).alias("q90"))
+    keys = ["l_returnflag", "l_linestatus"]
+    means = li.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_extendedprice"), 4).alias("mean"))
+    return means.join(T.group_quantiles(li, keys, "l_extendedprice", {"q25": 0.25, "q50": 0.5, "q90": 0.9}), keys)
 
 
 def nearest_rank(spark, d):
@@ -56,7 +58,16 @@ def mann_whitney_p(spark, d):
 
 
 def bootstrap_mean(spark, d):
-    return T.bootstrap_mean(table(spark, d, "events"), ["event_type"], "value", 200, 7)
+    """Means of 60 rounds; which row weighs how much in which round follows from its id."""
+    out = T.bootstrap_mean(table(spark, d, "events"), ["event_type"], "value", 60, 7, ["event_id"])
+    return out.select("event_type", r("lo", 6).alias("lo"), r("hi", 6).alias("hi"))
+
+
+def bootstrap_distance(spark, d):
+    """Distance of quantity and price per line status and return flag, with its resampling."""
+    li = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    out = T.bootstrap_distance(li, ["l_linestatus", "l_returnflag"], "l_quantity", "l_extendedprice", 20, 3, ["id"])
+    return out.select("l_linestatus", "l_returnflag", "n", *(r(x, 6).alias(x) for x in ("distance", "mean", "lo", "hi")), "rounds")
 
 
 def empirical_p(spark, d):
@@ -416,6 +427,21 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else f"'{x}'" for x in row)]) + ")" for i, row in enumerate(rows))
 
 
+def _boot(rows: str, cols: str, rounds: int, seed: int) -> str:
+    """Rows b: each row in each round r, with its Poisson(1) weight w by splitmix64 of id, seed and round."""
+    m, g, a, c = 2**64, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+    cuts, p = [], 0.0
+    for k in range(8):
+        p += math.exp(-1) / math.factorial(k)
+        cuts.append(p)
+    weight = " + ".join(f"CAST(u >= CAST({x!r} AS DOUBLE) AS INTEGER)" for x in cuts)
+    u = lambda x: f"CAST({x} AS UHUGEINT)"
+    return f"""WITH q AS ({rows}), r AS (SELECT *, CAST(unnest(range(1, {rounds + 1})) AS UHUGEINT) AS r FROM q),
+z0 AS (SELECT *, CAST((id * {u(a)} % {u(m)} + r * {u(g)} % {u(m)} + {u(seed)} * {u(c)} % {u(m)}) % {u(m)} AS UBIGINT) AS z FROM r),
+z1 AS (SELECT * REPLACE (CAST({u("xor(z, z >> 30)")} * {u(a)} % {u(m)} AS UBIGINT) AS z) FROM z0), z2 AS (SELECT * REPLACE (CAST({u("xor(z, z >> 27)")} * {u(c)} % {u(m)} AS UBIGINT) AS z) FROM z1),
+z3 AS (SELECT *, CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992 AS u FROM z2), b AS (SELECT {cols}, r, {weight} AS w FROM z3)"""
+
+
 _RANK = "rank() OVER (PARTITION BY {p} ORDER BY {c}) + (count(*) OVER (PARTITION BY {p}, {c}) - 1) / 2.0::DOUBLE"
 _SEQ = "q AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[ACGTN]{60,}')) AS s FROM documents WHERE text IS NOT NULL)"
 _AA = "WITH " + _SEQ + ", c AS (SELECT doc_id, s, unnest(list_transform(range(1, length(s) // 3 + 1), lambda i: substring(s, 3 * i - 2, 3))) AS c, unnest(range(1, length(s) // 3 + 1)) AS i FROM q)"
@@ -430,6 +456,12 @@ SQL = {
     "mann_whitney": f"""WITH k AS (SELECT *, {_RANK.format(p='l_linestatus', c='l_quantity')} AS r, count(*) OVER (PARTITION BY l_linestatus, l_quantity) AS t FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity IS NOT NULL),
       g AS (SELECT l_linestatus, count(*) FILTER (l_returnflag = 'A') AS n1, count(*) FILTER (l_returnflag = 'R') AS n2, sum(r) FILTER (l_returnflag = 'A') AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties, count(*) AS n FROM k GROUP BY 1),
       u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u FROM g) SELECT l_linestatus, n1, n2, round(u, 3) AS u, round(greatest(abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5, 0) / sqrt(n1 * n2 / 12.0::DOUBLE * ((n + 1) - ties / (CAST(n AS DOUBLE) * (n - 1)))), 8) AS z FROM u""",
+    "bootstrap_mean": _boot("SELECT event_type, CAST(event_id AS UHUGEINT) AS id, value AS v FROM events WHERE value IS NOT NULL", "event_type, v", 60, 7) + ", m AS (SELECT event_type, r, sum(w * v) / nullif(sum(w), 0) AS m FROM b GROUP BY ALL) SELECT event_type, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY 1",
+    "bootstrap_distance": _boot("SELECT l_linestatus, l_returnflag, CAST(l_orderkey * 100 + l_linenumber AS UHUGEINT) AS id, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL", "l_linestatus, l_returnflag, x, y", 20, 3) + """,
+      s AS (SELECT l_linestatus, l_returnflag, r, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS xx, sum(w * x * y) / sum(w) AS xy, sum(w * y * y) / sum(w) AS yy FROM b GROUP BY ALL),
+      d AS (SELECT l_linestatus, l_returnflag, 1 - (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS d FROM s), e AS (SELECT l_linestatus, l_returnflag, avg(d) AS mean, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, count(d) AS rounds FROM d GROUP BY ALL),
+      k AS (SELECT l_linestatus, l_returnflag, count(*) AS n, 1 - corr(l_quantity, l_extendedprice) AS distance FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY ALL)
+      SELECT l_linestatus, l_returnflag, n, round(distance, 6) AS distance, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, rounds FROM k JOIN e USING (l_linestatus, l_returnflag)""",
     "empirical_p": "SELECT l_suppkey, count(*) FILTER (l_extendedprice >= 30000) AS ge, count(*) AS n, round((count(*) FILTER (l_extendedprice >= 30000) + 1) / (count(*) + 1), 9) AS p, round((30000 - avg(l_extendedprice)) / stddev_pop(l_extendedprice), 6) AS z, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1",
     "histogram": "SELECT l_returnflag, CAST(CASE WHEN l_extendedprice = 100000 THEN 19 ELSE floor(l_extendedprice / 5000) END AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY ALL",
     "kde": "WITH v AS (SELECT l_returnflag, l_quantity AS v, count(*) AS c FROM lineitem GROUP BY ALL), x AS (SELECT CAST(unnest(range(0, 51)) AS DOUBLE) AS x) SELECT l_returnflag, x, round(sum(c * exp(-0.5 * ((x - v) / 2) ** 2)) / sum(c) / (2 * sqrt(2 * pi())), 9) AS density FROM v, x GROUP BY ALL",
