@@ -57,10 +57,11 @@ def _rounds(edges: DataFrame, max_rounds: int) -> Stored:
         e = kept.df
         least = e.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
         heavy = heavy_values(e, "hi", "lo")
+        heavy = sorted({*heavy["hi"], *heavy["lo"]})  # one broadcast serves both lookups
         # what a vertex with lower neighbours sends down: m to each of them
-        down = spread_lookup(e, "hi", least, "v", "m", "m", heavy["hi"], F.xxhash64("lo"))
+        down = spread_lookup(e, "hi", least, "v", "m", "m", heavy, F.xxhash64("lo"))
         # what it sends up: m to each higher neighbour; edges to a local minimum stay
-        up = spread_lookup(down, "lo", least, "v", "m", "m_lo", heavy["lo"], F.xxhash64("hi"))
+        up = spread_lookup(down, "lo", least, "v", "m", "m_lo", heavy, F.xxhash64("hi"))
         sent = up.select(
             F.inline(
                 F.array(
