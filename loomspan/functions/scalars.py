@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -279,3 +281,9 @@ def translocation_type(svtype: Column) -> Column:
 
 def passes(filt: Column) -> Column:
     return F.coalesce(filt.isin("PASS", "."), F.lit(False))
+
+
+def command_text(template: str) -> Column:
+    """A text from a template with columns in braces, as in 'run -i {file} -o {sample}.out'; a null column is empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(F.col(p).cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))

@@ -28,9 +28,10 @@ class Span:
     closed: bool = False
 
     def bounds(self) -> tuple[Column, Column]:
-        """Half-open bounds with reversed coordinates swapped."""
+        """Half-open bounds with reversed coordinates swapped; null if either is."""
         a, b = F.col(f"`{self.start}`").cast("bigint"), F.col(f"`{self.end}`").cast("bigint")
-        return F.least(a, b), F.greatest(a, b) + (1 if self.closed else 0)
+        known = a.isNotNull() & b.isNotNull()
+        return F.when(known, F.least(a, b)), F.when(known, F.greatest(a, b) + (1 if self.closed else 0))
 
 
 def normalise(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -326,3 +326,79 @@ def threshold_grid(df: DataFrame, keys: list[str], settings: list[tuple[float, f
     n = len(settings)
     both = sum(((F.col(f"__f{i}") > 0) & (F.col(f"__r{i}") > 0)).cast("int") for i in range(n))
     return g.select(*keys, *(label(i).alias(f"support_{i}") for i in range(n)), both.alias("settings_both"))
+
+
+def _linkage_order(names: list, d: np.ndarray) -> list:
+    """Leaves of the average-linkage tree of a distance matrix, by nearest-neighbour chains."""
+    n = len(names)
+    d = d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, alive, merges, chain = np.ones(n), np.ones(n, dtype=bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            x = chain[-1]
+            row = np.where(alive, d[x], np.inf)
+            row[x] = np.inf
+            y = chain[-2] if len(chain) > 1 and row[chain[-2]] == row.min() else int(row.argmin())
+            if len(chain) > 1 and y == chain[-2]:
+                break
+            chain.append(y)
+        chain = chain[:-2]
+        merges.append((d[x, y], min(x, y), max(x, y)))
+        mean = (size[x] * d[x] + size[y] * d[y]) / (size[x] + size[y])
+        keep, gone = max(x, y), min(x, y)
+        d[keep], d[:, keep] = mean, mean
+        d[keep, keep] = np.inf
+        size[keep] += size[gone]
+        alive[gone] = False
+    # merges in order of height get the numbers n, n + 1, ...; the lower number is the left child
+    top = {i: i for i in range(n)}
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    children = []
+    for i, (_, x, y) in enumerate(sorted(merges, key=lambda m: m[0])):
+        a, b = root(x), root(y)
+        children.append(sorted((top[a], top[b])))
+        parent[a] = b
+        top[b] = n + i
+    order, todo = [], [n + len(children) - 1 if children else 0]
+    while todo:
+        at = todo.pop()
+        if at < n:
+            order.append(names[at])
+        else:
+            left, right = children[at - n]
+            todo += [right, left]
+    return order
+
+
+def leaf_order(pairs: DataFrame, a: str, b: str, distance: str, most: int = 2000) -> DataFrame:
+    """Order of the leaves of the average-linkage tree of one matrix: (leaf, pos), pos from 1.
+
+    ``pairs`` gives a distance once per unordered pair, in either direction; a missing pair has the
+    greatest distance. The matrix is a stated, small set of at most ``most`` names, else an error, and
+    is clustered by one task. Equal heights go by the names' order.
+    """
+    kind = dict(pairs.dtypes)[a]
+    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(distance).cast("double").alias("d"))
+    names = known.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+    if names.limit(most + 1).count() > most:
+        raise ValueError(f"a matrix of over {most} names")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["a"], *pdf["b"]})
+        at = {x: i for i, x in enumerate(names)}
+        d = np.full((len(names), len(names)), pdf["d"].max())
+        i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
+        d[i, j] = d[j, i] = pdf["d"].to_numpy()
+        order = _linkage_order(names, d)
+        return pd.DataFrame({"leaf": order, "pos": range(1, len(order) + 1)})
+
+    return known.groupBy().applyInPandas(run, f"leaf {kind}, pos int")

@@ -107,6 +107,18 @@ def size_frequencies(spark, d):
     return T.size_frequencies(e, "len", "n", 12).withColumn("share", r("share").alias("share"))
 
 
+def leaf_order(spark, d):
+    """Nations in the order of the tree of their mean balances."""
+    m = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("v"))
+    pairs = R.unordered_pairs(m.withColumn("k", F.lit(1)), ["k"], "c_nationkey")
+    return T.leaf_order(pairs.select(F.col("l.c_nationkey").alias("a"), F.col("r.c_nationkey").alias("b"), F.abs(F.col("l.v") - F.col("r.v")).alias("d")), "a", "b", "d")
+
+
+def command_text(spark, d):
+    c = table(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", "chrom", "start", "vcf").distinct()
+    return c.select(S.command_text("genotype -r {chrom}:{start} -i {vcf} -o {chunk_id}.vcf").alias("line"))
+
+
 def consensus(spark, d):
     """Majority base per column of the bases named in the texts of each source."""
     docs = table(spark, d, "documents").where("source is not null and text is not null").withColumn("seq", F.explode(F.regexp_extract_all("text", F.lit("([ACGTN]{60,})"), F.lit(1))))
@@ -462,6 +474,7 @@ SQL = {
       d AS (SELECT l_linestatus, l_returnflag, 1 - (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS d FROM s), e AS (SELECT l_linestatus, l_returnflag, avg(d) AS mean, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, count(d) AS rounds FROM d GROUP BY ALL),
       k AS (SELECT l_linestatus, l_returnflag, count(*) AS n, 1 - corr(l_quantity, l_extendedprice) AS distance FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY ALL)
       SELECT l_linestatus, l_returnflag, n, round(distance, 6) AS distance, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, rounds FROM k JOIN e USING (l_linestatus, l_returnflag)""",
+    "command_text": """SELECT 'genotype -r ' || coalesce(chrom, '') || ':' || coalesce(CAST(start AS VARCHAR), '') || ' -i ' || coalesce(vcf, '') || ' -o ' || chunk_id || '.vcf' AS line FROM (SELECT DISTINCT chunk_id, chrom, "start" AS start, vcf FROM chunks WHERE chunk_id IS NOT NULL)""",
     "empirical_p": "SELECT l_suppkey, count(*) FILTER (l_extendedprice >= 30000) AS ge, count(*) AS n, round((count(*) FILTER (l_extendedprice >= 30000) + 1) / (count(*) + 1), 9) AS p, round((30000 - avg(l_extendedprice)) / stddev_pop(l_extendedprice), 6) AS z, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1",
     "histogram": "SELECT l_returnflag, CAST(CASE WHEN l_extendedprice = 100000 THEN 19 ELSE floor(l_extendedprice / 5000) END AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY ALL",
     "kde": "WITH v AS (SELECT l_returnflag, l_quantity AS v, count(*) AS c FROM lineitem GROUP BY ALL), x AS (SELECT CAST(unnest(range(0, 51)) AS DOUBLE) AS x) SELECT l_returnflag, x, round(sum(c * exp(-0.5 * ((x - v) / 2) ** 2)) / sum(c) / (2 * sqrt(2 * pi())), 9) AS density FROM v, x GROUP BY ALL",

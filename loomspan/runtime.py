@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,18 @@ class Stored:
 _LEFT: list[Stored] = []
 
 
+@contextmanager
+def stored_scope() -> Iterator[None]:
+    """Intermediate tables written within the block are deleted when it ends, and not only when the
+    process does: for long sessions. Results that read them must be consumed or written inside."""
+    before = list(_LEFT)
+    try:
+        yield
+    finally:
+        for stored in [x for x in _LEFT if not any(x is y for y in before)]:
+            stored.drop()
+
+
 def _drop_left() -> None:
     for stored in list(_LEFT):
         try:

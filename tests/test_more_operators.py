@@ -163,3 +163,103 @@ def test_nearest_of_intervals(spark):
     f = spark.createDataFrame([("f1", "c", 10, 20, "+"), ("f2", "c", 60, 70, "-"), ("f3", "c", 90, 95, "+")], "f string, k string, fs bigint, fe bigint, st string")
     got = {r["id"]: (r["nearest_f"], r["distance"], r["side"], r["signed"]) for r in I.nearest(p, f, ["k"], "s", "id", I.Span("fs", "fe"), "f", "st", point_end="e").collect()}
     assert got == {"in": ("f1", 0, "inside", 0), "left": ("f2", 6, "left", -6), "right": ("f3", 3, "right", -3), "tie": ("f2", 7, "left", -7), "cover": ("f1", 0, "inside", 0), "none": (None, None, None, None)}
+
+
+def upgma(names, d):
+    """Leaves of the tree by the plain procedure: the closest two clusters merge."""
+    groups = {i: [i] for i in range(len(names))}
+    tree, nxt = {}, len(names)
+    while len(groups) > 1:
+        _, a, b = min((sum(d[i][j] for i in groups[a] for j in groups[b]) / len(groups[a]) / len(groups[b]), a, b) for a in groups for b in groups if a < b)
+        tree[nxt] = (a, b)
+        groups[nxt] = groups.pop(a) + groups.pop(b)
+        nxt += 1
+
+    def walk(x):
+        return [names[x]] if x < len(names) else walk(tree[x][0]) + walk(tree[x][1])
+
+    return walk(nxt - 1)
+
+
+def test_leaf_order(spark):
+    rng = random.Random(8)
+    for n in (2, 3, 9, 25):
+        pos = [(rng.random(), rng.random()) for _ in range(n)]
+        d = [[math.dist(p, q) for q in pos] for p in pos]
+        names = [f"n{i:02d}" for i in range(n)]
+        pairs = [(names[i], names[j], d[i][j]) if rng.random() < 0.5 else (names[j], names[i], d[i][j]) for i in range(n) for j in range(i)]
+        got = T.leaf_order(spark.createDataFrame(pairs, "a string, b string, d double"), "a", "b", "d").orderBy("pos").collect()
+        assert [r["leaf"] for r in got] == upgma(names, d)
+    with pytest.raises(ValueError):
+        T.leaf_order(spark.createDataFrame(pairs, "a string, b string, d double"), "a", "b", "d", 5)
+
+
+def test_stored_scope(spark, tmp_path):
+    from loomspan import runtime
+
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    outer = runtime.Stored(df, "outer")
+    with runtime.stored_scope():
+        inner = runtime.Stored(df, "inner")
+        assert inner.df.count() == 1
+    assert outer in runtime._LEFT and inner not in runtime._LEFT and outer.df.count() == 1
+    outer.drop()
+
+
+def test_paint_by_positions(spark):
+    rng = random.Random(5)
+    from loomspan.operators import sweep as W
+
+    regions = [("r1", 10, 90), ("r2", 0, 30), ("empty", 5, 5), ("bare", 3, 8)]
+    its = [(rng.choice(["r1", "r2", "zz"]), a, a + rng.randint(0, 30), rng.choice(["x", "y", None]), rng.choice([1, 2, 3, None])) for a in (rng.randint(0, 100) for _ in range(60))]
+    want = {}
+    for r, s, e in regions:
+        for p in range(s, e):
+            over = [((o is not None, o or 0), (c is not None, c or "")) for q, a, b, c, o in its if q == r and a <= p < b]
+            c = min(over)[1][1] if over else "Others"
+            c = c or "Others"
+            want[(r, c)] = want.get((r, c), 0) + 1
+    df = spark.createDataFrame(its, "reg string, a bigint, b bigint, c string, o int")
+    rg = spark.createDataFrame(regions, "reg string, rs bigint, re bigint")
+    assert {(r["reg"], r["c"]): r["bp"] for r in W.paint(df, rg, "reg", "rs", "re", "a", "b", "c", ["o"]).collect()} == want
+
+
+def test_running_totals_and_quantiles(spark):
+    rng = random.Random(2)
+    data = [(rng.choice("ab"), rng.randint(0, 40)) for _ in range(500)] + [("c", 7), ("d", None)]
+    df = spark.createDataFrame(data, "k string, v int")
+    got = {r["k"]: (r["m"], r["q"]) for r in T.group_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}).collect()}
+    want = {r["k"]: (r["m"], r["q"]) for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m"), F.percentile("v", F.lit(0.9)).alias("q")).collect() if r["k"] != "d"}
+    assert got.keys() == want.keys() and all(math.isclose(a, b) for k in got for a, b in zip(got[k], want[k]))
+    assert math.isclose(T.group_quantiles(df, [], "v", {"m": 0.25}).first()["m"], df.agg(F.percentile("v", F.lit(0.25))).first()[0])
+    assert T.group_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_resampling_by_plain_sums(spark):
+    rows = [(i, "ab"[i % 2], float(i % 7), float(i * i % 11)) for i in range(300)] + [(301, "a", None, 1.0)]
+    df = spark.createDataFrame(rows, "id bigint, k string, x double, y double")
+    a, b = (sorted(map(tuple, T.bootstrap_sums(d, ["k"], ["id"], ["x", "y"], 30, 4).collect())) for d in (df.repartition(5), df.coalesce(1)))
+    assert all(p[:2] == q[:2] and all(math.isclose(u, v) for u, v in zip(p[2:], q[2:])) for p, q in zip(a, b)) and len(a) == 60
+    assert abs(sum(r[2] for r in a) / (300 * 30) - 1) < 0.05
+    d = T.bootstrap_distance(df, ["k"], "x", "y", 200, 1, ["id"]).collect()
+    assert all(r["n"] == 150 and r["lo"] < r["distance"] < r["hi"] and abs(r["mean"] - r["distance"]) < 0.05 and r["rounds"] == 200 for r in d)
+    flat = T.bootstrap_distance(df.withColumn("x", F.lit(1.0)), ["k"], "x", "y", 20, 1, ["id"]).first()
+    assert flat["distance"] is None and flat["mean"] is None and flat["rounds"] == 0
+
+
+def test_flanks_and_semi_against_plain(spark):
+    rng = random.Random(11)
+    pts = [(f"p{i}", rng.choice("cd"), a, a + rng.randint(1, 60)) for i, a in enumerate(rng.randint(0, 900) for _ in range(80))]
+    fts = [(f"f{i:03d}", rng.choice("cd"), a, a + rng.randint(0, 25)) for i, a in enumerate(rng.randint(0, 900) for _ in range(120))] + [("g", None, 1, 2), ("h", "c", None, 2)]
+    p = spark.createDataFrame(pts, "id string, k string, s bigint, e bigint")
+    f = spark.createDataFrame(fts, "f string, k string, a bigint, b bigint")
+    want = set()
+    for i, k, s, e in pts:
+        for side in ("left", "right"):
+            near = sorted((s - b if side == "left" else a - e, x) for x, q, a, b in fts if q == k and a is not None and (b <= s if side == "left" else a >= e))
+            want |= {(i, side, r + 1, x, d) for r, (d, x) in enumerate(near[:3]) if d < 40}
+    for shard in (64, 1 << 22):
+        assert set(map(tuple, I.flank_neighbours(p, f, ["k"], I.Span("s", "e"), "id", I.Span("a", "b"), "f", 40, 3, shard).collect())) == want
+    over = {i for i, k, s, e in pts if any(q == k and a is not None and a < e and s < b for _, q, a, b in fts)}
+    assert {r["id"] for r in I.overlap_semi(p, f, [("k", "k")], I.Span("s", "e"), I.Span("a", "b"), "id").collect()} == over
+    assert {r["id"] for r in I.overlap_semi(p, f, [("k", "k")], I.Span("s", "e"), I.Span("a", "b"), "id", anti=True).collect()} == {x[0] for x in pts} - over

@@ -46,6 +46,20 @@ def test_greedy_takes_one_of_equal_blocks(spark):
     assert sorted(r[0] for r in got) == ["a", "c", "e"]
 
 
+def test_greedy_on_two_axes(spark):
+    """All calls, plainly from the longest down, on both axes."""
+    from loomspan.plans.signal_plans import _calls
+
+    claimed, want = (set(), set()), []
+    for c in sorted(_calls(spark, DATA).collect(), key=lambda c: (c.c_start - c.c_end, float("inf") if c.qual is None else -c.qual, c.id)):
+        sides = [{(c.chrom, b) for b in range((c.c_start + x) // 50_000, (c.c_end - 1 + x) // 50_000 + 1)} for x in (0, 25_000)]
+        if all(s and len(s - done) >= 0.5 * len(s) for s, done in zip(sides, claimed)):
+            want.append(c.id)
+            for s, done in zip(sides, claimed):
+                done |= s
+    assert sorted(r[0] for r in QUERIES["greedy_two_sided"](spark, DATA).collect()) == sorted(want)
+
+
 PRESENCE = "shared_specific presence_spectrum family_categories category_matrix pan_core_exact pan_core_exhaustive pan_core_subsets pan_core_summary mask_jaccard orthology_classes low_copy_families"
 
 
