@@ -22,7 +22,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-token pattern of this vocabulary (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that a task encodes at once; a longer single text is a batch of its own.
@@ -230,7 +229,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
-def encode_texts(df: DataFrame, text: str, keep: list[str], ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode_texts(df: DataFrame, text: str, keep: list[str], vocabulary: str, ids: str = "ids") -> DataFrame:
     """The columns ``keep`` and ``ids``, the token ids (array<int>) of column ``text``.
 
     No special tokens are made or recognised. Empty and null texts have the empty list. Texts are
@@ -250,7 +249,7 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], ids: str = "ids", vo
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ddl)
 
 
-def count_tokens(df: DataFrame, text: str, keep: list[str], tokens: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
+def count_tokens(df: DataFrame, text: str, keep: list[str], vocabulary: str, tokens: str = "tokens") -> DataFrame:
     """The columns ``keep`` and ``tokens``, the number of token ids (bigint); 0 for empty and null texts."""
     types = dict(df.dtypes)
     ddl = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{tokens}` bigint"])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.encoding import VOCABULARY, count_tokens
+from loomspan.llm.encoding import count_tokens
 from loomspan.runtime import Stored
 
 #: Listed sources that a mixture may have; their rates are broadcast.
@@ -49,7 +49,7 @@ def _emitted(rows: DataFrame, rates: list[dict], seed: int, doc_id: str = "doc_i
     return met.drop("__source", "__rate").where("__copies > 0")
 
 
-def token_sizes(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> Stored:
+def token_sizes(docs: DataFrame, targets: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Stored:
     """Stored (doc_id, source, tokens) of the texts whose source is listed.
 
     Every text is encoded here, once; the functions below take the result, so that a mixture, its
@@ -58,7 +58,7 @@ def token_sizes(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     listed = targets.select(F.col("source").alias("__listed")).where("__listed is not null").distinct()
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
     picked = picked.join(listed, F.col("source") == F.col("__listed"), "left_semi")
-    return Stored(count_tokens(picked, "text", ["doc_id", "source"], vocabulary=vocabulary), "sizes")
+    return Stored(count_tokens(picked, "text", ["doc_id", "source"], vocabulary), "sizes")
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:

@@ -13,6 +13,8 @@ from loomspan.llm.quantiles import combine, percentiles, summarise
 from loomspan.llm.splitting import split_items
 from loomspan.runtime import Stored, table
 
+#: Where the queries find the public vocabulary; the operators take it as a parameter.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 QS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
@@ -85,11 +87,11 @@ def p5_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(table(spark, d, "documents"), "text", ["doc_id"])
+    return encode_texts(table(spark, d, "documents"), "text", ["doc_id"], VOCABULARY)
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    return token_sizes(table(spark, d, "documents"), table(spark, d, "mix_targets")).df
+    return token_sizes(table(spark, d, "documents"), table(spark, d, "mix_targets"), VOCABULARY).df
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:

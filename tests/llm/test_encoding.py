@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from loomspan.llm.encoding import PATTERN, VOCABULARY, RankQueue, count_tokens, encode_texts, encoder
+from loomspan.llm.encoding import PATTERN, RankQueue, count_tokens, encode_texts, encoder
+from loomspan.llm.queries import VOCABULARY
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 
@@ -74,8 +75,8 @@ def test_queue_finds_the_lowest():
 
 def test_frame(spark):
     df = spark.createDataFrame([(i, t, "e") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, ids string")
-    got = {r["doc_id"]: r["ids"] for r in encode_texts(df, "text", ["doc_id"]).collect()}
+    got = {r["doc_id"]: r["ids"] for r in encode_texts(df, "text", ["doc_id"], VOCABULARY).collect()}
     assert got == dict(enumerate(mine(TEXTS))) and got[0] == [] and got[1] == []
-    n = {r["doc_id"]: r["tokens"] for r in count_tokens(df, "text", ["doc_id"]).collect()}
+    n = {r["doc_id"]: r["tokens"] for r in count_tokens(df, "text", ["doc_id"], VOCABULARY).collect()}
     assert n == {i: len(x) for i, x in got.items()}
-    assert encode_texts(df.limit(0), "text", ["doc_id"]).count() == 0
+    assert encode_texts(df.limit(0), "text", ["doc_id"], VOCABULARY).count() == 0

@@ -3,6 +3,7 @@
 import pytest
 
 from loomspan.llm.mixing import mix, mixed_documents, mixture_shares, source_rates, token_sizes
+from loomspan.llm.queries import VOCABULARY
 
 
 @pytest.fixture
@@ -18,7 +19,7 @@ def targets(spark, *rows):
 
 def test_shares_and_limits(spark, docs):
     t = targets(spark, ("big", 0.6, 2), ("small", 0.3, 3), ("absent", 0.1, 5))
-    sizes = token_sizes(docs, t).df
+    sizes = token_sizes(docs, t, VOCABULARY).df
     rows = mix(sizes, t).collect()
     copies = {}
     for r in rows:
@@ -37,9 +38,9 @@ def test_shares_and_limits(spark, docs):
 
 def test_same_choice_in_any_partitioning(spark, docs):
     t = targets(spark, ("big", 0.5, 1), ("small", 0.5, 2))
-    a, b = (sorted((r["doc_id"], r["copy"]) for r in mix(token_sizes(d, t).df, t).collect()) for d in (docs.repartition(7), docs.coalesce(1)))
+    a, b = (sorted((r["doc_id"], r["copy"]) for r in mix(token_sizes(d, t, VOCABULARY).df, t).collect()) for d in (docs.repartition(7), docs.coalesce(1)))
     assert a == b
-    assert a != sorted((r["doc_id"], r["copy"]) for r in mix(token_sizes(docs, t).df, t, seed=1).collect())
+    assert a != sorted((r["doc_id"], r["copy"]) for r in mix(token_sizes(docs, t, VOCABULARY).df, t, seed=1).collect())
 
 
 def test_rates(spark):
@@ -50,7 +51,7 @@ def test_rates(spark):
 
 def test_documents_of_the_mixture(spark, docs):
     t = targets(spark, ("big", 0.6, 2), ("small", 0.3, 3))
-    sizes = token_sizes(docs, t).df
+    sizes = token_sizes(docs, t, VOCABULARY).df
     wide = docs.selectExpr("*", "'x' as copy", "1.5 as rate", "text as tokens", "3 as copies")
     out = mixed_documents(wide, sizes, t)
     assert sorted(out.columns) == sorted(wide.columns)
@@ -63,7 +64,7 @@ def test_documents_of_the_mixture(spark, docs):
 
 def test_nothing_to_mix(spark, docs):
     def sizes(d, t):
-        return token_sizes(d, t).df
+        return token_sizes(d, t, VOCABULARY).df
 
     t, gone = targets(spark, ("big", 1.0, 1)), targets(spark, ("absent", 1.0, 1))
     none = docs.limit(0)
