@@ -96,8 +96,8 @@ def ranked_contigs(df: DataFrame, contig: str, order: DataFrame, order_contig: s
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
-    """``n`` rows chosen by a hash of their key and the seed: the same rows in any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """``n`` rows chosen by a digest of the seed and their key: the same rows in any partitioning."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)).cast("binary")), *key).limit(n)
 
 
 def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:

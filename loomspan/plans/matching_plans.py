@@ -423,6 +423,10 @@ SQL = {
     "pan_core_exhaustive": PRES + ", " + _BIT + " SELECT * FROM cur",
     "pan_core_subsets": PRES + ", " + _BIT + " SELECT * FROM cur",
     "pan_core_summary": PRES + ", " + _BIT + " SELECT k, avg(pan) AS pan_mean, CAST(median(pan) AS DOUBLE) AS pan_median, min(pan) AS pan_min, max(pan) AS pan_max, avg(core) AS core_mean, CAST(median(core) AS DOUBLE) AS core_median, min(core) AS core_min, max(core) AS core_max FROM cur GROUP BY k",
+    "pan_core_sampled": PRES
+    + f""", mk AS (SELECT item, bit_or(1::BIGINT << nation) AS mask FROM pres GROUP BY item), cnt AS (SELECT mask, count(*) AS items FROM mk GROUP BY mask), sub AS (SELECT unnest({P.random_subsets(25, 5, 1)}) AS subset),
+      cur AS (SELECT CAST(bit_count(subset) AS INTEGER) AS k, CAST(coalesce(sum(items) FILTER ((mask & subset) <> 0), 0) AS BIGINT) AS pan, CAST(coalesce(sum(items) FILTER ((mask & subset) = subset), 0) AS BIGINT) AS core FROM sub, cnt GROUP BY subset)
+      SELECT k, avg(pan) AS pan_mean, CAST(median(pan) AS DOUBLE) AS pan_median, min(pan) AS pan_min, max(pan) AS pan_max, avg(core) AS core_mean, CAST(median(core) AS DOUBLE) AS core_median, min(core) AS core_min, max(core) AS core_max FROM cur GROUP BY k""",
     "mask_jaccard": PRES + ", " + _BIT + ", n AS (SELECT item, mask, lead(mask) OVER (PARTITION BY item % 25 ORDER BY item) AS other FROM mk) SELECT item, round(bit_count(mask & other) / bit_count(mask | other), 9) AS jaccard FROM n WHERE other IS NOT NULL",
     "genotype_states": _GT + " SELECT sample, count(*) FILTER (state = 1) AS present, count(*) FILTER (state = 0) AS absent, count(*) FILTER (state IS NULL) AS missing, count(*) FILTER (replace(gt, '|', '/') IN ('0/1', '1/0', '1/1')) AS strict FROM s GROUP BY sample",
     "sample_state_stats": _GT + ", n AS (SELECT id, count(*) FILTER (state = 1) AS n FROM s GROUP BY id) SELECT sample, count(*) FILTER (state = 1) AS present, count(*) FILTER (state = 0) AS absent, count(*) FILTER (state IS NULL) AS missing, round(count(*) FILTER (state IS NULL) / count(*), 9) AS missing_rate, count(*) FILTER (state = 1 AND n = 1) AS singleton FROM s JOIN n USING (id) GROUP BY sample",

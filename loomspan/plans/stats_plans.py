@@ -474,6 +474,7 @@ SQL = {
       d AS (SELECT l_linestatus, l_returnflag, 1 - (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS d FROM s), e AS (SELECT l_linestatus, l_returnflag, avg(d) AS mean, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, count(d) AS rounds FROM d GROUP BY ALL),
       k AS (SELECT l_linestatus, l_returnflag, count(*) AS n, 1 - corr(l_quantity, l_extendedprice) AS distance FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY ALL)
       SELECT l_linestatus, l_returnflag, n, round(distance, 6) AS distance, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, rounds FROM k JOIN e USING (l_linestatus, l_returnflag)""",
+    "hash_sample": "SELECT o_orderkey FROM orders ORDER BY md5('1:' || o_orderkey), o_orderkey LIMIT 100",
     "command_text": """SELECT 'genotype -r ' || coalesce(chrom, '') || ':' || coalesce(CAST(start AS VARCHAR), '') || ' -i ' || coalesce(vcf, '') || ' -o ' || chunk_id || '.vcf' AS line FROM (SELECT DISTINCT chunk_id, chrom, "start" AS start, vcf FROM chunks WHERE chunk_id IS NOT NULL)""",
     "empirical_p": "SELECT l_suppkey, count(*) FILTER (l_extendedprice >= 30000) AS ge, count(*) AS n, round((count(*) FILTER (l_extendedprice >= 30000) + 1) / (count(*) + 1), 9) AS p, round((30000 - avg(l_extendedprice)) / stddev_pop(l_extendedprice), 6) AS z, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1",
     "histogram": "SELECT l_returnflag, CAST(CASE WHEN l_extendedprice = 100000 THEN 19 ELSE floor(l_extendedprice / 5000) END AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY ALL",
