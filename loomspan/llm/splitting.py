@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators.skew import heavy_values, spread_lookup
 from loomspan.runtime import shuffle_partitions
 
 #: Width of the bins in which items meet boundaries.
@@ -98,8 +99,9 @@ def split_items(
     give no rows, or forced cuts only.
 
     Items and boundaries meet by (axis, bin); the boundaries of a bin are first gathered to one short
-    distinct array, so an axis or bin with many items adds one small row to each item, and adaptive
-    execution may split the item side. One task holds the boundaries of one item only.
+    distinct array, so an axis or bin with many items adds one small row to each item; bins with many
+    items are looked up by a broadcast of theirs alone, and the items stay spread (``spread_lookup``).
+    One task holds the boundaries of one item only.
     """
     s, e = (F.col(c) if isinstance(c, str) else c for c in (start, end))
     picked = (
@@ -109,15 +111,17 @@ def split_items(
         .agg(F.min(F.struct(F.col("axis").isNull().alias("none"), F.col("axis"), F.col("a"), F.col("b"))).alias("r"))
         .select("item", "r.axis", "r.a", "r.b")
     )
-    cells = picked.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("b") / BIN))))
+    cell = F.concat_ws(":", F.col("axis").cast("string"), F.col("bin").cast("string"))
+    cells = picked.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("b") / BIN)))).withColumn("cell", F.when(F.col("axis").isNotNull(), cell))
     marks = (
         boundaries.select(F.col(at_axis).alias("axis"), F.col(at).cast("bigint").alias("at"))
         .dropna()
-        .groupBy("axis", F.floor(F.col("at") / BIN).alias("bin"))
+        .withColumn("bin", F.floor(F.col("at") / BIN))
+        .groupBy(cell.alias("cell"))
         .agg(F.collect_set("at").alias("marks"))
     )
     grouped = (
-        cells.join(marks, ["axis", "bin"], "left")
+        spread_lookup(cells, "cell", marks, "cell", "marks", "marks", heavy_values(cells, "cell")["cell"], F.xxhash64("item"))
         .withColumn("marks", F.filter("marks", lambda x: (x > F.col("a")) & (x < F.col("b"))))
         .repartition(shuffle_partitions(items.sparkSession), "item")  # few bytes, much work: not to be coalesced
         .groupBy("item")

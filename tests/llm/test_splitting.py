@@ -126,3 +126,10 @@ def test_empty(spark, gaps):
     assert split_items(none, gaps, "id", "chrom", "start", "end", "chrom", "start").count() == 0
     one = spark.createDataFrame([("a", "c", 0, 150)], "id string, chrom string, start bigint, end bigint")
     assert split_items(one, gaps.limit(0), "id", "chrom", "start", "end", "chrom", "start", 100, 10).where("cut = 'forced'").count() == 1
+
+
+def test_many_items_on_one_stretch(spark, gaps):
+    """2,000 items in one bin: each gets the bin's boundaries, in any number of partitions."""
+    items = spark.range(2000).selectExpr("concat('i', id) as id", "'c' as chrom", "0 as start", "150 + id % 7 as end")
+    got = split_items(items, gaps, "id", "chrom", "start", "end", "chrom", "start", 100, 10).where("cut is not null")
+    assert got.groupBy("cut").count().collect()[0].asDict() == {"cut": "natural", "count": 2000}
