@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from loomspan.llm.encoding import PATTERN, RankQueue, count_tokens, encode_texts, encoder
+from loomspan.llm.encoding import ASCII_PATTERN, PATTERN, STRETCHES, RankQueue, count_tokens, encode_texts, encoder
 from loomspan.llm.queries import VOCABULARY
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
@@ -80,3 +80,36 @@ def test_frame(spark):
     n = {r["doc_id"]: r["tokens"] for r in count_tokens(df, "text", ["doc_id"], VOCABULARY).collect()}
     assert n == {i: len(x) for i, x in got.items()}
     assert encode_texts(df.limit(0), "text", ["doc_id"], VOCABULARY).count() == 0
+
+
+def test_stretches_cut_alike():
+    """Pre-tokens of the stretches, one after another, are those of the text; every character is tried."""
+    import random
+    import re
+    import sys
+
+    import regex
+
+    rng = random.Random(9)
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and (c.isspace() or regex.match(r"\s", c) or not c.isprintable() and ord(c) < 0x3100)]
+    alphabet = odd + list("éß漢²Ⅷ\u0301'") * 40 + list("  \n\t'stmdrevl019.,aZ") * 60
+    find, cut = regex.compile(PATTERN).findall, re.compile(STRETCHES).findall
+    for _ in range(30_000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+        assert [p for x in cut(text) for p in find(x)] == find(text), repr(text)
+    for c in odd:
+        for text in (c, c + "a", f"a{c}", f"a {c} b", f"a{c}{c}b", f" {c}", f"{c} b"):
+            assert [p for x in cut(text) for p in find(x)] == find(text), repr(text)
+
+
+def test_ascii_pattern_cuts_alike():
+    import random
+    import re
+
+    import regex
+
+    rng = random.Random(9)
+    alphabet = [chr(i) for i in range(128)] + list("  \n\t'stmdrevl019.,aZ") * 6
+    for _ in range(20_000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+        assert re.findall(ASCII_PATTERN, text) == regex.findall(PATTERN, text), repr(text)
