@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators.periods import merge_periods
 from loomspan.operators.rejects import CALL_FIELDS, load_files, load_records
-from loomspan.runtime import shared_dir, table
+from loomspan.runtime import Scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +28,7 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
     """The records that are no rejects for their quoting, written to text files and loaded from these."""
     raw = load_records(table(spark, d, "raw_calls").withColumn("whole", F.col("raw")), "raw", CALL_FIELDS, keep=["whole"])
-    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    path = Scratch(spark, "records").path
     raw.where("whole is not null and (reason is null or reason <> 'quoting')").select("whole").write.text(path)
     rows = load_files(spark, path, CALL_FIELDS)
     return rows.select(*(F.col(f.name) for f in CALL_FIELDS), "reason", F.col("raw").alias("rejected"))

@@ -5,8 +5,6 @@ The SQL states what the reader must give, from the tables; it knows nothing of t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +17,14 @@ from loomspan.operators import pav as P
 from loomspan.operators import relational as O
 from loomspan.operators import signal as G
 from loomspan.plans.signal_plans import CALLS, EX, _calls, _exons
-from loomspan.runtime import shared_dir, table
+from loomspan.runtime import Scratch, table
 from loomspan.sinks import writers as W
 from loomspan.sources import readers as R
 from loomspan.streaming import windows as SW
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return Scratch(spark, name).path
 
 
 def _line(*cols: Column | str | int, sep: str = "\t") -> Column:

@@ -40,15 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR[app]}"
 
 
-class Stored:
-    """A DataFrame written once to the shared folder, so that later readers depend on no earlier stage."""
+class Scratch:
+    """A path of its own in the shared folder, for files that are to go when nothing reads them any more."""
 
-    def __init__(self, df: DataFrame, label: str = "stage"):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(schema).parquet(self.path)
+    def __init__(self, spark: SparkSession, label: str = "scratch"):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _LEFT.append(self)
 
     def drop(self) -> None:
@@ -59,7 +56,17 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_LEFT: list[Stored] = []
+class Stored(Scratch):
+    """A DataFrame written once to the shared folder, so that later readers depend on no earlier stage."""
+
+    def __init__(self, df: DataFrame, label: str = "stage"):
+        super().__init__(df.sparkSession, label)
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.df = self.spark.read.schema(schema).parquet(self.path)
+
+
+_LEFT: list[Scratch] = []
 
 
 @contextmanager
