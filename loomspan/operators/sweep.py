@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.islands import shard_cells
+from loomspan.operators.islands import SHARD, shard_cells
 
 
 def _events(df: DataFrame, keys: list[str], cls: str, start: str, end: str) -> DataFrame:
@@ -19,17 +19,14 @@ def _events(df: DataFrame, keys: list[str], cls: str, start: str, end: str) -> D
     return both.groupBy(*keys, "pos", "cls").agg(F.sum("d").alias("d"))
 
 
-def depth_segments(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Stretches of constant depth above 0: keys, seg_start, seg_end, depth (half-open)."""
+def _depths(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     ev = _events(df.withColumn("__one", F.lit(1)), keys, "__one", start, end)
     w = Window.partitionBy(*keys).orderBy("pos")
     seg = ev.withColumns({"depth": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "seg_end": F.lead("pos").over(w)})
     return seg.where("depth > 0 and seg_end is not null").select(*keys, F.col("pos").alias("seg_start"), "seg_end", "depth")
 
 
-def priority_segments(df: DataFrame, keys: list[str], cls: str, start: str, end: str, priority: list[str]) -> DataFrame:
-    """Elementary segments, each owned by the first class of ``priority`` that covers it: keys,
-    seg_start, seg_end, owner. Classes not listed don't count; the list is short (one sum a class)."""
+def _owners(df: DataFrame, keys: list[str], cls: str, start: str, end: str, priority: list[str]) -> DataFrame:
     ev = _events(df.where(F.col(cls).isin(priority)), keys, cls, start, end)
     at = ev.groupBy(*keys, "pos").agg(*(F.sum(F.when(F.col("cls") == c, F.col("d")).otherwise(0)).alias(f"__d{i}") for i, c in enumerate(priority)))
     w = Window.partitionBy(*keys).orderBy("pos")
@@ -41,10 +38,46 @@ def priority_segments(df: DataFrame, keys: list[str], cls: str, start: str, end:
     return seg.where("owner is not null and seg_end is not null").select(*keys, F.col("pos").alias("seg_start"), "seg_end", "owner")
 
 
+def _stitched(seg: DataFrame, df: DataFrame, keys: list[str], value: str, start: str, end: str) -> DataFrame:
+    """Segments of shards, those that only a shard's border cuts put together again.
+
+    Only segments that touch a border, at most two a shard, pass a window over a whole key. An interval
+    of ``df`` that begins or ends on a border makes it a real cut.
+    """
+    real = df.where(F.col(start) < F.col(end)).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.explode(F.array(F.col(start).cast("bigint"), F.col(end).cast("bigint"))).alias("__pos")).where(F.col("__pos") % SHARD == 0).distinct()
+    border = (F.col("seg_start") % SHARD == 0) | (F.col("seg_end") % SHARD == 0)
+    on = F.col("seg_start") == F.col("__pos")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    w = Window.partitionBy(*keys).orderBy("seg_start")
+    edge = seg.where(border).join(real, on, "left")
+    opens = (F.col("seg_start") % SHARD != 0) | F.col("__pos").isNotNull() | ~F.lag("seg_end").over(w).eqNullSafe(F.col("seg_start"))
+    edge = edge.withColumn("__n", F.when(opens, 1).otherwise(0)).withColumn("__n", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.groupBy(*keys, "__n").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.first(value).alias(value))
+    cols = [*keys, "seg_start", "seg_end", value]
+    return seg.where(~border).select(*cols).unionByName(edge.select(*cols))
+
+
+def depth_segments(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Stretches of constant depth above 0: keys, seg_start, seg_end, depth (half-open), swept shard by shard."""
+    known = df.where(F.col(start) < F.col(end))
+    cells = shard_cells(known, keys, start, end)
+    return _stitched(_depths(cells, [*keys, "__shard"], "__lo", "__hi"), known, keys, "depth", start, end)
+
+
+def priority_segments(df: DataFrame, keys: list[str], cls: str, start: str, end: str, priority: list[str]) -> DataFrame:
+    """Elementary segments, each owned by the first class of ``priority`` that covers it: keys,
+    seg_start, seg_end, owner. Classes not listed don't count; the list is short (one sum a class).
+    Swept shard by shard."""
+    known = df.where((F.col(start) < F.col(end)) & F.col(cls).isin(priority))
+    cells = shard_cells(known, keys, start, end, keep=[cls])
+    return _stitched(_owners(cells, [*keys, "__shard"], cls, "__lo", "__hi", priority), known, keys, "owner", start, end)
+
+
 def priority_bp(df: DataFrame, keys: list[str], cls: str, start: str, end: str, priority: list[str]) -> DataFrame:
     """Exclusive base pairs per keys and owning class, swept shard by shard, so that a hot key is spread."""
     cells = shard_cells(df, keys, start, end, keep=[cls]).withColumnsRenamed({"__lo": start, "__hi": end})
-    return priority_segments(cells, [*keys, "__shard"], cls, start, end, priority).groupBy(*keys, "owner").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("bp"))
+    return _owners(cells, [*keys, "__shard"], cls, start, end, priority).groupBy(*keys, "owner").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("bp"))
 
 
 def paint(df: DataFrame, regions: DataFrame, region: str, rstart: str, rend: str, start: str, end: str, cls: str, order: list[str], rest: str = "Others") -> DataFrame:

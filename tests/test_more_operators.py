@@ -263,3 +263,25 @@ def test_flanks_and_semi_against_plain(spark):
     over = {i for i, k, s, e in pts if any(q == k and a is not None and a < e and s < b for _, q, a, b in fts)}
     assert {r["id"] for r in I.overlap_semi(p, f, [("k", "k")], I.Span("s", "e"), I.Span("a", "b"), "id").collect()} == over
     assert {r["id"] for r in I.overlap_semi(p, f, [("k", "k")], I.Span("s", "e"), I.Span("a", "b"), "id", anti=True).collect()} == {x[0] for x in pts} - over
+
+
+def test_segments_over_shard_borders(spark):
+    from loomspan.operators import sweep as W
+
+    w, rng = L.SHARD, random.Random(4)
+    edge = [0, w, 2 * w, 3 * w]
+    pos = lambda: rng.choice(edge) + rng.choice([0, 0, -3, -1, 1, 2, 5])
+    data = [(rng.choice("ab"), *sorted((pos(), pos())), rng.choice(["x", "y", "z"])) for _ in range(40)] + [("c", -5, 4 * w + 3, "x"), ("c", w, w + 9, "y"), ("d", 7, 7, "x"), ("e", None, 5, "x")]
+    df = spark.createDataFrame(data, "k string, s bigint, e bigint, c string")
+    depth, owner = set(), set()
+    for k in "abc":
+        mine = [(s, e, c) for q, s, e, c in data if q == k and s < e]
+        for seg, rule in ((depth, None), (owner, ("y", "x"))):
+            use = [x for x in mine if rule is None or x[2] in rule]
+            cuts = sorted({p for s, e, _ in use for p in (s, e)})
+            for a, b in zip(cuts, cuts[1:]):
+                over = [c for s, e, c in use if s <= a and b <= e]
+                if over:
+                    seg.add((k, a, b, len(over) if rule is None else min(over, key=rule.index)))
+    assert set(map(tuple, W.depth_segments(df, ["k"], "s", "e").collect())) == depth
+    assert set(map(tuple, W.priority_segments(df, ["k"], "c", "s", "e", ["y", "x"]).collect())) == owner
