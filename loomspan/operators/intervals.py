@@ -268,14 +268,31 @@ def strand_flanks(df: DataFrame, span: Span, strand: str, distance: int) -> Data
 
 
 def nearest_ordinal(left: DataFrame, right: DataFrame, keys: list[str], x: str, row_id: str, order: str, rid: str) -> DataFrame:
-    """For every left row the right row of the same keys with the nearest ordinal; ties to the lower one."""
+    """For every left row the right row of the same keys with the nearest ordinal; ties to the lower one,
+    then to the least id. A null ordinal, and keys that the right side lacks, give nulls.
+
+    Both sides lie on one axis that is cut into ranges; windows run within a (range, key), and what the
+    ranges before and after hold is carried in as one row per range and key, so a hot key is spread.
+    """
+    from loomspan.runtime import Stored
+
     p = left.select(*keys, F.col(x).alias("at"), F.lit(1).alias("o"), F.col(row_id), F.lit(None).cast(right.schema[order].dataType).alias("v"), F.lit(None).cast(right.schema[rid].dataType).alias("r"))
     q = right.where(F.col(order).isNotNull()).select(*keys, F.col(order).alias("at"), F.lit(0).alias("o"), F.lit(None).cast(left.schema[row_id].dataType).alias(row_id), F.col(order).alias("v"), F.col(rid).alias("r"))
-    both = p.unionByName(q)
-    back = Window.partitionBy(*keys).orderBy("at", "o", F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("o"), F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
-    item = F.when(F.col("o") == 0, F.struct("v", "r"))
-    both = both.withColumns({"b": F.last(item, True).over(back), "a": F.last(item, True).over(ahead)}).where("o = 1")
+    both = Stored(p.unionByName(q).repartitionByRange(*keys, "at").withColumn("__p", F.spark_partition_id()), "ordinals").df
+    back = Window.partitionBy("__p", *keys).orderBy("at", "o", F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("__p", *keys).orderBy(F.desc("at"), F.desc("o"), F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
+    has = F.col("o") == 0
+    facts = both.groupBy("__p", *keys).agg(F.min(F.when(has, F.struct((-F.col("v")).alias("v"), "r"))).alias("__h"), F.min(F.when(has, F.struct("v", "r"))).alias("__n"))
+    facts = facts.withColumn("__l", F.when(F.col("__h").isNotNull(), F.struct((-F.col("__h.v")).cast(right.schema[order].dataType).alias("v"), F.col("__h.r").alias("r"))))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = facts.select(F.col("__p").alias("__q"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.last("__l", True).over(before).alias("__cb"), F.last("__n", True).over(after).alias("__ca"))
+    on = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    item = F.when(has, F.struct("v", "r"))
+    both = both.withColumns({"b": F.last(item, True).over(back), "a": F.last(item, True).over(ahead)}).where("o = 1").join(carried, on, "left")
+    both = both.withColumns({"b": F.coalesce("b", "__cb"), "a": F.coalesce("a", "__ca")})
     db, da = F.col("at") - F.col("b.v"), F.col("a.v") - F.col("at")
     left_wins = db.isNotNull() & (da.isNull() | (db <= da))
-    return both.select(row_id, F.when(left_wins, F.col("b.r")).otherwise(F.col("a.r")).alias(rid), F.when(left_wins, db).otherwise(da).alias("distance"))
+    return both.select(row_id, F.when(left_wins, F.col("b.r")).when(F.col("at").isNotNull(), F.col("a.r")).alias(rid), F.when(left_wins, db).otherwise(da).alias("distance"))

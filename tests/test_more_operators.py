@@ -285,3 +285,18 @@ def test_segments_over_shard_borders(spark):
                     seg.add((k, a, b, len(over) if rule is None else min(over, key=rule.index)))
     assert set(map(tuple, W.depth_segments(df, ["k"], "s", "e").collect())) == depth
     assert set(map(tuple, W.priority_segments(df, ["k"], "c", "s", "e", ["y", "x"]).collect())) == owner
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_nearest_ordinal_in_ranges(spark, parts):
+    rng = random.Random(parts)
+    a = [(i, rng.choice("cde"), rng.randint(0, 60)) for i in range(150)] + [(200, "c", None)]
+    b = [(f"r{i:02d}", rng.choice("cd"), rng.randint(0, 60)) for i in range(40)] + [("none", "c", None)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["i"]: (r["r"], r["distance"]) for r in I.nearest_ordinal(spark.createDataFrame(a, "i int, k string, x int"), spark.createDataFrame(b, "r string, k string, y int"), ["k"], "x", "i", "y", "r").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for i, k, x in a:
+        near = [(abs(x - y), y > x, r) for r, q, y in b if q == k and y is not None] if x is not None else []
+        assert got[i] == ((min(near)[2], min(near)[0]) if near else (None, None)), (i, k, x)
