@@ -363,9 +363,9 @@ def labels(spark, d):
     """Chromosome prefixes, sample labels, list cells, relative positions and stars, by rule."""
     e = table(spark, d, "events").select("event_id", "value")
     i = c("event_id")
-    chrom = F.concat(F.element_at(F.array(F.lit("Msa."), F.lit("R1."), F.lit("")), (i % 3 + 1).cast("int")), F.lit("chr"), (i % 4).cast("string"))
+    chrom = F.concat(F.element_at(F.array(F.lit("Ab."), F.lit("R1."), F.lit("")), (i % 3 + 1).cast("int")), F.lit("chr"), (i % 4).cast("string"))
     cell = F.concat(F.lit("old1, x,"), F.when(i % 2 == 0, "old1,drop").otherwise("y ,x"), F.lit(","))
-    out = e.select(S.strip_prefix(chrom, ["Msa.", "R1."]).alias("chrom"), F.array_join(S.canonical_labels(cell, {"old1": "new"}, ["drop"]), "|").alias("labels"), F.array_join(S.list_cell(F.concat(F.lit("sp|g1.t1, sp|g"), (i % 3).cast("string"), F.lit(".t1,")), ",", r"[^|]*\|", r"\.t\d+"), "|").alias("genes"), S.relative_position(i * 100_000, F.lit(20_000_000), F.lit(30_000_000)).alias("place"), S.p_stars(c("value") / 1000).alias("stars"))
+    out = e.select(S.strip_prefix(chrom, ["Ab.", "R1."]).alias("chrom"), F.array_join(S.canonical_labels(cell, {"old1": "new"}, ["drop"]), "|").alias("labels"), F.array_join(S.list_cell(F.concat(F.lit("sp|g1.t1, sp|g"), (i % 3).cast("string"), F.lit(".t1,")), ",", r"[^|]*\|", r"\.t\d+"), "|").alias("genes"), S.relative_position(i * 100_000, F.lit(20_000_000), F.lit(30_000_000)).alias("place"), S.p_stars(c("value") / 1000).alias("stars"))
     return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
